@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import OP10_SQL, op10_decontaminate
+from .jaccard_join import op5_jaccard_join
 from .suffix_dedup import op4_suffix_dedup
 from .token_files import op9_token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_suffix_dedup": op4_suffix_dedup, "op9_token_files": op9_token_files, "op10_decontaminate": op10_decontaminate}
+    return {"op4_suffix_dedup": op4_suffix_dedup, "op5_jaccard_join": op5_jaccard_join, "op9_token_files": op9_token_files, "op10_decontaminate": op10_decontaminate}
 
 
 def oracle_sql() -> dict[str, str]:

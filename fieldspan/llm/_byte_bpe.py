@@ -12,7 +12,7 @@ import re
 import numpy as np
 
 TOKENIZER = "byte_bpe_50k.json"
-CACHED_WORDS = 300_000
+CACHED_WORDS = 800_000
 _RUN = re.compile(r"\s \s|\s $")
 _CUT = re.compile(r"(?<=\S)(?= )")
 
@@ -22,16 +22,24 @@ class WordEncoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import json
+        from pathlib import Path
+
         from tokenizers import Tokenizer
+        from tokenizers.models import BPE
 
         self.tokenizer = Tokenizer.from_file(path)
+        model = json.loads(Path(path).read_text())["model"]
+        # the library's own cache of words only costs time behind ours
+        self.tokenizer.model = BPE(model["vocab"], [tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]], cache_capacity=0)
         self.tokenizer.encode_special_tokens = True
         self.cache: dict[str, bytes] = {}
 
     def _learn(self, words: set[str]) -> None:
-        if len(self.cache) + len(words) > CACHED_WORDS:
-            self.cache.clear()
         todo = [w for w in words if w not in self.cache]
+        if len(self.cache) + len(todo) > CACHED_WORDS:
+            self.cache.clear()
+            todo = list(words)
         for i in range(0, len(todo), 4096):
             part = todo[i : i + 4096]
             for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
@@ -48,7 +56,7 @@ class WordEncoder:
         """One blob of ids for each text. The texts should hold a few MB together."""
         split = [self.pieces(t) if t else [] for t in texts]
         words = set().union(*split)
-        self._learn({w for w in words if w not in self.cache} if len(self.cache) + len(words) <= CACHED_WORDS else words)
+        self._learn(words)
         get = self.cache.__getitem__
         return [b"".join(map(get, s)) for s in split]
 

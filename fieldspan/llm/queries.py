@@ -13,12 +13,14 @@ from .language_id import op1_language_id
 from .suffix_dedup import op4_suffix_dedup
 from .token_counts import op7_token_counts
 from .token_files import op9_token_files
+from .topk_search import OP2_SQL, op2_topk_search
 from .url_filter import op8_url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
+        "op2_topk_search": op2_topk_search,
         "op3_chat_format": op3_chat_format,
         "op4_suffix_dedup": op4_suffix_dedup,
         "op5_jaccard_join": op5_jaccard_join,
@@ -30,4 +32,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_format": OP3_SQL, "op10_decontaminate": OP10_SQL}
+    return {"op2_topk_search": OP2_SQL, "op3_chat_format": OP3_SQL, "op10_decontaminate": OP10_SQL}

@@ -16,8 +16,9 @@ Documents with equal sets form a class; everything below is between classes.
    exact. Lists of more than RUN classes are dealt out as pairs of blocks.
 
 Before sets are compared in full, parity sketches are: the bits in which two sketches differ are never more
-than the shingles in which the sets differ, so no link is lost. Full sets are made only for candidates, and
-shuffled by leader with salts, so that a leader of many is spread.
+than the shingles in which the sets differ, so no link is lost. Lists carry a short sketch, and pairs that
+pass it are held against wide ones of two bits and more a shingle. Full sets are made only for what is left,
+and shuffled by leader with salts, so that a leader of many is spread.
 
 Shingles are compared as 64-bit hashes. Null text has no words. Repeated rows are equal sets. A null doc_id
 counts as the smallest. Very long texts are worked on whole, one at a time. Empty tables give no rows.
@@ -78,6 +79,19 @@ def sketch_of(s: np.ndarray) -> bytes:
     return np.packbits((np.bincount((s & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1).astype(bool)).tobytes()
 
 
+def wide_sketch_of(s: np.ndarray) -> bytes:
+    """A sketch of the least power of two of bits that is twice the set's size; a larger one folds into a smaller."""
+    bits = np.uint64(max(SKETCH, 1 << (2 * len(s) - 1).bit_length()))
+    return np.packbits((np.bincount((s & (bits - np.uint64(1))).astype(np.int64), minlength=int(bits)) & 1).astype(bool), bitorder="little").tobytes()
+
+
+def bits_apart(x: bytes, y: bytes) -> int:
+    a, b = (np.frombuffer(v, np.uint64) for v in (x, y))
+    if len(a) > len(b):
+        a, b = b, a
+    return int(np.bitwise_count(np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0) ^ a).sum())
+
+
 def prefix_size(n: int, percent: int = PERCENT) -> int:
     return n - -(-percent * n // 100) + 1
 
@@ -109,8 +123,8 @@ def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int64()), pa.array(total[slots])], ["slot", "n"])
 
 
-_INDEX = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("sketch", pa.binary()), ("tokens", pa.binary()), ("classes", pa.binary()), ("sizes", pa.binary())])
-_INDEX_SQL = "bucket int, doc_id long, n long, cls long, sketch binary, tokens binary, classes binary, sizes binary"
+_INDEX = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("sketch", pa.binary()), ("wide", pa.binary()), ("tokens", pa.binary()), ("classes", pa.binary()), ("sizes", pa.binary())])
+_INDEX_SQL = "bucket int, doc_id long, n long, cls long, sketch binary, wide binary, tokens binary, classes binary, sizes binary"
 
 
 def _indexer(order, buckets: int, percent: int):
@@ -130,7 +144,7 @@ def _indexer(order, buckets: int, percent: int):
             tokens.clear(), classes.clear(), sizes.clear()
             held = 0
             none = pa.nulls(len(rows), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(b[cut[:-1]].astype(np.int32)), none, none, none, pa.nulls(len(rows), pa.binary()), *[pa.array([x[i:j].tobytes() for i, j in rows], pa.binary()) for x in (t, c, z)]], schema=_INDEX)
+            return pa.RecordBatch.from_arrays([pa.array(b[cut[:-1]].astype(np.int32)), none, none, none, pa.nulls(len(rows), pa.binary()), pa.nulls(len(rows), pa.binary()), *[pa.array([x[i:j].tobytes() for i, j in rows], pa.binary()) for x in (t, c, z)]], schema=_INDEX)
 
         for batch in batches:
             data, at = text_buffer(batch["text"])
@@ -139,7 +153,7 @@ def _indexer(order, buckets: int, percent: int):
             for i, j in row_chunks(at):
                 for d, s in zip(ids[i:j], shingle_sets(data[at[i] : at[j]], at[i : j + 1] - at[i]), strict=True):
                     c = class_of(s) if len(s) else None
-                    rows.append((d, len(s), c, sketch_of(s) if len(s) else None))
+                    rows.append((d, len(s), c, sketch_of(s) if len(s) else None, wide_sketch_of(s) if len(s) and c not in seen else None))
                     if c is not None and c not in seen:
                         if len(seen) >= KEPT_CLASSES:
                             seen.clear()
@@ -150,9 +164,9 @@ def _indexer(order, buckets: int, percent: int):
                         if held >= 1 << 21:
                             yield flush()
             none = pa.nulls(len(rows), pa.binary())
-            d, n, c, k = map(list, zip(*rows, strict=True)) if rows else ([], [], [], [])
+            d, n, c, k, w = map(list, zip(*rows, strict=True)) if rows else ([], [], [], [], [])
             bucket = (mix(np.arange(len(rows), dtype=np.uint64)) % np.uint64(buckets)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(d, pa.int64()), pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(k, pa.binary()), none, none, none], schema=_INDEX)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(d, pa.int64()), pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(k, pa.binary()), pa.array(w, pa.binary()), none, none, none], schema=_INDEX)
         if held:
             yield flush()
 
@@ -202,9 +216,9 @@ def index_lists(tokens: np.ndarray, classes: np.ndarray, sizes: np.ndarray, perc
 def _lister(percent: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, ["bucket"], 1 << 22):
-            docs = t.filter(pa.compute.is_valid(t["n"])).select(["doc_id", "n", "cls", "sketch"])
+            docs = t.filter(pa.compute.is_valid(t["n"])).select(["doc_id", "n", "cls", "sketch", "wide"])
             for b in docs.to_batches():
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.nulls(b.num_rows, pa.binary())], ["doc_id", "n", "cls", "sketch", "list"])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.nulls(b.num_rows, pa.binary())], ["doc_id", "n", "cls", "sketch", "wide", "list"])
             packed = t.filter(pa.compute.is_valid(t["tokens"]))
             if packed.num_rows:
                 x = [np.frombuffer(b"".join(packed[name].to_pylist()), kind) for name, kind in (("tokens", "<u8"), ("classes", "<i8"), ("sizes", "<i4"))]
@@ -212,7 +226,7 @@ def _lister(percent: int, most: int):
                 for i in range(0, len(lists), 5000):
                     part = lists[i : i + 5000]
                     none = pa.nulls(len(part), pa.int64())
-                    yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(part), pa.binary()), pa.array(part, pa.binary())], ["doc_id", "n", "cls", "sketch", "list"])
+                    yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(part), pa.binary()), pa.nulls(len(part), pa.binary()), pa.array(part, pa.binary())], ["doc_id", "n", "cls", "sketch", "wide", "list"])
 
     return run
 
@@ -326,6 +340,16 @@ def _sets(bits, words: int):
     return run
 
 
+def _near(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = (batch["n_a"].to_numpy() + batch["n_b"].to_numpy()) * (100 - percent)
+            apart = [bits_apart(x, y) for x, y in zip(batch["wide_a"].to_pylist(), batch["wide_b"].to_pylist(), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array((100 + percent) * np.array(apart, np.int64) <= n))
+
+    return run
+
+
 def _compared(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, leader = None, np.zeros(0, np.uint64)
@@ -347,6 +371,8 @@ def _compared(percent: int):
 def compare(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
     """Those of the pairs (a, b) of classes that link, by their full sets."""
     spark = docs.sparkSession
+    of = lambda x: classes.select(F.col("cls").alias(x), F.col("n").alias(f"n_{x}"), F.col("wide").alias(f"wide_{x}"))
+    pairs = materialize(pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(_near(percent), "a long, b long"))
     wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct().join(classes, "cls")
     bits = spark.sparkContext.broadcast(bloom_bits(wanted.select(F.xxhash64("first").alias("h"))))
     sets = materialize(docs.select(F.xxhash64("doc_id").alias("h"), "text").mapInArrow(_sets(bits, words), "cls long, set binary"))
@@ -364,9 +390,9 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     slots = docs.select("text").mapInArrow(_frequent, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
     order = spark.sparkContext.broadcast(Order({r["slot"]: r["n"] for r in slots.toLocalIterator()}))
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    indexed = materialize(docs.mapInArrow(_indexer(order, buckets, percent), _INDEX_SQL).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_lister(percent, run), "doc_id long, n long, cls long, sketch binary, list binary"))
-    rows = indexed.where("n IS NOT NULL").select("doc_id", "n", "cls", "sketch")
-    classes = materialize(rows.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+    indexed = materialize(docs.mapInArrow(_indexer(order, buckets, percent), _INDEX_SQL).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_lister(percent, run), "doc_id long, n long, cls long, sketch binary, wide binary, list binary"))
+    rows = indexed.where("n IS NOT NULL").select("doc_id", "n", "cls", "sketch", "wide")
+    classes = materialize(rows.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("wide", ignorenulls=True).alias("wide")))
     lists = indexed.where("list IS NOT NULL").select("list").distinct().select(F.xxhash64("list").alias("rid"), "list")
     entries = materialize(lists.mapInArrow(_entries, "rid long, cls long").join(classes.select("cls", "n", "sketch"), "cls"))
 
@@ -383,7 +409,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     named = classes.join(comps, classes.cls == comps.node, "left").select("cls", "first", F.coalesce("comp", "cls").alias("comp"))
     least = named.groupBy("comp").agg(F.min("first").alias("least"))
     named = named.join(least, "comp").select("cls", "least")
-    out = rows.join(named, "cls", "left")
+    out = rows.drop("sketch", "wide").join(named, "cls", "left")
     clean = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     return out.withColumn("component", F.coalesce("least", "doc_id")).select(clean("doc_id").alias("doc_id"), F.col("n").alias("n_shingles"), clean("component").alias("component_id"))
 

@@ -10,6 +10,7 @@ from .chat_format import OP3_SQL, op3_chat_format
 from .decontaminate import OP10_SQL, op10_decontaminate
 from .jaccard_join import op5_jaccard_join
 from .language_id import op1_language_id
+from .piece_lattice import op6_piece_lattice
 from .suffix_dedup import op4_suffix_dedup
 from .token_counts import op7_token_counts
 from .token_files import op9_token_files
@@ -24,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_chat_format": op3_chat_format,
         "op4_suffix_dedup": op4_suffix_dedup,
         "op5_jaccard_join": op5_jaccard_join,
+        "op6_piece_lattice": op6_piece_lattice,
         "op7_token_counts": op7_token_counts,
         "op8_url_filter": op8_url_filter,
         "op9_token_files": op9_token_files,

@@ -240,8 +240,8 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part["rid"].to_numpy(), [len(x) for x in lists])), pa.array(np.concatenate(lists)["cls"])], ["rid", "cls"])
 
 
-def _members(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """cls, n, comp and sketch (as uint64 words) of each list of a batch."""
+def _members(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]]:
+    """cls, n, comp, sketch (as uint64 words) and wide sketch of each list of a batch."""
     at = batch["m"].offsets.to_numpy()
     flat = batch["m"].flatten()
     cls, n, comp = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("cls", "n", "comp"))
@@ -249,7 +249,7 @@ def _members(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np
     sketch = data.reshape(-1, SKETCH // 8).view(np.uint64) if len(data) else np.zeros((0, SKETCH // 64), np.uint64)
     at = at - at[0]
     for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-        yield cls[i:j], n[i:j], comp[i:j], sketch[i:j]
+        yield cls[i:j], n[i:j], comp[i:j], sketch[i:j], flat.field("wide").slice(i, j - i)
 
 
 def _may_link(n: int, sketch: np.ndarray, ns: np.ndarray, sketches: np.ndarray, percent: int) -> np.ndarray:
@@ -267,7 +267,7 @@ def _to_leaders(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = [], []
-            for cls, n, _, sketch in _members(batch):
+            for cls, n, _, sketch, _ in _members(batch):
                 order = np.argsort(cls)
                 cls, n, sketch = cls[order], n[order], sketch[order]
                 rest = np.arange(len(cls))
@@ -284,22 +284,24 @@ def _to_leaders(percent: int):
 
 
 def _across(percent: int):
-    """Every pair of a list whose classes are not connected yet and whose sketches allow a link."""
+    """Every pair of a list whose classes are not connected yet and whose sketches, also the wide ones, allow a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, held = [], [], 0
-            for cls, n, comp, sketch in _members(batch):
+            for cls, n, comp, sketch, wide in _members(batch):
                 kinds, inverse, size = np.unique(comp, return_inverse=True, return_counts=True)
                 if len(kinds) < 2:
                     continue
                 largest = inverse == size.argmax()
                 rest = np.flatnonzero(~largest)
+                wide = wide.to_pylist()
                 for k, x in enumerate(rest):
                     other = np.concatenate([np.flatnonzero(largest), rest[k + 1 :]])
                     other = other[inverse[other] != inverse[x]]
                     ok = other[_may_link(n[x], sketch[x], n[other], sketch[other], percent)]
-                    if len(ok):
+                    ok = [y for y in ok.tolist() if (100 + percent) * bits_apart(wide[x], wide[y]) <= (100 - percent) * int(n[x] + n[y])]
+                    if ok:
                         y = cls[ok]
                         a.append(np.minimum(cls[x], y)), b.append(np.maximum(cls[x], y))
                         held += len(y)
@@ -397,12 +399,16 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     entries = materialize(lists.mapInArrow(_entries, "rid long, cls long").join(classes.select("cls", "n", "sketch"), "cls"))
 
     def grouped(e: DataFrame) -> DataFrame:
-        return e.groupBy("rid").agg(F.collect_list(F.struct("cls", "n", "comp", "sketch")).alias("m"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("m")
+        return e.groupBy("rid").agg(F.collect_list(F.struct("cls", "n", "comp", "sketch", "wide")).alias("m")).select("m")
 
-    first = materialize(grouped(entries.withColumn("comp", F.col("cls"))).mapInArrow(_to_leaders(percent), "a long, b long").distinct())
+    alone = entries.withColumns({"comp": F.col("cls"), "wide": F.lit(None).cast("binary")})
+    first = materialize(grouped(alone).mapInArrow(_to_leaders(percent), "a long, b long").distinct())
     links = compare(docs, classes, first, words, percent)
     comps = materialize(components(links))
-    open_ = grouped(entries.join(comps, entries.cls == comps.node, "left").withColumn("comp", F.coalesce("comp", "cls"))).mapInArrow(_across(percent), "a long, b long").distinct()
+    known = entries.join(comps, entries.cls == comps.node, "left").withColumn("comp", F.coalesce("comp", "cls")).drop("node")
+    several = known.groupBy("rid").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("rid")
+    left = known.join(several, "rid").join(classes.select("cls", "wide"), "cls")
+    open_ = grouped(left).mapInArrow(_across(percent), "a long, b long").distinct()
     open_ = materialize(open_.join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
     more = compare(docs, classes, open_, words, percent)
     comps = components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(more))

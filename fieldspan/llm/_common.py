@@ -37,17 +37,23 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def row_key(df: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id and text only, with a key of two columns: equal for rows that are equal in both, so that
-    neither null nor repeated doc_ids mix up rows."""
+def row_key(df: DataFrame, keep: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text and the columns to keep, with a key of two columns: equal for rows that are equal in
+    doc_id and text, so that neither null nor repeated doc_ids mix up rows."""
+    text = F.coalesce(F.col("text"), F.lit(""))
     return df.select(
-        "doc_id",
-        F.coalesce(F.col(text), F.lit("")).alias("text"),
+        F.col("doc_id").cast("long").alias("doc_id"),
+        text.alias("text"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("k1"),
-        F.pmod(F.xxhash64(F.coalesce(F.col(text), F.lit(""))), F.lit(2147483647)).cast("int").alias("k2"),
+        F.pmod(F.xxhash64(text), F.lit(2147483647)).cast("int").alias("k2"),
+        *[F.col(c).alias(f"_{c}") for c in keep],
     )
 
 
+def kept_schema(df: DataFrame, keep: list[str] | tuple[str, ...]) -> str:
+    return "".join(f", `_{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
+
+
 # --- bytes -----------------------------------------------------------------------------------------
 
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import LOWER, NO_ID, Rolling, materialize, mix, row_chunks, row_key, table, text_buffer, words_of
+from ._common import LOWER, Rolling, kept_schema, materialize, mix, row_chunks, row_key, table, text_buffer, words_of
 
 WINDOW, GRAM = 10, 5
 BLOCK_WORDS = 1_000_000
@@ -181,10 +181,11 @@ def blocks(benchmark: DataFrame, most: int = BLOCK_WORDS) -> Iterator[list[tuple
         yield held
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """doc_id, n_words, n_hit, spans (of hit words), item_ids (sorted strings) of every document."""
+def decontaminate(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_words, n_hit, spans (of hit words), item_ids (sorted strings) of every document, and columns to keep, named _column."""
     spark = docs.sparkSession
-    schema = f"doc_id long, k1 long, k2 int, n_words long, n_hit long, spans {SPANS}, item_ids array<string>"
+    kept = [f"_{c}" for c in keep]
+    schema = f"doc_id long, k1 long, k2 int{kept_schema(docs, keep)}, n_words long, n_hit long, spans {SPANS}, item_ids array<string>"
 
     def scan(index) -> DataFrame:
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,12 +195,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOC
                     found = list(findings(index.value, data[at[i] : at[j]], at[i : j + 1] - at[i]))
                     n, hit, spans, ids = map(list, zip(*found, strict=True))
                     yield pa.RecordBatch.from_arrays(
-                        [batch["doc_id"].slice(i, j - i), batch["k1"].slice(i, j - i), batch["k2"].slice(i, j - i), pa.array(n, pa.int64()), pa.array(hit, pa.int64()),
+                        [batch["doc_id"].slice(i, j - i), batch["k1"].slice(i, j - i), batch["k2"].slice(i, j - i), *(batch[c].slice(i, j - i) for c in kept), pa.array(n, pa.int64()), pa.array(hit, pa.int64()),
                          pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(ids, pa.list_(pa.string()))],
-                        ["doc_id", "k1", "k2", "n_words", "n_hit", "spans", "item_ids"],
+                        ["doc_id", "k1", "k2", *kept, "n_words", "n_hit", "spans", "item_ids"],
                     )
 
-        return row_key(docs).withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(search, schema)
+        return row_key(docs, keep).mapInArrow(search, schema)
 
     parts = [scan(spark.sparkContext.broadcast(Index(b))) for b in blocks(benchmark, block_words)] or [scan(spark.sparkContext.broadcast(Index([])))]
     if len(parts) == 1:
@@ -218,7 +219,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOC
     merged = merged.select("k1", "k2", joined.alias("s"), "i")
     out = rows.drop("spans", "item_ids", "n_hit").join(merged, ["k1", "k2"], "left")
     spans = F.coalesce("s", F.array().cast(SPANS))
-    return out.select("doc_id", "n_words", F.aggregate(spans, F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"]).alias("n_hit"), spans.alias("spans"), F.coalesce("i", F.array().cast("array<string>")).alias("item_ids"))
+    return out.select("doc_id", *kept, "n_words", F.aggregate(spans, F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"]).alias("n_hit"), spans.alias("spans"), F.coalesce("i", F.array().cast("array<string>")).alias("item_ids"))
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,10 +37,9 @@ from ._common import row_chunks, table, text_buffer
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 CHUNK = 1 << 24
-LONG = 64
+LONG = 60  # boundaries are bits of a long
 _WORD = re.compile(f"{SPACE}+[^{SPACE}]*")
 _TEXTS = 1 << 30  # numbers of texts in a chunk start here, those of words at 0
-_FAR = 1 << 12  # more than LONG: an edge's key is start * _FAR + end
 
 
 @cache
@@ -65,40 +64,43 @@ def words_of_text(text: str) -> list[str]:
     return [SPACE + w for w in text.split(" ")]
 
 
-def lattice(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
-    """words (chunk, w, word and others) with edges: a map from start * _FAR + end to (cost, id). Rows without a word keep none."""
+def lattice(words: DataFrame, pieces: DataFrame, longest: int, byte_zero: int, unknown_cost: float = 1e6) -> DataFrame:
+    """words (chunk, w, word and others) with edges: the pieces in the word, least cost first, of equals the
+    leftmost. `ends` has the bits of an edge's first and last boundary, `inner` those of the boundaries
+    between. Characters without a piece are edges of their bytes' pieces. Rows without a word have no edges."""
     rest = [c for c in words.columns if c not in ("chunk", "w")]
     spans = F.expr(f"""explode_outer(flatten(transform(sequence(0, n - 1), s -> transform(sequence(1, least({longest}, n - s)), l ->
-        struct(s * {_FAR} + s + l AS edge, substr(word, s + 1, l) AS piece)))))""")
-    x = words.withColumn("n", F.length("word")).select(*words.columns, spans.alias("x")).select(*words.columns, "x.edge", "x.piece")
-    x = x.join(F.broadcast(pieces), "piece", "left")
-    edge = F.when(F.col("id").isNotNull(), F.struct(F.col("edge").alias("key"), F.struct((-F.col("score")).alias("cost"), "id").alias("value")))
-    return x.groupBy("chunk", "w").agg(*[F.first(c).alias(c) for c in rest], F.map_from_entries(F.collect_list(edge)).alias("edges"))
+        struct(s AS first, s + l AS last, substr(word, s + 1, l) AS piece)))))""")
+    x = words.withColumn("n", F.length("word")).select(*words.columns, spans.alias("x")).select(*words.columns, "x.first", "x.last", "x.piece")
+    x = x.join(F.broadcast(pieces), "piece", "left").where("id IS NOT NULL OR piece IS NULL OR last = first + 1")
+    spelled = f"transform(array(hex(encode(piece, 'utf-8'))), h -> transform(sequence(1, cast(length(h) / 2 AS int)), k -> cast(conv(substr(h, 2 * k - 1, 2), 16, 10) AS int) + {byte_zero}))[0]"
+    edge = F.expr(f"""CASE WHEN piece IS NOT NULL THEN struct(
+        coalesce(-score, {unknown_cost}D) AS cost, first, last,
+        shiftleft(1L, first) | shiftleft(1L, last) AS ends, (shiftleft(1L, last) - 1) ^ (shiftleft(2L, first) - 1) AS inner,
+        id, CASE WHEN id IS NULL THEN {spelled} END AS bytes) END""")
+    return x.groupBy("chunk", "w").agg(*[F.first(c).alias(c) for c in rest], F.array_sort(F.collect_list(edge)).alias("edges"))
 
 
-_MERGE = f"""aggregate(sequence(1, length(word)), sequence(0, length(word)), (b, step) ->
-  CASE WHEN size(b) < 3 THEN b ELSE
-    transform(array(array_min(filter(transform(sequence(0, size(b) - 3), i -> struct(edges[b[i] * {_FAR} + b[i + 2]].cost AS cost, i AS i)), x -> x.cost IS NOT NULL))),
-      m -> CASE WHEN m IS NULL THEN b ELSE filter(b, (x, j) -> j <> m.i + 1) END)[0]
-  END)"""
+#: The word's boundaries are the bits of a long. A merge takes away the one boundary inside an edge.
+_MERGE = """aggregate(sequence(1, length(word)), shiftleft(2L, length(word)) - 1, (b, step) -> b & ~coalesce(
+  get(filter(edges, e -> (b & e.ends) = e.ends AND bit_count(b & e.inner) = 1), 0).inner, 0L))"""
 
-_BEST = f"""aggregate(sequence(1, length(word)), array(struct(0D AS cost, 0 AS start)), (st, e) -> concat(st, array(
-  array_min(filter(transform(sequence(greatest(0, e - %d), e - 1), s -> struct(
-    st[s].cost + coalesce(edges[s * {_FAR} + e].cost, CASE WHEN s = e - 1 THEN %fD END) AS cost, s AS start)), x -> x.cost IS NOT NULL)))))"""
-_BACK = "aggregate(sequence(1, length(word)), array(length(word)), (b, step) -> CASE WHEN b[0] = 0 THEN b ELSE concat(array(best[b[0]].start), b) END)"
+_BEST = """aggregate(sequence(1, length(word)), array(struct(0D AS cost, 0 AS first)), (best, to) -> concat(best, array(
+  array_min(transform(filter(edges, e -> e.last = to), e -> struct(best[e.first].cost + e.cost AS cost, e.first AS first))))))"""
+_BACK = """aggregate(reverse(sequence(1, length(word))), shiftleft(1L, length(word)), (b, at) ->
+  CASE WHEN (shiftright(b, at) & 1) = 1 THEN b | shiftleft(1L, best[at].first) ELSE b END)"""
 
 
-def folded(words: DataFrame, kind: str, longest: int, byte_zero: int, unknown_cost: float = 1e6) -> DataFrame:
+def folded(words: DataFrame, kind: str) -> DataFrame:
     """words with ids: the pieces of the lattice's chosen path."""
     if kind == "bpe":
-        cut = words.withColumn("cut", F.expr(_MERGE))
+        cut = words.withColumn("b", F.expr(_MERGE))
     elif kind == "unigram":
-        cut = words.withColumn("best", F.expr(_BEST % (longest, unknown_cost))).withColumn("cut", F.expr(_BACK))
+        cut = words.withColumn("best", F.expr(_BEST)).withColumn("b", F.expr(_BACK))
     else:
         raise ValueError(f"unknown kind {kind!r}")
-    hexed = "hex(encode(substr(word, cut[i] + 1, cut[i + 1] - cut[i]), 'utf-8'))"
-    as_bytes = f"transform(array({hexed}), h -> transform(sequence(1, cast(length(h) / 2 AS int)), k -> cast(conv(substr(h, 2 * k - 1, 2), 16, 10) AS int) + {byte_zero}))[0]"
-    ids = F.expr(f"flatten(transform(sequence(0, size(cut) - 2), i -> CASE WHEN edges[cut[i] * {_FAR} + cut[i + 1]] IS NOT NULL THEN array(edges[cut[i] * {_FAR} + cut[i + 1]].id) ELSE {as_bytes} END))")
+    path = "array_sort(transform(filter(edges, e -> (b & e.ends) = e.ends AND (b & e.inner) = 0), e -> struct(e.first AS first, e.id AS id, e.bytes AS bytes)))"
+    ids = F.expr(f"flatten(transform({path}, e -> coalesce(e.bytes, array(e.id))))")
     return cut.select(*[c for c in words.columns if c != "edges"], ids.alias("ids"))
 
 
@@ -142,7 +144,7 @@ def encode(docs: DataFrame, model: str, kind: str = "bpe", chunk: int = CHUNK) -
         yield from close()
 
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(chunks, "chunk long, w int, word string, doc_id long, text string").repartition("chunk")
-    coded = folded(lattice(rows, pieces, longest), kind, longest, byte_zero)
+    coded = folded(lattice(rows, pieces, longest, byte_zero), kind)
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A chunk's words come first; then each of its texts is put together from them."""

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import Rolling, i64, materialize, mix, row_key, table, text_buffer, u64, whole_groups
+from ._common import Rolling, i64, kept_schema, materialize, mix, row_key, table, text_buffer, u64, whole_groups
 
 LENGTH = 200
 TILE = 1 << 20
@@ -217,9 +217,9 @@ def merge_spans(spans: list[dict]) -> list[tuple[int, int]]:
     return out
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
-    """doc_id, n_bytes, spans (removed, maximal), kept (the bytes that stay), k1, k2 of every document."""
-    keyed = row_key(docs)
+def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_bytes, spans (removed, maximal), kept (the bytes that stay) of every document, and columns to keep, named _column."""
+    keyed = row_key(docs, keep)
     spans = repeated_spans(keyed, length, hot).distinct().groupBy("k1", "k2").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,9 +231,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Dat
                 sizes.append(len(text))
                 merged.append([{"start": s, "end": e} for s, e in out])
                 rest.append(b"".join(text[a:b] for a, b in zip(at[::2], at[1::2], strict=True)))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["k1"], batch["k2"], pa.array(sizes, pa.int64()), pa.array(merged, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(rest, pa.binary())], ["doc_id", "k1", "k2", "n_bytes", "spans", "kept"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], *(batch[f"_{c}"] for c in keep), pa.array(sizes, pa.int64()), pa.array(merged, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(rest, pa.binary())], ["doc_id", *(f"_{c}" for c in keep), "n_bytes", "spans", "kept"])
 
-    return keyed.withColumn("doc_id", F.col("doc_id").cast("long")).join(spans, ["k1", "k2"], "left").mapInArrow(kept, "doc_id long, k1 long, k2 int, n_bytes long, spans array<struct<start:int,end:int>>, kept binary")
+    return keyed.join(spans, ["k1", "k2"], "left").mapInArrow(kept, f"doc_id long{kept_schema(docs, keep)}, n_bytes long, spans array<struct<start:int,end:int>>, kept binary")
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

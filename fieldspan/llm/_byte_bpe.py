@@ -8,15 +8,23 @@ from __future__ import annotations
 
 import os
 import re
+import string
+from array import array
+
 
-import numpy as np
 
 TOKENIZER = "byte_bpe_50k.json"
-CACHED_WORDS = 800_000
+CACHED_WORDS = 1_000_000
 _RUN = re.compile(r"\s \s|\s $")
 _CUT = re.compile(r"(?<=\S)(?= )")
 
 
+#: How the vocabulary writes bytes, as the published byte-level scheme has it: printable ones of Latin-1 as
+#: themselves, the others in order from U+0100 on.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_SHOWN = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+
+
 class WordEncoder:
     """ids(text) is the little-endian uint32 ids of a text, without special tokens; count(text) their number."""
 
@@ -31,19 +39,66 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         model = json.loads(Path(path).read_text())["model"]
         # the library's own cache of words only costs time behind ours
-        self.tokenizer.model = BPE(model["vocab"], [tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]], cache_capacity=0)
+        self.model = BPE(model["vocab"], [tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]], cache_capacity=0)
+        self.tokenizer.model = self.model
         self.tokenizer.encode_special_tokens = True
         self.cache: dict[str, bytes] = {}
+        self.marks = {c: self._whole([c])[0] for c in string.punctuation}
+        self.feed = self._whole(["\n"])[0]
+
+    def _whole(self, words: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _part(self, w: str) -> bytes | None:
+        """The ids of a word that the pre-tokenizer leaves whole, or cuts before its closing marks or at line
+        feeds between its parts; None for any other."""
+        ids = self.cache.get(w)
+        if ids is not None:
+            return ids
+        core = w[1:] if w[:1] == " " else w
+        if core.isalpha():
+            if core.isascii():
+                shown = "\u0120" + core if core is not w else w
+            elif max(core) < "\u2000":
+                shown = w.encode().decode("latin-1").translate(_SHOWN)
+            else:
+                return None
+            ids = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+        elif core[-1:] in self.marks and (head := w.rstrip(string.punctuation)) and head[-1].isalpha():
+            ids = self._part(head)
+            if ids is None:
+                return None
+            tail = w[len(head) :]
+            if tail not in self.marks:
+                if len(self.marks) > 10_000:
+                    return None
+                self.marks[tail] = self._whole([tail])[0]
+            return ids + self.marks[tail]
+        elif "\n" in core:
+            parts = w.split("\n")
+            if any(not p or p[-1].isspace() for p in parts) or any(p[0].isspace() for p in parts[1:]):
+                return None
+            got = [self._part(p) for p in parts]
+            return None if None in got else self.feed.join(got)
+        else:
+            return None
+        self.cache[w] = ids
+        return ids
 
     def _learn(self, words: set[str]) -> None:
         todo = [w for w in words if w not in self.cache]
         if len(self.cache) + len(todo) > CACHED_WORDS:
             self.cache.clear()
             todo = list(words)
-        for i in range(0, len(todo), 4096):
-            part = todo[i : i + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.cache[w] = np.array(e.ids, "<u4").tobytes()
+        hard = []
+        for w in todo:
+            ids = self._part(w)
+            if ids is None:
+                hard.append(w)
+            else:
+                self.cache[w] = ids
+        for i in range(0, len(hard), 4096):
+            self.cache.update(zip(hard[i : i + 4096], self._whole(hard[i : i + 4096]), strict=True))
 
     @staticmethod
     def pieces(text: str) -> list[str]:

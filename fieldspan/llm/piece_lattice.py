@@ -36,7 +36,7 @@ from ._common import row_chunks, table, text_buffer
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
-CHUNK = 1 << 24
+CHUNK = 1 << 23
 LONG = 60  # boundaries are bits of a long
 _WORD = re.compile(f"{SPACE}+[^{SPACE}]*")
 _TEXTS = 1 << 30  # numbers of texts in a chunk start here, those of words at 0
@@ -65,20 +65,20 @@ def words_of_text(text: str) -> list[str]:
 
 
 def lattice(words: DataFrame, pieces: DataFrame, longest: int, byte_zero: int, unknown_cost: float = 1e6) -> DataFrame:
-    """words (chunk, w, word and others) with edges: the pieces in the word, least cost first, of equals the
+    """chunk, w, word, packed, edges of rows (chunk, w, word, packed): the pieces in the word, least cost first, of equals the
     leftmost. `ends` has the bits of an edge's first and last boundary, `inner` those of the boundaries
     between. Characters without a piece are edges of their bytes' pieces. Rows without a word have no edges."""
-    rest = [c for c in words.columns if c not in ("chunk", "w")]
     spans = F.expr(f"""explode_outer(flatten(transform(sequence(0, n - 1), s -> transform(sequence(1, least({longest}, n - s)), l ->
         struct(s AS first, s + l AS last, substr(word, s + 1, l) AS piece)))))""")
-    x = words.withColumn("n", F.length("word")).select(*words.columns, spans.alias("x")).select(*words.columns, "x.first", "x.last", "x.piece")
+    x = words.withColumn("n", F.length("word")).select("chunk", "w", "word", "packed", spans.alias("x"))
+    # the word itself stays with its first edge only
+    x = x.select("chunk", "w", F.expr("CASE WHEN x.first = 0 AND x.last = 1 THEN word END").alias("word"), "packed", "x.first", "x.last", "x.piece")
     x = x.join(F.broadcast(pieces), "piece", "left").where("id IS NOT NULL OR piece IS NULL OR last = first + 1")
     spelled = f"transform(array(hex(encode(piece, 'utf-8'))), h -> transform(sequence(1, cast(length(h) / 2 AS int)), k -> cast(conv(substr(h, 2 * k - 1, 2), 16, 10) AS int) + {byte_zero}))[0]"
-    edge = F.expr(f"""CASE WHEN piece IS NOT NULL THEN struct(
-        coalesce(-score, {unknown_cost}D) AS cost, first, last,
-        shiftleft(1L, first) | shiftleft(1L, last) AS ends, (shiftleft(1L, last) - 1) ^ (shiftleft(2L, first) - 1) AS inner,
-        id, CASE WHEN id IS NULL THEN {spelled} END AS bytes) END""")
-    return x.groupBy("chunk", "w").agg(*[F.first(c).alias(c) for c in rest], F.array_sort(F.collect_list(edge)).alias("edges"))
+    edge = F.expr(f"CASE WHEN piece IS NOT NULL THEN struct(coalesce(-score, {unknown_cost}D) AS cost, first, last, id, CASE WHEN id IS NULL THEN {spelled} END AS bytes) END")
+    grouped = x.groupBy("chunk", "w").agg(F.max("word").alias("word"), F.first("packed", ignorenulls=True).alias("packed"), F.collect_list(edge).alias("edges"))
+    bits = "struct(e.first, e.last, e.cost, e.id, e.bytes, shiftleft(1L, e.first) | shiftleft(1L, e.last) AS ends, (shiftleft(1L, e.last) - 1) ^ (shiftleft(2L, e.first) - 1) AS inner)"
+    return grouped.withColumn("edges", F.expr(f"transform(array_sort(edges), e -> {bits})"))
 
 
 #: The word's boundaries are the bits of a long. A merge takes away the one boundary inside an edge.
@@ -101,7 +101,19 @@ def folded(words: DataFrame, kind: str) -> DataFrame:
         raise ValueError(f"unknown kind {kind!r}")
     path = "array_sort(transform(filter(edges, e -> (b & e.ends) = e.ends AND (b & e.inner) = 0), e -> struct(e.first AS first, e.id AS id, e.bytes AS bytes)))"
     ids = F.expr(f"flatten(transform({path}, e -> coalesce(e.bytes, array(e.id))))")
-    return cut.select(*[c for c in words.columns if c != "edges"], ids.alias("ids"))
+    return cut.select("chunk", "w", "word", "packed", ids.alias("ids"))
+
+
+def packed_rows(rows: pa.RecordBatch) -> bytes:
+    """doc_id and text of some rows, compressed: texts are shuffled this way."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.select(["doc_id", "text"]).schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(rows.select(["doc_id", "text"]))
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked_rows(packed: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(packed).read_next_batch()
 
 
 def encode(docs: DataFrame, model: str, kind: str = "bpe", chunk: int = CHUNK) -> DataFrame:
@@ -114,36 +126,33 @@ def encode(docs: DataFrame, model: str, kind: str = "bpe", chunk: int = CHUNK) -
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of documents and of the distinct words of their chunk."""
-        part, number = TaskContext.get().partitionId(), 0
-        words: dict[str, int] = {}
-        size, texts = 0, 0
-        name = lambda: (part << 32) | number
+        part, number, texts, size = TaskContext.get().partitionId(), 0, 0, 0
+        words: dict[str, None] = {}
+
+        def row(w: int, some: list[str] | None, packed: bytes | None) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([(part << 32) | number], pa.int64()), pa.array([w], pa.int32()), pa.array([some], pa.list_(pa.string())), pa.array([packed], pa.binary())], ["chunk", "w", "words", "packed"])
 
         def close() -> Iterator[pa.RecordBatch]:
             listed = list(words)
-            for i in range(0, len(listed), 50_000):
-                some = listed[i : i + 50_000]
-                n = len(some)
-                yield pa.RecordBatch.from_arrays([pa.array([name()] * n, pa.int64()), pa.array(range(i, i + n), pa.int32()), pa.array(some, pa.string()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.string())], ["chunk", "w", "word", "doc_id", "text"])
+            for i in range(0, len(listed), 4096):
+                yield row(i, listed[i : i + 4096], None)
 
         for batch in batches:
             _, at = text_buffer(batch["text"])
             for i, j in row_chunks(at, chunk // 8):
                 rows = batch.slice(i, j - i)
-                n = rows.num_rows
                 for t in rows["text"].to_pylist():
-                    for w in set(words_of_text(t)):
-                        if len(w) <= LONG:
-                            words.setdefault(w, 0)
-                yield pa.RecordBatch.from_arrays([pa.array([name()] * n, pa.int64()), pa.array(range(_TEXTS + texts, _TEXTS + texts + n), pa.int32()), pa.nulls(n, pa.string()), rows["doc_id"], rows["text"]], ["chunk", "w", "word", "doc_id", "text"])
-                texts += n
+                    words.update(dict.fromkeys(w for w in words_of_text(t) if len(w) <= LONG))
+                yield row(_TEXTS + texts, None, packed_rows(rows))
+                texts += 1
                 size += int(at[j] - at[i])
                 if size >= chunk:
                     yield from close()
                     words, size, texts, number = {}, 0, 0, number + 1
         yield from close()
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(chunks, "chunk long, w int, word string, doc_id long, text string").repartition("chunk")
+    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(chunks, "chunk long, w int, words array<string>, packed binary").repartition("chunk")
+    rows = rows.select("chunk", "w", "packed", F.posexplode_outer("words").alias("i", "word")).select("chunk", (F.col("w") + F.coalesce("i", F.lit(0))).alias("w"), "word", "packed")
     coded = folded(lattice(rows, pieces, longest, byte_zero), kind)
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,18 +169,18 @@ def encode(docs: DataFrame, model: str, kind: str = "bpe", chunk: int = CHUNK) -
                 ends, flat = part["ids"].slice(0, n).offsets.to_numpy(), part["ids"].values.to_numpy().astype("<i4")
                 codes.update(zip(part["word"].slice(0, n).to_pylist(), [flat[a:b].tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], strict=True))
                 part = part.slice(n)
-                if not part.num_rows:
-                    continue
-                out = []
-                for t in part["text"].to_pylist():
-                    found = words_of_text(t)
-                    for w in set(found) - codes.keys():
-                        codes[w] = np.array(processor(model).encode(w[1:].replace(SPACE, " ")), "<i4").tobytes()
-                    out.append(b"".join(map(codes.__getitem__, found)))
-                offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in out])])
-                yield pa.RecordBatch.from_arrays([part["doc_id"], part["text"], pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(out), np.int32)))], ["doc_id", "text", "ids"])
-
-    return coded.select("chunk", "w", "word", "doc_id", "text", "ids").sortWithinPartitions("chunk", "w").mapInArrow(assemble, "doc_id long, text string, ids array<int>")
+                for packed in part["packed"].to_pylist():
+                    texts = unpacked_rows(packed)
+                    out = []
+                    for t in texts["text"].to_pylist():
+                        found = words_of_text(t)
+                        for w in set(found) - codes.keys():
+                            codes[w] = np.array(processor(model).encode(w[1:].replace(SPACE, " ")), "<i4").tobytes()
+                        out.append(b"".join(map(codes.__getitem__, found)))
+                    offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in out])])
+                    yield pa.RecordBatch.from_arrays([texts["doc_id"], texts["text"], pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(out), np.int32)))], ["doc_id", "text", "ids"])
+
+    return coded.select("chunk", "w", "word", "packed", "ids").sortWithinPartitions("chunk", "w").mapInArrow(assemble, "doc_id long, text string, ids array<int>")
 
 
 def decoded(ids: np.ndarray, spelled: list[bytes]) -> str:

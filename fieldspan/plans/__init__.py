@@ -1 +1,116 @@
-"""See the README."""
+"""Requests, cached stages and the stage graph."""
+
+from __future__ import annotations
+
+import hashlib
+import time
+from collections.abc import Callable
+from dataclasses import dataclass, field
+from datetime import date
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+@dataclass(frozen=True)
+class Request:
+    """A box (west, south, east, north) and dates; its keys name what is stored for it."""
+
+    bbox: tuple[float, float, float, float]
+    start: date
+    end: date
+    root: str = "."
+    stub: str = ""
+
+    @classmethod
+    def around(cls, lat: float, lon: float, km: float, start: date, end: date, **rest) -> Request:
+        import math
+
+        a, b = km / 111, km / (111 * math.cos(math.radians(lat)))
+        return cls((lon - b, lat - a, lon + b, lat + a), start, end, **rest)
+
+    @property
+    def centre(self) -> tuple[float, float]:
+        w, s, e, n = self.bbox
+        return (s + n) / 2, (w + e) / 2
+
+    @property
+    def place_hash(self) -> str:
+        return hashlib.sha256(str([round(c, 3) for c in self.bbox]).encode()).hexdigest()
+
+    @property
+    def time_hash(self) -> str:
+        return hashlib.sha256(f"{self.start}{self.end}".encode()).hexdigest()
+
+    @property
+    def name(self) -> str:
+        return self.stub or hashlib.sha256(f"{list(self.bbox)}{self.start}{self.end}".encode()).hexdigest()
+
+    def path(self, stage: str) -> str:
+        return f"{self.root}/{self.place_hash[:16]}/{self.time_hash[:16]}/{stage}"
+
+
+def is_complete(spark: SparkSession, path: str) -> bool:
+    """Whether a stage's folder holds the committer's success marker."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def cached(spark: SparkSession, path: str, build: Callable[[], DataFrame], reload: bool = False, partition_by: list[str] | None = None) -> DataFrame:
+    """The stage at path, built anew if it is incomplete or can't be read."""
+    if not reload and is_complete(spark, path):
+        try:
+            return spark.read.parquet(path)
+        except Exception:  # noqa: BLE001  a marker without readable data: build it again
+            pass
+    w = build().write.mode("overwrite")
+    (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
+    return spark.read.parquet(path)
+
+
+@dataclass
+class Stage:
+    name: str
+    run: Callable[[dict], object]
+    needs: tuple[str, ...] = ()
+
+
+@dataclass
+class Graph:
+    """Runs stages in order; one whose need failed or was skipped is skipped, the rest go on; the first error is raised at the end."""
+
+    stages: list[Stage]
+    status: dict[str, str] = field(default_factory=dict)
+    seconds: dict[str, float] = field(default_factory=dict)
+
+    def run(self, context: dict | None = None, raise_errors: bool = True) -> dict:
+        context, first = context if context is not None else {}, None
+        for s in self.stages:
+            if any(self.status.get(n) in ("error", "skipped") for n in s.needs):
+                self.status[s.name] = "skipped"
+                continue
+            began = time.monotonic()
+            try:
+                context[s.name] = s.run(context)
+                self.status[s.name] = "done"
+            except Exception as e:  # noqa: BLE001  collected, raised below
+                self.status[s.name], first = "error", first or e
+            self.seconds[s.name] = time.monotonic() - began
+        if first and raise_errors:
+            raise first
+        return context
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame([(s.name, self.status.get(s.name, "waiting"), float(self.seconds.get(s.name, 0))) for s in self.stages], "stage string, status string, seconds double")
+
+
+def season_chain(pixels: DataFrame, days: int = 10, value: str = "ndvi", least: int = 25) -> DataFrame:
+    """Pixels to season metrics: cloud mask, scene filter, index, zonal median, bins, gaps filled, smoothed, years, metrics."""
+    from fieldspan.operators import phenology, pixels as px, series, zonal
+
+    clean = px.keep_clear_scenes(px.cloud_mask(pixels))
+    medians = zonal.zonal_median(clean.select("zone", "time", px.index_named(value).alias(value)), ["zone", "time"], [value])
+    binned = series.resample(medians, ["zone"], [value], days)
+    smooth = series.savgol(series.pchip(binned, ["zone"], value), ["zone"], value)
+    yearly = series.with_year_and_doy(smooth, "label")
+    kept = zonal.enough_observations(yearly, ["year", "zone"], value, least)
+    return phenology.metrics(kept, ["year", "zone"], value)

@@ -10,14 +10,14 @@ Documents with equal sets form a class; everything below is between classes.
    of n can only link with sets that share one of its first n - ceil(3n/4) + 1 shingles: these are indexed.
    Index lists that hold one class are dropped. A list is ordered by set size and skipped across where sizes
    jump by more than the threshold allows; equal lists are kept once.
-2. Set relations: in each list the sets are compared with a few leaders only. A set that links with its leader
-   takes over the leader's answers: sets that are already connected need no comparison.
+2. Set relations: in one of EARLY lists the sets are compared with a few leaders only. A set that links with
+   its leader takes over the leader's answers: sets that are already connected need no comparison.
 3. What remains are pairs of a list that are not yet connected; all of these are compared, so the result is
    exact. Lists of more than RUN classes are dealt out as pairs of blocks.
 
 Before sets are compared in full, parity sketches are: the bits in which two sketches differ are never more
 than the shingles in which the sets differ, so no link is lost. Lists carry a short sketch, and pairs that
-pass it are held against wide ones of two bits and more a shingle. Full sets are made only for what is left,
+pass it are held against wide ones of a bit and more a shingle. Full sets are made only for what is left,
 and shuffled by leader with salts, so that a leader of many is spread.
 
 Shingles are compared as 64-bit hashes. Null text has no words. Repeated rows are equal sets. A null doc_id
@@ -39,6 +39,7 @@ from ._common import LOWER, NO_ID, Rolling, components, i64, materialize, mix, r
 WORDS, PERCENT = 5, 75
 RUN = 4096
 LEADERS = 16
+EARLY = 8
 SLOTS = 1 << 18
 SKETCH = 512
 BLOOM = 1 << 24
@@ -80,8 +81,8 @@ def sketch_of(s: np.ndarray) -> bytes:
 
 
 def wide_sketch_of(s: np.ndarray) -> bytes:
-    """A sketch of the least power of two of bits that is twice the set's size; a larger one folds into a smaller."""
-    bits = np.uint64(max(SKETCH, 1 << (2 * len(s) - 1).bit_length()))
+    """A sketch of the least power of two of bits that is the set's size or more; a larger one folds into a smaller."""
+    bits = np.uint64(max(SKETCH, 1 << (len(s) - 1).bit_length()))
     return np.packbits((np.bincount((s & (bits - np.uint64(1))).astype(np.int64), minlength=int(bits)) & 1).astype(bool), bitorder="little").tobytes()
 
 
@@ -401,7 +402,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     def grouped(e: DataFrame) -> DataFrame:
         return e.groupBy("rid").agg(F.collect_list(F.struct("cls", "n", "comp", "sketch", "wide")).alias("m")).select("m")
 
-    alone = entries.withColumns({"comp": F.col("cls"), "wide": F.lit(None).cast("binary")})
+    alone = entries.where(F.pmod("rid", F.lit(EARLY)) == 0).withColumns({"comp": F.col("cls"), "wide": F.lit(None).cast("binary")})
     first = materialize(grouped(alone).mapInArrow(_to_leaders(percent), "a long, b long").distinct())
     links = compare(docs, classes, first, words, percent)
     comps = materialize(components(links))

@@ -10,8 +10,10 @@ Spark's aggregate():
   merged, until none is left. Viterbi over a BPE model's scores, which are ranks of merges, gives other pieces
   than the model's own encoder; so for these models the fold is the merge rule over the same lattice.
 
-Characters without a piece become their UTF-8 bytes' pieces. A chunk's words and documents share one shuffle;
-a chunk is about CHUNK bytes of text (a longer document is one by itself), which bounds what a task holds.
+Characters without a piece become their UTF-8 bytes' pieces. A task reads about CHUNK bytes of text at a time
+(a longer document alone), which bounds what it holds; their distinct words go through the lattice, then the
+texts are put together from them. As explode and the broadcast join keep a partition's order, a word's edges
+stand together and are grouped where they are: nothing is shuffled, sorted or spilled.
 Words of more than LONG characters, for which the fold would take too long, are encoded by the library.
 The piece table is as large as the model and is broadcast.
 
@@ -36,7 +38,7 @@ from ._common import row_chunks, table, text_buffer
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
-CHUNK = 1 << 23
+CHUNK = 1 << 24
 LONG = 60  # boundaries are bits of a long
 _WORD = re.compile(f"{SPACE}+[^{SPACE}]*")
 _TEXTS = 1 << 30  # numbers of texts in a chunk start here, those of words at 0
@@ -64,6 +66,43 @@ def words_of_text(text: str) -> list[str]:
     return [SPACE + w for w in text.split(" ")]
 
 
+_EDGE = "struct<cost:double,first:int,last:int,id:int,bytes:array<int>>"
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each run of rows of one (chunk, w), with its edges. A run that comes back is an error."""
+    held, last = None, (-1, -1)
+    for batch in _then_none(batches):
+        if batch is not None and not batch.num_rows:
+            continue
+        parts = [x for x in (held, batch) if x is not None]
+        if not parts:
+            return
+        t = pa.Table.from_batches(parts).combine_chunks() if len(parts) > 1 else pa.Table.from_batches(parts)
+        chunk, w = t["chunk"].to_numpy(), t["w"].to_numpy()
+        start = np.concatenate([[0], np.flatnonzero((chunk[1:] != chunk[:-1]) | (w[1:] != w[:-1])) + 1])
+        end = len(w) if batch is None else int(start[-1])
+        if batch is not None:
+            held = t.slice(end).combine_chunks().to_batches()[0]
+            start = start[:-1]
+        if not len(start):
+            continue
+        keys = list(zip(chunk[start].tolist(), w[start].tolist(), strict=True))
+        if any(a >= b for a, b in zip([last, *keys[:-1]], keys, strict=True)):
+            raise RuntimeError("the rows of a word were parted")
+        last = keys[-1]
+        first = pa.array(start)
+        edges = t["edge"].slice(0, end).combine_chunks()
+        edges = edges.chunk(0) if isinstance(edges, pa.ChunkedArray) else edges
+        word, packed = (t[c].combine_chunks().take(first) for c in ("word", "packed"))
+        yield pa.RecordBatch.from_arrays([pa.array(chunk[start]), pa.array(w[start]), word, packed, pa.ListArray.from_arrays(pa.array(np.append(start, end), pa.int32()), edges)], ["chunk", "w", "word", "packed", "edges"])
+
+
+def _then_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
 def lattice(words: DataFrame, pieces: DataFrame, longest: int, byte_zero: int, unknown_cost: float = 1e6) -> DataFrame:
     """chunk, w, word, packed, edges of rows (chunk, w, word, packed): the pieces in the word, least cost first, of equals the
     leftmost. `ends` has the bits of an edge's first and last boundary, `inner` those of the boundaries
@@ -76,7 +115,7 @@ def lattice(words: DataFrame, pieces: DataFrame, longest: int, byte_zero: int, u
     x = x.join(F.broadcast(pieces), "piece", "left").where("id IS NOT NULL OR piece IS NULL OR last = first + 1")
     spelled = f"transform(array(hex(encode(piece, 'utf-8'))), h -> transform(sequence(1, cast(length(h) / 2 AS int)), k -> cast(conv(substr(h, 2 * k - 1, 2), 16, 10) AS int) + {byte_zero}))[0]"
     edge = F.expr(f"CASE WHEN piece IS NOT NULL THEN struct(coalesce(-score, {unknown_cost}D) AS cost, first, last, id, CASE WHEN id IS NULL THEN {spelled} END AS bytes) END")
-    grouped = x.groupBy("chunk", "w").agg(F.max("word").alias("word"), F.first("packed", ignorenulls=True).alias("packed"), F.collect_list(edge).alias("edges"))
+    grouped = x.select("chunk", "w", "word", "packed", edge.alias("edge")).mapInArrow(_grouped, f"chunk long, w int, word string, packed binary, edges array<{_EDGE}>")
     bits = "struct(e.first, e.last, e.cost, e.id, e.bytes, shiftleft(1L, e.first) | shiftleft(1L, e.last) AS ends, (shiftleft(1L, e.last) - 1) ^ (shiftleft(2L, e.first) - 1) AS inner)"
     return grouped.withColumn("edges", F.expr(f"transform(array_sort(edges), e -> {bits})"))
 
@@ -126,8 +165,9 @@ def encode(docs: DataFrame, model: str, kind: str = "bpe", chunk: int = CHUNK) -
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of documents and of the distinct words of their chunk."""
-        part, number, texts, size = TaskContext.get().partitionId(), 0, 0, 0
+        part, number, size = TaskContext.get().partitionId(), 0, 0
         words: dict[str, None] = {}
+        texts: list[bytes] = []
 
         def row(w: int, some: list[str] | None, packed: bytes | None) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([(part << 32) | number], pa.int64()), pa.array([w], pa.int32()), pa.array([some], pa.list_(pa.string())), pa.array([packed], pa.binary())], ["chunk", "w", "words", "packed"])
@@ -136,6 +176,8 @@ def encode(docs: DataFrame, model: str, kind: str = "bpe", chunk: int = CHUNK) -
             listed = list(words)
             for i in range(0, len(listed), 4096):
                 yield row(i, listed[i : i + 4096], None)
+            for i, packed in enumerate(texts):
+                yield row(_TEXTS + i, None, packed)
 
         for batch in batches:
             _, at = text_buffer(batch["text"])
@@ -143,15 +185,14 @@ def encode(docs: DataFrame, model: str, kind: str = "bpe", chunk: int = CHUNK) -
                 rows = batch.slice(i, j - i)
                 for t in rows["text"].to_pylist():
                     words.update(dict.fromkeys(w for w in words_of_text(t) if len(w) <= LONG))
-                yield row(_TEXTS + texts, None, packed_rows(rows))
-                texts += 1
+                texts.append(packed_rows(rows))
                 size += int(at[j] - at[i])
                 if size >= chunk:
                     yield from close()
-                    words, size, texts, number = {}, 0, 0, number + 1
+                    words, size, texts, number = {}, 0, [], number + 1
         yield from close()
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(chunks, "chunk long, w int, words array<string>, packed binary").repartition("chunk")
+    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(chunks, "chunk long, w int, words array<string>, packed binary")
     rows = rows.select("chunk", "w", "packed", F.posexplode_outer("words").alias("i", "word")).select("chunk", (F.col("w") + F.coalesce("i", F.lit(0))).alias("w"), "word", "packed")
     coded = folded(lattice(rows, pieces, longest, byte_zero), kind)
 
@@ -180,7 +221,7 @@ def encode(docs: DataFrame, model: str, kind: str = "bpe", chunk: int = CHUNK) -
                     offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in out])])
                     yield pa.RecordBatch.from_arrays([texts["doc_id"], texts["text"], pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(out), np.int32)))], ["doc_id", "text", "ids"])
 
-    return coded.select("chunk", "w", "word", "packed", "ids").sortWithinPartitions("chunk", "w").mapInArrow(assemble, "doc_id long, text string, ids array<int>")
+    return coded.select("chunk", "w", "word", "packed", "ids").mapInArrow(assemble, "doc_id long, text string, ids array<int>")
 
 
 def decoded(ids: np.ndarray, spelled: list[bytes]) -> str:

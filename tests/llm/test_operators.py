@@ -267,6 +267,8 @@ def test_pieces(spark, documents, odd, empty):
     rows = [*documents[:60], *ODD, (20, "a▁b  ▁ c"), (21, " "), (22, "  a  b   c "), (23, "x" * 300)]
     got = order((r.doc_id, r.text, tuple(r.ids)) for r in piece_lattice.encode(spark.createDataFrame(rows, "doc_id long, text string"), model, chunk=20_000).collect())
     assert got == order((d, t or "", tuple(sp.encode(t or ""))) for d, t in rows)
+    assert got == order((r.doc_id, r.text, tuple(r.ids)) for r in piece_lattice.encode_by_words(spark.createDataFrame(rows, "doc_id long, text string"), model).collect())
+    assert piece_lattice.encode_by_words(empty, model).count() == 0
     encoded = piece_lattice.encode(odd, model)
     assert all(r.decoded == r.text for r in piece_lattice.decode(encoded, model).collect() if "▁" not in r.text)
     assert all(r.round_trip for r in piece_lattice.digest(encoded, model).collect())

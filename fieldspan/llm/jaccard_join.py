@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import LOWER, NO_ID, Rolling, components, i64, materialize, mix, row_chunks, table, text_buffer, u64, whole_groups, words_of
+from ._common import LOWER, NO_ID, Rolling, components, materialize, mix, row_chunks, table, text_buffer, whole_groups, words_of
 
 WORDS, PERCENT = 5, 75
 RUN = 4096

@@ -18,7 +18,7 @@ PX = """px AS (SELECT l_shipdate AS time, CAST(l_suppkey % 12 AS INT) AS zone, C
  CAST(round(l_quantity * 60) AS INT) AS red, CAST(round(l_extendedprice / 10) AS INT) AS nir1, CAST(round(l_discount * 10000) AS INT) AS swir2, CAST(round(l_tax * 10000) AS INT) AS swir3,
  CASE l_returnflag WHEN 'R' THEN 2 WHEN 'A' THEN 1 ELSE CASE WHEN l_linenumber = 7 THEN 3 ELSE 0 END END AS fmask FROM lineitem)"""
 CLEAN = PX + ", clean AS (SELECT time, zone, pixel, " + ", ".join(f"CASE WHEN fmask NOT IN (2, 3) THEN {b} END AS {b}" for b in pixels.BANDS) + " FROM px)"
-TS = "ts AS (SELECT CAST(o_custkey % 12 AS INT) AS zone, o_orderdate AS time, o_totalprice / 100000 AS value FROM orders WHERE o_orderkey % 20 = 0)"
+TS = "ts AS (SELECT CAST(o_custkey % 240 AS INT) AS zone, o_orderdate AS time, o_totalprice / 100000 AS value FROM orders)"
 GRID = "grid AS (SELECT CAST(floor(p_partkey / 50) AS INT) AS y, CAST(p_partkey % 50 AS INT) AS x, p_retailprice AS z FROM part)"
 R = {b: f"(nullif(CAST({b} AS DOUBLE), 0) / 10000)" for b in pixels.BANDS}
 NDVI = f"(({R['nir1']} - {R['red']}) / nullif({R['nir1']} + {R['red']}, 0))"
@@ -174,9 +174,9 @@ _LIN = """x AS (SELECT zone, bin, value, last_value(CASE WHEN value IS NOT NULL
  WINDOW a AS (PARTITION BY zone ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), b AS (PARTITION BY zone ORDER BY bin ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))"""
 
 
-@query("interp_linear", f"WITH {BINS}, {_LIN} SELECT zone, bin, round(coalesce(value, y0 + (y1 - y0) * (bin - x0) / nullif(CAST(x1 - x0 AS DOUBLE), 0)), 10) AS value FROM x")
+@query("interp_linear", f"WITH {BINS}, {_LIN} SELECT zone, bin, round(coalesce(value, y0 + (y1 - y0) * ((bin - x0) / nullif(CAST(x1 - x0 AS DOUBLE), 0))), 13) AS value FROM x")
 def interp_linear(spark, sf):
-    return series.interpolate_linear(_bins(spark, sf), ["zone"], "value", "bin").select("zone", "bin", F.round("value", 10).alias("value"))
+    return series.interpolate_linear(_bins(spark, sf), ["zone"], "value", "bin").select("zone", "bin", F.round("value", 13).alias("value"))
 
 
 def _end(h0, d0, h1, d1):
@@ -193,9 +193,9 @@ p AS (SELECT pick.zone, pick.bin, (pick.bin - x) / h AS t, x, y, seg.s, h, y1, s
 filled AS (SELECT zone, bin, y * (1 + 2 * t) * pow(1 - t, 2) + h * s * t * pow(1 - t, 2) + y1 * pow(t, 2) * (3 - 2 * t) + h * s1 * pow(t, 2) * (t - 1) AS value FROM p)"""
 
 
-@query("pchip_fill", f"WITH {PCHIP} SELECT zone, bin, {rs('value', 4)} FROM filled")
+@query("pchip_fill", f"WITH {PCHIP} SELECT zone, bin, floor(value * 1e6 + 0.5) / 1e6 AS value FROM filled")
 def pchip_fill(spark, sf):
-    return series.pchip(_bins(spark, sf), ["zone"], "value").select("zone", "bin", r("value", 4))
+    return series.pchip(_bins(spark, sf), ["zone"], "value").select("zone", "bin", (F.floor(F.col("value") * 1e6 + 0.5) / 1e6).alias("value"))
 
 
 _SG = series.savgol_matrix(7, 2)
@@ -203,9 +203,9 @@ SAVGOL = PCHIP + f""", a AS (SELECT zone, list(value ORDER BY bin) AS v FROM fil
 sm AS (SELECT f.zone, f.bin, list_sum(list_transform(range(1, 8), lambda j: a.v[least(greatest(f.bin - 3, 0), len(a.v) - 7) + j] * c.c[f.bin - least(greatest(f.bin - 3, 0), len(a.v) - 7) + 1][j])) AS value FROM filled f JOIN a USING (zone), c)"""
 
 
-@query("savgol_smooth", f"WITH {SAVGOL} SELECT zone, bin, {rs('value', 4)} FROM sm")
+@query("savgol_smooth", f"WITH {SAVGOL} SELECT zone, bin, floor(value * 1e4 + 0.5) / 1e4 AS value FROM sm")
 def savgol_smooth(spark, sf):
-    return series.savgol(series.pchip(_bins(spark, sf), ["zone"], "value"), ["zone"], "value").select("zone", "bin", r("value", 4))
+    return series.savgol(series.pchip(_bins(spark, sf), ["zone"], "value"), ["zone"], "value").select("zone", "bin", (F.floor(F.col("value") * 1e4 + 0.5) / 1e4).alias("value"))
 
 
 @query("gaussian_smooth")
@@ -226,10 +226,10 @@ def outlier_median(spark, sf):
 _GRAD = """g AS (SELECT zone, bin, value AS f, lag(value) OVER w AS a, lead(value) OVER w AS b, CAST(bin - lag(bin) OVER w AS DOUBLE) AS hs, CAST(lead(bin) OVER w - bin AS DOUBLE) AS hd FROM (SELECT * FROM s WHERE value IS NOT NULL) WINDOW w AS (PARTITION BY zone ORDER BY bin))"""
 
 
-@query("gradient", f"WITH {BINS}, {_GRAD} SELECT zone, bin, round(CASE WHEN hs IS NULL THEN (b - f) / hd WHEN hd IS NULL THEN (f - a) / hs ELSE (hs * hs * b + (hd * hd - hs * hs) * f - hd * hd * a) / (hs * hd * (hs + hd)) END, 10) + 0.0 AS gradient FROM g")
+@query("gradient", f"WITH {BINS}, {_GRAD} SELECT zone, bin, round(CASE WHEN hs IS NULL THEN (b - f) / hd WHEN hd IS NULL THEN (f - a) / hs ELSE (hs * hs * b + (hd * hd - hs * hs) * f - hd * hd * a) / (hs * hd * (hs + hd)) END, 13) + 0.0 AS gradient FROM g")
 def gradient(spark, sf):
     x = _bins(spark, sf).where("value IS NOT NULL")
-    return series.gradient(x, ["zone"], "value", "bin").select("zone", "bin", r("gradient", 10))
+    return series.gradient(x, ["zone"], "value", "bin").select("zone", "bin", r("gradient", 13))
 
 
 @query("dominant_year", f"WITH {TS}, y AS (SELECT year(time) AS y, count(*) AS n FROM ts GROUP BY 1 ORDER BY n DESC, y LIMIT 1) SELECT zone, CAST(count(*) AS BIGINT) AS n, round(avg(value), 10) AS value FROM ts WHERE year(time) = (SELECT y FROM y) GROUP BY zone")
@@ -317,7 +317,7 @@ def season_chain(spark, sf):
 # --- joins
 
 _FORCING = f"""WITH {TS}, rad AS (SELECT CAST(o_orderdate AS DATE) AS day, avg(o_totalprice) AS radiation FROM orders GROUP BY 1), met AS (SELECT CAST(l_shipdate AS DATE) AS day, sum(l_quantity) AS rain, max(l_tax) AS tmax FROM lineitem GROUP BY 1),
-e AS (SELECT day, avg(value) AS growth FROM (SELECT CAST(time AS DATE) AS day, value FROM ts) WHERE (day - DATE '1992-01-01') % 8 = 0 GROUP BY day), x AS (SELECT day AS a, growth, lead(day) OVER (ORDER BY day) AS b FROM e)
+e AS (SELECT day, avg(value) AS growth FROM (SELECT CAST(time AS DATE) - CAST((CAST(time AS DATE) - DATE '1992-01-01') % 8 AS INT) AS day, value FROM ts) GROUP BY day), x AS (SELECT day AS a, growth, lead(day) OVER (ORDER BY day) AS b FROM e)
 SELECT rad.day, round(radiation, 7) AS srad, round(rain, 7) AS precipitation, round(tmax, 7) AS maximum, round(growth, 7) AS growth FROM rad JOIN met USING (day) LEFT JOIN x ON rad.day >= x.a AND rad.day < coalesce(x.b, x.a + 1)"""
 
 
@@ -325,22 +325,22 @@ SELECT rad.day, round(radiation, 7) AS srad, round(rain, 7) AS precipitation, ro
 def forcing_join(spark, sf):
     rad = spark.read.parquet(f"{sf}/orders.parquet").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.avg("o_totalprice").alias("radiation"))
     met = spark.read.parquet(f"{sf}/lineitem.parquet").groupBy(F.to_date("l_shipdate").alias("day")).agg(F.sum("l_quantity").alias("rain"), F.max("l_tax").alias("tmax"))
-    e = series_view(spark, sf).withColumn("day", F.to_date("time")).where("pmod(datediff(day, date'1992-01-01'), 8) = 0").groupBy("day").agg(F.avg("value").alias("growth"))
+    e = series_view(spark, sf).withColumn("day", F.expr("date_sub(to_date(time), cast(datediff(to_date(time), date'1992-01-01') % 8 AS int))")).groupBy("day").agg(F.avg("value").alias("growth"))
     x = matching.forcing(rad, met, e, {"radiation": "srad", "rain": "precipitation", "tmax": "maximum", "growth": "growth"})
     return x.select("day", *[F.round(c, 7).alias(c) for c in ("srad", "precipitation", "maximum", "growth")])
 
 
-@query("nearest_time_join", f"WITH {TS}, a AS (SELECT DISTINCT CAST(time AS DATE) AS day FROM ts), b AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS other FROM lineitem WHERE (CAST(l_shipdate AS DATE) - DATE '1992-01-01') % 3 = 0) SELECT day, CAST(abs(other - day) AS INT) AS gap, other FROM a JOIN b ON abs(other - day) <= 1 QUALIFY row_number() OVER (PARTITION BY day ORDER BY abs(other - day), other) = 1")
+@query("nearest_time_join", f"WITH {TS}, a AS (SELECT DISTINCT CAST(time AS DATE) AS day FROM ts), b AS (SELECT DISTINCT CAST(l_shipdate AS DATE) - CAST((CAST(l_shipdate AS DATE) - DATE '1992-01-01') % 3 AS INT) AS other FROM lineitem) SELECT day, CAST(abs(other - day) AS INT) AS gap, other FROM a JOIN b ON abs(other - day) <= 1 QUALIFY row_number() OVER (PARTITION BY day ORDER BY abs(other - day), other) = 1")
 def nearest_time_join(spark, sf):
     a = series_view(spark, sf).select(F.to_date("time").alias("day")).distinct()
-    b = spark.read.parquet(f"{sf}/lineitem.parquet").select(F.to_date("l_shipdate").alias("other")).distinct().where("pmod(datediff(other, date'1992-01-01'), 3) = 0")
+    b = spark.read.parquet(f"{sf}/lineitem.parquet").select(F.expr("date_sub(to_date(l_shipdate), cast(datediff(to_date(l_shipdate), date'1992-01-01') % 3 AS int))").alias("other")).distinct()
     return matching.nearest_day(a, b, "day", "other")
 
 
-@query("nearest_cell", f"WITH {GRID}, p AS (SELECT c_custkey AS k, abs(c_acctbal) % 50 AS px FROM customer) SELECT k, CAST(c AS DOUBLE) AS x FROM p, (SELECT DISTINCT x AS c FROM grid WHERE x % 7 = 0) QUALIFY row_number() OVER (PARTITION BY k ORDER BY abs(c - px), c) = 1")
+@query("nearest_cell", f"WITH {GRID}, p AS (SELECT c_custkey AS k, abs(c_acctbal) % 50 AS px FROM customer) SELECT k, CAST(c AS DOUBLE) AS x FROM p, (SELECT DISTINCT x - x % 7 AS c FROM grid) QUALIFY row_number() OVER (PARTITION BY k ORDER BY abs(c - px), c) = 1")
 def nearest_cell(spark, sf):
     p = spark.read.parquet(f"{sf}/customer.parquet").selectExpr("c_custkey AS k", "abs(c_acctbal) % 50 AS px")
-    return matching.nearest_cell(p, grid_view(spark, sf).where("x % 7 = 0").select("x"), "px", "x").select("k", "x")
+    return matching.nearest_cell(p, grid_view(spark, sf).selectExpr("x - x % 7 AS x"), "px", "x").select("k", "x")
 
 
 @query("range_agg_coarse", f"WITH {GRID} SELECT CAST(ceil(y / 8.0) - 1 AS INT) AS cy, CAST(floor(x / 8.0) AS INT) AS cx, CASE WHEN count(v) / CAST(count(*) AS DOUBLE) > 0.1 THEN round(avg(v), 4) END AS z, round(count(v) / CAST(count(*) AS DOUBLE), 4) AS valid FROM (SELECT y, x, CASE WHEN (x + y) % 9 > 1 AND x < 40 THEN z END AS v FROM grid) GROUP BY ALL")
@@ -349,9 +349,9 @@ def range_agg_coarse(spark, sf):
     return matching.mean_by_cell(g, 8.0, "z").select("cy", "cx", F.round("z", 4).alias("z"), F.round("valid", 4).alias("valid"))
 
 
-@query("calendar_slots", f"WITH {PX}, s AS (SELECT DISTINCT zone, CAST(year(time) AS INT) AS year, CAST(dayofyear(time) AS INT) AS doy FROM px WHERE pixel = 0), k AS (SELECT CAST(unnest(range(0, 48)) AS INT) AS slot) SELECT zone, year, slot, doy FROM s, k QUALIFY row_number() OVER (PARTITION BY zone, year, slot ORDER BY round(abs(doy - (1 + CAST({364 / 48} AS DOUBLE) * (slot + 0.5))), 9), doy) = 1")
+@query("calendar_slots", f"WITH {PX}, s AS (SELECT DISTINCT zone, CAST(year(time) AS INT) AS year, CAST(dayofyear(time) AS INT) AS doy FROM px), k AS (SELECT CAST(unnest(range(0, 48)) AS INT) AS slot) SELECT zone, year, slot, doy FROM s, k QUALIFY row_number() OVER (PARTITION BY zone, year, slot ORDER BY round(abs(doy - (1 + CAST({364 / 48} AS DOUBLE) * (slot + 0.5))), 9), doy) = 1")
 def calendar_slots(spark, sf):
-    return matching.slots(pixel_view(spark, sf).where("pixel = 0"), ["zone"])
+    return matching.slots(pixel_view(spark, sf), ["zone"])
 
 
 @query("ols_prior", f"WITH {PX} SELECT zone, CAST(count(*) AS BIGINT) AS n, round(regr_intercept(nir1, red), 3) AS a, round(regr_slope(nir1, red), 5) + 0.0 AS b FROM px GROUP BY zone")
@@ -429,9 +429,9 @@ def gaussian_2d(spark, sf):
 
 @query("qp_downscale")
 def qp_downscale(spark, sf):
-    g = grid_view(spark, sf).where("x < 12 AND y < 12")
-    fine = g.selectExpr("0 AS time", "y", "x", "z / 1000 - 1 AS prior", "cast(floor(y / 4) * 3 + floor(x / 4) AS int) AS cell")
-    coarse = fine.groupBy("cell").agg(F.when(F.col("cell") != 4, F.abs(F.avg("prior"))).alias("coarse"))
+    # the grid in blocks of 10 x 10, each with four coarse cells, of which one in nine has no value
+    fine = grid_view(spark, sf).selectExpr("cast(floor(y / 10) * 5 + floor(x / 10) AS int) AS time", "y", "x", "z / 1000 - 1 AS prior", "cast(floor(y / 5) * 10 + floor(x / 5) AS int) AS cell")
+    coarse = fine.groupBy("cell").agg(F.when(F.col("cell") % 9 != 4, F.abs(F.avg("prior"))).alias("coarse"))
     return models.downscale(fine.join(coarse, "cell")).select("time", "y", "x", F.round("theta", 4).alias("theta"), "status")
 
 
@@ -456,11 +456,11 @@ def sha_keys(spark, sf):
     return listing.content_keys(o, ["o_totalprice", "o_custkey"], "a", "b").select("o_orderkey", "place_hash", "time_hash")
 
 
-@query("registry_upsert", "WITH g AS (SELECT o_custkey % 97 AS k, min(o_orderdate) AS created, max(o_orderdate) AS last_run FROM orders WHERE o_custkey % 3 <> 0 GROUP BY 1), n AS (SELECT o_custkey % 101 AS k, min(o_orderdate) AS first_run, max(o_orderdate) AS run FROM orders WHERE o_custkey % 5 = 0 GROUP BY 1) SELECT k, coalesce(created, first_run) AS created, CASE WHEN run IS NULL THEN last_run WHEN last_run IS NULL THEN run ELSE greatest(run, last_run) END AS last_run FROM g FULL JOIN n USING (k)")
+@query("registry_upsert", "WITH g AS (SELECT o_custkey % 97 AS k, min(o_orderdate) AS created, max(o_orderdate) AS last_run FROM orders GROUP BY 1), n AS (SELECT o_custkey % 101 AS k, min(o_orderdate) AS first_run, max(o_orderdate) AS run FROM orders GROUP BY 1) SELECT k, coalesce(created, first_run) AS created, CASE WHEN run IS NULL THEN last_run WHEN last_run IS NULL THEN run ELSE greatest(run, last_run) END AS last_run FROM g FULL JOIN n USING (k)")
 def registry_upsert(spark, sf):
     o = spark.read.parquet(f"{sf}/orders.parquet")
-    g = o.where("o_custkey % 3 <> 0").groupBy(F.expr("o_custkey % 97").alias("k")).agg(F.min("o_orderdate").alias("created"), F.max("o_orderdate").alias("last_run"))
-    return listing.upsert(g, o.where("o_custkey % 5 = 0").selectExpr("o_custkey % 101 AS k", "o_orderdate AS run"), ["k"])
+    g = o.groupBy(F.expr("o_custkey % 97").alias("k")).agg(F.min("o_orderdate").alias("created"), F.max("o_orderdate").alias("last_run"))
+    return listing.upsert(g, o.selectExpr("o_custkey % 101 AS k", "o_orderdate AS run"), ["k"])
 
 
 _NAMES = """CASE page_id % 9 WHEN 0 THEN 'auto_fields_calendar_' || (2015 + page_id % 10) || '_p' || lpad(CAST(page_id % 20 AS VARCHAR(9)), 2, '0') || '.png' WHEN 1 THEN 'my_fields_phenology_p' || lpad(CAST(page_id % 12 AS VARCHAR(9)), 2, '0') || '.png'

@@ -17,7 +17,7 @@ def pixel_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def series_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sparse series over orders: zone, time, value."""
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey % 20 = 0").selectExpr("cast(o_custkey % 12 AS int) AS zone", "o_orderdate AS time", "o_totalprice / 100000 AS value")
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("cast(o_custkey % 240 AS int) AS zone", "o_orderdate AS time", "o_totalprice / 100000 AS value")
 
 
 def grid_view(spark: SparkSession, sf_dir: str) -> DataFrame:

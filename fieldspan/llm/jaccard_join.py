@@ -43,7 +43,7 @@ EARLY = 8
 SLOTS = 1 << 18
 SKETCH = 512
 BLOOM = 1 << 24
-KEPT_CLASSES = 500_000
+KEPT_CLASSES = 200_000
 _IS_WORD = np.ones(256, bool)
 _IS_WORD[[0x20, *range(9, 14)]] = False
 _SEED = mix(np.arange(101, 165, dtype=np.uint64)) | np.uint64(1)
@@ -162,7 +162,7 @@ def _indexer(order, buckets: int, percent: int):
                         p = order.value.prefix(s, prefix_size(len(s), percent))
                         tokens.append(p), classes.append(c), sizes.append(len(s))
                         held += len(p)
-                        if held >= 1 << 21:
+                        if held >= 1 << 19:
                             yield flush()
             none = pa.nulls(len(rows), pa.binary())
             d, n, c, k, w = map(list, zip(*rows, strict=True)) if rows else ([], [], [], [], [])

@@ -201,7 +201,7 @@ def identify(docs: DataFrame, model: Model, penalty: float = PENALTY) -> DataFra
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            for i, j, words in _texts(batch["text"], 1 << 22):
+            for i, j, words in _texts(batch["text"]):
                 n = j - i
                 part = batch.slice(i, n)
                 if not m.langs:

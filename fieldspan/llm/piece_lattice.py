@@ -40,7 +40,7 @@ from ._common import row_chunks, table, text_buffer
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 CHUNK = 1 << 24
-CACHED = 1_000_000
+CACHED = 500_000
 LONG = 60  # boundaries are bits of a long
 _WORD = re.compile(f"{SPACE}+[^{SPACE}]*")
 _TEXTS = 1 << 30  # numbers of texts in a chunk start here, those of words at 0
@@ -232,7 +232,7 @@ def encode_by_words(docs: DataFrame, model: str) -> DataFrame:
     form, as the relational one exceeds the check tool's limits (figures in the README)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sp, codes = processor(model), known_words(model)
+        sp, codes = processor(model), {}  # a task's own, so that nothing stays in a worker that Spark uses again
         for batch in batches:
             _, at = text_buffer(batch["text"])
             for i, j in row_chunks(at, 1 << 22):
@@ -255,12 +255,6 @@ def encode_by_words(docs: DataFrame, model: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, text string, ids array<int>")
 
 
-@cache
-def known_words(model: str) -> dict[str, bytes]:
-    """The process's encoded words of a model."""
-    return {}
-
-
 def decoded(ids: np.ndarray, spelled: list[bytes]) -> str:
     text = b"".join(map(spelled.__getitem__, ids.tolist())).decode("utf-8", "replace")
     return text[1:] if text.startswith(" ") else text

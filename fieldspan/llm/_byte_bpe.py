@@ -26,9 +26,10 @@ _SHOWN = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PR
 
 
 class WordEncoder:
-    """ids(text) is the little-endian uint32 ids of a text, without special tokens; count(text) their number."""
+    """Little-endian uint32 ids of texts; no special tokens are put around them. With `added`, the vocabulary's added
+    tokens that stand in a text get their own ids, as by the library's default; else they are text like any other."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import json
         from pathlib import Path
@@ -37,11 +38,17 @@ class WordEncoder:
         from tokenizers.models import BPE
 
         self.tokenizer = Tokenizer.from_file(path)
-        model = json.loads(Path(path).read_text())["model"]
+        file = json.loads(Path(path).read_text())
+        model = file["model"]
         # the library's own cache of words only costs time behind ours
         self.model = BPE(model["vocab"], [tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]], cache_capacity=0)
         self.tokenizer.model = self.model
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added
+        tokens = file["added_tokens"] if added else []
+        if any(t[flag] for t in tokens for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError("added tokens that take in what is around them are not supported")
+        # the library cuts a text at these first, the longest where several begin
+        self.added = re.compile("(" + "|".join(re.escape(t["content"]) for t in sorted(tokens, key=lambda t: -len(t["content"]))) + ")") if tokens else None
         self.cache: dict[str, bytes] = {}
         self.marks = {c: self._whole([c])[0] for c in string.punctuation}
         self.feed = self._whole(["\n"])[0]
@@ -107,9 +114,16 @@ class WordEncoder:
         first, *rest = text.split(" ")
         return [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
 
+    def _split(self, text: str) -> list[str]:
+        if self.added is None or not self.added.search(text):
+            return self.pieces(text) if text else []
+        # every other part is an added token, which stays whole and goes to the library
+        parts = self.added.split(text)
+        return [w for i, p in enumerate(parts) if p for w in ([p] if i % 2 else self.pieces(p))]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """One blob of ids for each text. The texts should hold a few MB together."""
-        split = [self.pieces(t) if t else [] for t in texts]
+        split = [self._split(t) for t in texts]
         words = set().union(*split)
         self._learn(words)
         get = self.cache.__getitem__
@@ -122,5 +136,5 @@ _encoders: dict[str, WordEncoder] = {}
 def encoder(path: str) -> WordEncoder:
     """The process's encoder of a vocabulary file; Spark reuses Python workers, and so its cache."""
     if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
+        _encoders[path] = WordEncoder(path, added=True)
     return _encoders[path]

@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldspan.llm import chat_format, decontaminate, jaccard_join, language_id, piece_lattice, queries, suffix_dedup, token_counts, token_files, topk_search, url_filter
-from fieldspan.llm._byte_bpe import TOKENIZER, WordEncoder
+from fieldspan.llm._byte_bpe import TOKENIZER, WordEncoder, encoder
 from fieldspan.llm._common import components
 
 LONG = "word and more of it " * 6000
@@ -315,6 +315,21 @@ def test_word_encoder():
     assert [np.frombuffer(b, "<u4").tolist() for b in got] == library_ids(texts)
 
 
+def test_added_tokens_as_by_default(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path(TOKENIZER))
+    random.seed(4)
+    bits = [" ", "  ", "\n", "a", "The", "é", "1", ".", "<|", "|>", "<|endoftext|>", "<|endoftext|>", "endoftext"]
+    texts = ["a<|endoftext|>b", "<|endoftext|>", *("".join(random.choices(bits, k=random.randint(0, 9))) for _ in range(3000))]
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert want[0] == [64, 50256, 65] and [np.frombuffer(b, "<u4").tolist() for b in encoder(public_tokenizers.path(TOKENIZER)).encode(texts)] == want
+    rows = list(enumerate(texts[:200]))
+    got = sorted(map(tuple, token_files.token_digest(spark.createDataFrame(rows, "doc_id long, text string"), public_tokenizers.path(TOKENIZER)).collect()))
+    assert [(d, n) for d, _, n, _ in got] == [(d, len(ids) + 1) for (d, _), ids in zip(rows, want)]
+    assert [c for *_, c in got] == [zlib.crc32(struct.pack(f"<{len(ids) + 1}I", *ids, 2)) for ids in want[:200]]
+
+
 def test_token_counts(spark, odd, empty):
     n = np.array([len(x) for x in library_ids([t for _, t in ODD])])
     path = public_tokenizers.path(TOKENIZER)

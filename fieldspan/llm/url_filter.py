@@ -7,8 +7,8 @@ alike, is judged right. Counts are summed in Spark; slots bound what reaches the
 
 Host: after the first '://' up to '/', '?', '#' or the end, A-Z lower-cased; path: from there up to '?', '#' or
 the end; null or no '://': both empty. A rule 'host/path' fits its host and all subdomains if the path starts
-with '/path'; of those that fit the longest wins. URLs without host and path score 0. If no URL is allowed, or
-none blocked, nothing can be learned and all scores are 0; a score of at least the threshold (0 then) allows.
+with '/path'; of those that fit the longest wins. The models learn from and judge the whole URL as it stands,
+query and fragment too; null and empty URLs score 0. If no URL is allowed, or none blocked, nothing can be learned and all scores are 0; a score of at least the threshold (0 then) allows.
 Repeated rows and null page_ids each get their result; empty tables give no rows; other columns are ignored.
 """
 
@@ -85,10 +85,6 @@ class Markov:
         return np.bincount(grams[0][0], np.log(p), minlength=rows)
 
 
-def _text(df: DataFrame) -> DataFrame:
-    return df.withColumn("said", F.concat("host", "path"))
-
-
 def fit(judged: DataFrame) -> tuple[Markov, Markov] | None:
     """Models of the allowed and of the blocked rows of judged (said, allowed)."""
 
@@ -147,7 +143,7 @@ def calibrated(judged: DataFrame) -> float:
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES) -> DataFrame:
     """page_id, host, path, rule, score, verdict of every page (page_id, url)."""
-    parts = _text(pages.select(F.col("page_id").cast("long").alias("page_id"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")))
+    parts = pages.select(F.col("page_id").cast("long").alias("page_id"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.coalesce("url", F.lit("")).alias("said"))
     parts = parts.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules))
     ruled = parts.where("fit IS NOT NULL").select("said", (F.col("fit.verdict") == "allow").alias("allowed"), (F.crc32(F.coalesce(F.col("page_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0).alias("apart"))
     models = fit(ruled.where("NOT apart").drop("apart"))

@@ -380,6 +380,16 @@ def test_urls(spark, sf):
     assert url_filter.judge(df.where("false")).count() == 0
 
 
+def test_whole_urls_are_scored(spark):
+    rules = [("allow", "good.com/"), ("block", "bad.com/")]
+    urls = [f"http://{h}.com/{i}?{q}={i}" for i in range(60) for h, q in (("good", "page"), ("bad", "zzqx"))]
+    asked = ["http://mid.org/1?page=7", "http://mid.org/1?zzqx=7", "mid.org/page=7", "mid.org/zzqx=7", "http://mid.org/1#page=7", "http://mid.org/1#zzqx=7", None, ""]
+    df = spark.createDataFrame(list(enumerate(urls + asked)), "page_id long, url string")
+    got = {r.page_id - len(urls): r for r in url_filter.judge(df, rules).collect()}
+    assert [got[i].verdict for i in range(6)] == ["allow", "block"] * 3 and got[0].score > got[1].score
+    assert got[6].score == got[7].score == 0.0 and all(got[i].score != 0 for i in range(6))
+
+
 def test_markov_against_counts():
     urls = ["a.com/x", "a.com/y1", "b.net/de/1", "b.net/de/22"]
     data, at = url_filter.text_buffer(__import__("pyarrow").array(urls))

@@ -3,7 +3,7 @@
 Two variable-order Markov models (contexts of up to ORDER characters, Witten-Bell interpolation) are counted
 over every URL that a rule allows, and over every one that a rule blocks, but for a fifth that calibrates: the
 threshold on the length-normalised log-likelihood difference is where most of that fifth, each side weighed
-alike, is judged right. Counts are summed in Spark; slots bound what reaches the driver.
+alike, is judged right. Counts are summed in Spark; the driver gets the distinct ones, whose number grows with the URLs.
 
 Host: after the first '://' up to '/', '?', '#' or the end, A-Z lower-cased; path: from there up to '?', '#' or
 the end; null or no '://': both empty. A rule 'host/path' fits its host and all subdomains if the path starts
@@ -21,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import Rolling, row_chunks, table, text_buffer
+from ._common import row_chunks, table, text_buffer
 
 ORDER = 4
-SLOTS = 1 << 20
+_BITS = 8 * (ORDER + 1)
 BINS = 2000
 SPAN = 10.0
 RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
@@ -51,7 +51,8 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]] = RULES) ->
 
 
 def _grams(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each order, the row, the context's slot and the slot of context and character, of each character and end."""
+    """For each order, the row, the context and the context with the character, of each character and end. Both are
+    the order and the bytes themselves, packed into 64 bits, so different ones never meet."""
     n = np.diff(at)
     ends = np.cumsum(n + ORDER + 1)
     begin = ends - n - ORDER - 1
@@ -61,28 +62,54 @@ def _grams(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.nd
     padded[ends - 1] = 3
     rows = np.repeat(np.arange(len(n)), n + 1)
     i = begin[rows] + ORDER + np.arange(len(rows)) - np.repeat(np.cumsum(n + 1) - n - 1, n + 1)
-    h = Rolling(padded)
-    shift = np.uint64(64 - SLOTS.bit_length() + 1)
+    before = np.zeros(len(i), np.int64)
     for k in range(ORDER + 1):
-        salt = np.uint64(k * 0x9E3779B97F4A7C15 & (2**64 - 1))
-        yield rows, ((h.at(i - k, i) ^ salt) >> shift).astype(np.int64), ((h.at(i - k, i + 1) ^ salt) >> shift).astype(np.int64)
+        if k:
+            before |= padded[i - k].astype(np.int64) << 8 * (k - 1)
+        yield rows, before | k << _BITS, before << 8 | padded[i] | k << _BITS
+
+
+def _context(gram: np.ndarray) -> np.ndarray:
+    return gram >> _BITS << _BITS | (gram & (1 << _BITS) - 1) >> 8
 
 
 class Markov:
+    """Counts under exact keys, as many as there are: 16 bytes a gram and 24 a context. Each gram is added once, all before log()."""
+
     def __init__(self) -> None:
-        self.total, self.kinds, self.count = (np.zeros(SLOTS, np.float32) for _ in range(3))
+        self.added: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.gram, self.count, self.context, self.total, self.kinds = (np.zeros(0, np.int64) for _ in range(5))
 
     def add(self, context: np.ndarray, gram: np.ndarray, n: np.ndarray) -> None:
-        np.add.at(self.total, context, n)
-        np.add.at(self.kinds, context, 1)
-        self.count[gram] += n
+        self.added.append((context, gram, n))
+
+    def pack(self) -> Markov:
+        if self.added:
+            context, gram, n = (np.concatenate(x) for x in zip(*self.added, strict=True))
+            self.added = []
+            by = np.argsort(gram)
+            self.gram, self.count = gram[by], n[by]
+            self.context, of = np.unique(context, return_inverse=True)
+            self.kinds, self.total = np.bincount(of), np.bincount(of, n)
+        return self
 
     def log(self, grams: list[tuple[np.ndarray, np.ndarray, np.ndarray]], rows: int) -> np.ndarray:
-        p = np.full(len(grams[0][0]), 1 / 256)
+        self.pack()
+        # the longest gram tells all of a character's contexts
+        _, first, same = np.unique(grams[-1][2], return_index=True, return_inverse=True)
+        p = np.full(len(first), 1 / 256)
         for _, context, gram in grams:
-            total, kinds = self.total[context], self.kinds[context]
-            p = np.where(total > 0, (np.minimum(self.count[gram], total) + kinds * p) / np.maximum(total + kinds, 1), p)
-        return np.bincount(grams[0][0], np.log(p), minlength=rows)
+            total, kinds = (_found(self.context, x, context[first]) for x in (self.total, self.kinds))
+            p = np.where(total > 0, (_found(self.gram, self.count, gram[first]) + kinds * p) / np.maximum(total + kinds, 1), p)
+        return np.bincount(grams[0][0], np.log(p)[same], minlength=rows)
+
+
+def _found(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The values of the wanted keys, 0 of those that aren't there."""
+    if not len(keys):
+        return np.zeros(len(wanted))
+    i = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[i] == wanted, values[i], 0)
 
 
 def fit(judged: DataFrame) -> tuple[Markov, Markov] | None:
@@ -93,18 +120,19 @@ def fit(judged: DataFrame) -> tuple[Markov, Markov] | None:
             data, at = text_buffer(batch["said"])
             allowed = batch["allowed"].to_numpy(zero_copy_only=False)
             for i, j in row_chunks(at):
-                for rows, context, gram in _grams(data[at[i] : at[j]], at[i : j + 1] - at[i]):
-                    key = (gram << 1) | allowed[i + rows]
-                    v, first, n = np.unique(key, return_index=True, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array((v & 1).astype(bool)), pa.array((v >> 1).astype(np.int32)), pa.array(context[first].astype(np.int32)), pa.array(n.astype(np.int64))], ["allowed", "gram", "context", "n"])
+                for rows, _, gram in _grams(data[at[i] : at[j]], at[i : j + 1] - at[i]):
+                    v, n = np.unique((gram << 1) | allowed[i + rows], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array((v & 1).astype(bool)), pa.array(v >> 1), pa.array(n.astype(np.int64))], ["allowed", "gram", "n"])
 
     models = {True: Markov(), False: Markov()}
-    counts = judged.mapInArrow(count, "allowed boolean, gram int, context int, n long").groupBy("allowed", "gram").agg(F.min("context").alias("context"), F.sum("n").alias("n"))
+    counts = judged.mapInArrow(count, "allowed boolean, gram long, n long").groupBy("allowed", "gram").agg(F.sum("n").alias("n"))
     for b in counts.toArrow().to_batches():
         of = b["allowed"].to_numpy(zero_copy_only=False)
         for side, m in models.items():
-            m.add(*(b[c].to_numpy()[of == side] for c in ("context", "gram", "n")))
-    return (models[True], models[False]) if all(m.total.any() for m in models.values()) else None
+            gram, n = (b[c].to_numpy()[of == side] for c in ("gram", "n"))
+            m.add(_context(gram), gram, n)
+    good, bad = models[True].pack(), models[False].pack()
+    return (good, bad) if len(good.gram) and len(bad.gram) else None
 
 
 def scored(df: DataFrame, models: tuple[Markov, Markov] | None) -> DataFrame:

@@ -419,6 +419,28 @@ def test_markov_against_counts():
         assert abs(s - x) < 1e-4
 
 
+def test_models_of_many_grams(spark):
+    rng, k = random.Random(5), url_filter.ORDER
+    urls = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789-_", k=40)) for _ in range(6000)]
+    good, _ = url_filter.fit(spark.createDataFrame([(u, True) for u in urls] + [("x", False)], "said string, allowed boolean"))
+    padded = ["\2" * k + u + "\3" for u in urls]
+    count = Counter((o, u[i - o : i + 1]) for u in padded for i in range(k, len(u)) for o in range(k + 1))
+    total, kinds = Counter(), Counter()
+    for (o, g), n in count.items():
+        total[o, g[:-1]] += n
+        kinds[o, g[:-1]] += 1
+    data, at = url_filter.text_buffer(__import__("pyarrow").array(urls[:200]))
+    for u, x in zip(padded, good.log(list(url_filter._grams(data, at)), 200)):
+        s = 0.0
+        for i in range(k, len(u)):
+            p = 1 / 256
+            for o in range(k + 1):
+                c = (o, u[i - o : i])
+                p = (count[o, u[i - o : i + 1]] + kinds[c] * p) / (total[c] + kinds[c])
+            s += np.log(p)
+        assert abs(s - x) < 1e-6
+
+
 # --- 10
 
 

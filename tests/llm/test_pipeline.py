@@ -30,6 +30,16 @@ def test_one_of_each_component_stays(spark):
     assert kept == {c for _, _, c in linked(rows)}
 
 
+@pytest.mark.parametrize("shared", [None, 7])
+def test_one_row_of_each_component_under_one_id(spark, shared):
+    rng = random.Random(3)
+    a, b, c = (" ".join(f"{x}{rng.randrange(10**6)}" for _ in range(60)) for x in "abc")
+    rows = [(shared, a), (shared, a + " end"), (shared, a), (shared, b), (shared, b + " end"), (9, c), (9, b + " more"), (10, c + " end"), (shared, None), (shared, " ")]
+    kept = {tuple(r) for r in P.one_of_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()}
+    groups = [[t for _, t in kept if t and t.startswith(x)] for x in (a, b, c)]
+    assert [len(g) for g in groups] == [1, 1, 1] and (9, c) in kept and {(shared, None), (shared, " ")} <= kept and len(kept) == 5
+
+
 def test_repeated_passages_go(spark):
     passage, rng = " ".join(f"p{i}" for i in range(80)), random.Random(2)
     rows = [(i, " ".join(f"{rng.randrange(10**6)}" for _ in range(50)) + ("é " + passage + "é end" if i < 2 else "")) for i in range(6)]

@@ -38,14 +38,14 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def row_key(df: DataFrame, keep: list[str] | tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, text and the columns to keep, with a key of two columns: equal for rows that are equal in
-    doc_id and text, so that neither null nor repeated doc_ids mix up rows."""
+    """doc_id, text and the columns to keep, with a key of two columns, doc_id and 64 bits of the text's hash: equal for
+    rows that are equal in doc_id and text, so that neither null nor repeated doc_ids mix up rows."""
     text = F.coalesce(F.col("text"), F.lit(""))
     return df.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         text.alias("text"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("k1"),
-        F.pmod(F.xxhash64(text), F.lit(2147483647)).cast("int").alias("k2"),
+        F.xxhash64(text).alias("k2"),
         *[F.col(c).alias(f"_{c}") for c in keep],
     )
 

@@ -185,7 +185,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOC
     """doc_id, n_words, n_hit, spans (of hit words), item_ids (sorted strings) of every document, and columns to keep, named _column."""
     spark = docs.sparkSession
     kept = [f"_{c}" for c in keep]
-    schema = f"doc_id long, k1 long, k2 int{kept_schema(docs, keep)}, n_words long, n_hit long, spans {SPANS}, item_ids array<string>"
+    schema = f"doc_id long, k1 long, k2 long{kept_schema(docs, keep)}, n_words long, n_hit long, spans {SPANS}, item_ids array<string>"
 
     def scan(index) -> DataFrame:
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -155,7 +155,7 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, hot: int = HOT) -> Da
                 yield pa.RecordBatch.from_arrays([i64(bucket), i64(around), pa.array(k1[row]), pa.array(k2[row]), pa.array(lo, pa.int32()), pa.array(dm, pa.int16()), pa.array(dh, pa.int16())], ["bucket", "around", "k1", "k2", "lo", "dm", "dh"])
 
     many = docs.select("text").mapInArrow(buckets, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where("n > 1").select("bucket")
-    occurs = materialize(docs.mapInArrow(suffixes, "bucket long, around long, k1 long, k2 int, lo int, dm short, dh short").join(many, "bucket"))
+    occurs = materialize(docs.mapInArrow(suffixes, "bucket long, around long, k1 long, k2 long, lo int, dm short, dh short").join(many, "bucket"))
     merged = materialize(occurs.groupBy("bucket", "around").agg(F.count("*").alias("times"), F.min(F.struct("k1", "k2", "lo", "dm", "dh")).alias("r")))
     whole = occurs.join(merged.where("times > 1").select("bucket", "around"), ["bucket", "around"]).select("k1", "k2", F.col("lo").alias("s"), (F.col("lo") + F.col("dh") + length).alias("e"))
     mixed = merged.groupBy("bucket").agg(F.count("*").alias("kinds")).where("kinds > 1")
@@ -179,7 +179,7 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, hot: int = HOT) -> Da
                 if rows:
                     yield pa.RecordBatch.from_pylist([dict(zip(_CUT.names, r, strict=True)) for r in rows], _CUT)
 
-    pieces = materialize(docs.join(asked, ["k1", "k2"]).mapInArrow(cut, "bucket long, window long, k1 long, k2 int, times long, lo int, dm int, dh int, bytes binary"))
+    pieces = materialize(docs.join(asked, ["k1", "k2"]).mapInArrow(cut, "bucket long, window long, k1 long, k2 long, times long, lo int, dm int, dh int, bytes binary"))
 
     def refined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, ["bucket"], 1 << 21):
@@ -197,14 +197,14 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, hot: int = HOT) -> Da
                 take = pa.array(own)
                 yield pa.RecordBatch.from_arrays([t["k1"].combine_chunks().take(take), t["k2"].combine_chunks().take(take), pa.array((a + base).astype(np.int32)), pa.array((b + base + length).astype(np.int32))], ["k1", "k2", "s", "e"])
 
-    parts = pieces.where("window IS NULL").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(refined, "k1 long, k2 int, s int, e int")
+    parts = pieces.where("window IS NULL").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(refined, "k1 long, k2 long, s int, e int")
     rows = pieces.where("window IS NOT NULL")
     again = rows.groupBy("bucket", "dm", "window").agg(F.sum("times").alias("all")).where("all > 1")
     large = rows.where("times = 1").join(again, ["bucket", "dm", "window"]).select("k1", "k2", F.col("lo").alias("s"), (F.col("lo") + length).alias("e"))
     return whole.unionByName(parts).unionByName(large)
 
 
-_CUT = pa.schema([("bucket", pa.int64()), ("window", pa.int64()), ("k1", pa.int64()), ("k2", pa.int32()), ("times", pa.int64()), ("lo", pa.int32()), ("dm", pa.int32()), ("dh", pa.int32()), ("bytes", pa.binary())])
+_CUT = pa.schema([("bucket", pa.int64()), ("window", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("times", pa.int64()), ("lo", pa.int32()), ("dm", pa.int32()), ("dh", pa.int32()), ("bytes", pa.binary())])
 
 
 def merge_spans(spans: list[dict]) -> list[tuple[int, int]]:

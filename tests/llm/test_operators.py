@@ -194,6 +194,16 @@ def test_repeats_of_odd_tables(odd, empty):
         suffix_dedup.repeated_spans(odd, 10 + 1)
 
 
+def test_texts_of_one_id_stay_apart(spark):
+    # these two texts agree in pmod(xxhash64, 2^31 - 1)
+    passage = " ".join(f"p{i}" for i in range(80))
+    x, y = f"266300 {passage}", " ".join(["154359", *(hashlib.sha512(f"154359{j}".encode()).hexdigest() for j in "abc")])
+    df = spark.createDataFrame([(None, x), (None, y), (1, f"other {passage}")], "doc_id long, text string")
+    assert repeats(df) == order(without_repeats([(None, x), (None, y), (1, f"other {passage}")], 200))
+    bench = spark.createDataFrame([("i1", " ".join(f"p{i}" for i in range(10))), ("i2", "q r s t u")], "item_id string, text string")
+    assert sorted((r.n_words, r.n_hit) for r in decontaminate.decontaminate(df, bench, 5).collect()) == [(4, 0), (81, 10), (81, 10)]
+
+
 # --- 5
 
 

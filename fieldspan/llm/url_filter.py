@@ -1,7 +1,8 @@
 """Operator 8: URL filter by rules, and by a character language-model ratio where no rule fits.
 
 Two variable-order Markov models (contexts of up to ORDER characters, Witten-Bell interpolation) are counted
-over every URL that a rule allows, and over every one that a rule blocks, but for a fifth that calibrates: the
+over every URL that a rule allows, and over every one that a rule blocks, but for a fifth (by a hash of page_id and
+URL) that calibrates: the
 threshold on the length-normalised log-likelihood difference is where most of that fifth, each side weighed
 alike, is judged right. Counts are summed in Spark; the driver gets the distinct ones, whose number grows with the URLs.
 
@@ -173,7 +174,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES) -> DataFrame:
     """page_id, host, path, rule, score, verdict of every page (page_id, url)."""
     parts = pages.select(F.col("page_id").cast("long").alias("page_id"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.coalesce("url", F.lit("")).alias("said"))
     parts = parts.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules))
-    ruled = parts.where("fit IS NOT NULL").select("said", (F.col("fit.verdict") == "allow").alias("allowed"), (F.crc32(F.coalesce(F.col("page_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0).alias("apart"))
+    ruled = parts.where("fit IS NOT NULL").select("said", (F.col("fit.verdict") == "allow").alias("allowed"), (F.crc32(F.concat_ws(" ", F.col("page_id").cast("string"), "said").cast("binary")) % 5 == 0).alias("apart"))
     models = fit(ruled.where("NOT apart").drop("apart"))
     limit = calibrated(scored(ruled.where("apart").drop("apart"), models)) if models else 0.0
     out = scored(parts.select("page_id", "host", "path", "said", F.col("fit.verdict").alias("v"), F.col("fit.rule").alias("rule")), models)

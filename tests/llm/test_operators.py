@@ -400,6 +400,14 @@ def test_whole_urls_are_scored(spark):
     assert got[6].score == got[7].score == 0.0 and all(got[i].score != 0 for i in range(6))
 
 
+@pytest.mark.parametrize("shared", [None, 4])
+def test_pages_of_one_id_are_learned_from(spark, shared):
+    rules = [("allow", "good.com/"), ("block", "bad.com/")]
+    urls = [f"http://{h}.com/{i}?{q}={i}" for i in range(60) for h, q in (("good", "page"), ("bad", "zzqx"))] + ["http://mid.org/1?page=7", "http://mid.org/1?zzqx=7"]
+    df = spark.createDataFrame([(shared, u) for u in urls], "page_id long, url string")
+    assert sorted(r.verdict for r in url_filter.judge(df, rules).where("host = 'mid.org'").collect()) == ["allow", "block"]
+
+
 def test_markov_against_counts():
     urls = ["a.com/x", "a.com/y1", "b.net/de/1", "b.net/de/22"]
     data, at = url_filter.text_buffer(__import__("pyarrow").array(urls))

@@ -18,6 +18,13 @@ def test_stages(spark, sf):
     assert {r.doc_id for r in out} == {r.doc_id for r in docs.select("doc_id").collect()} and all(r.n_tokens == len(r.ids) for r in out)
 
 
+@pytest.mark.parametrize(("lang", "ids"), [("en", [None] * 4), (None, [1, 2, 3, 4])])
+def test_languages_without_ids_or_labels(spark, lang, ids):
+    texts = ["the one and the other", "words of the text", "12 !", None]
+    df = spark.createDataFrame([(i, t, lang) for i, t in zip(ids, texts)], "doc_id long, text string, lang string")
+    assert {r.text for r in P.by_language(spark, df, "").collect()} == set(texts[:2])
+
+
 def test_one_of_each_component_stays(spark):
     random.seed(1)
     base = [[f"w{random.randrange(500)}" for _ in range(60)] for _ in range(5)]

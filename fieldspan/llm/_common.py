@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NO_ID = -(2**63)
+BATCH_BYTES = 1 << 22
 _BASE, _M1, _M2 = 0x9E3779B97F4A7C15 | 1, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 
 
@@ -20,10 +21,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the Arrow batches that travel between the JVM and Python by bytes (a longer row travels alone), and so what a
+    task holds of its texts at once, however long documents are."""
+    size = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").removesuffix("b")
+    if not size.isdigit() or int(size) > BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder under spark.checkpoint.dir; only where that is unset (tests) a local one is set."""
+    """A fresh folder under spark.checkpoint.dir; only where that is unset and Spark runs in one process (tests) a local one is set."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="fieldspan-")
         spark.sparkContext.setCheckpointDir(root)
     return f"{root}/fieldspan-{uuid.uuid4().hex}"
@@ -37,6 +48,12 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """The planner's size of df, from the files it reads; 0 if it has none."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else 0
+
+
 def row_key(df: DataFrame, keep: list[str] | tuple[str, ...] = ()) -> DataFrame:
     """doc_id, text and the columns to keep, with a key of two columns, doc_id and 64 bits of the text's hash: equal for
     rows that are equal in doc_id and text, so that neither null nor repeated doc_ids mix up rows."""
@@ -192,8 +209,9 @@ def i64(x: np.ndarray) -> pa.Array:
 # --- graphs ----------------------------------------------------------------------------------------
 
 
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A spanning forest of the edges of a partition, so that dense groups shrink before they are shuffled."""
+def _forest(batches: Iterator[pa.RecordBatch], most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """A spanning forest of the edges of a partition, so that dense groups shrink before they are shuffled: each node with
+    the smallest it is connected with, as far as this task has seen."""
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -214,19 +232,28 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x, y = root(a), root(b)
             if x != y:
                 parent[max(x, y)] = min(x, y)
-        if len(parent) > 1_000_000:
+        if len(parent) > most:
             yield out()
     yield out()
 
 
-def components(edges: DataFrame) -> DataFrame:
+#: Up to so many edges of a forest are connected by one task.
+FEW_EDGES = 1 << 18
+
+
+def components(edges: DataFrame, few: int = FEW_EDGES) -> DataFrame:
     """node, comp: the smallest node of the connected component of each node of edges (a long, b long).
 
-    Alternates large-star and small-star steps until nothing changes; each step is written to the shared
+    Where forests of the partitions have few edges together, one task connects them. Else alternates large-star and
+    small-star steps until nothing changes; each step is written to the shared
     folder, so neither the driver nor a task holds more than a spanning forest of one partition. Hot
     nodes are pre-aggregated: a step needs only the minimum over a node's neighbours."""
     e = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").mapInArrow(_forest, "a long, b long")
     e = materialize(e)
+    named = lambda e: e.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())
+    if e.limit(few + 1).count() <= few:
+        # two nodes an edge at most, so the task doesn't pass anything on before its end
+        return named(e.coalesce(1).mapInArrow(lambda batches: _forest(batches, 2 * few + 1), "a long, b long"))
     before = None
     for _ in range(64):
         for large in (True, False):
@@ -246,4 +273,6 @@ def components(edges: DataFrame) -> DataFrame:
         if now == before:
             break
         before = now
-    return e.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())
+    else:
+        raise RuntimeError("the components have not settled")
+    return named(e)

@@ -7,18 +7,22 @@ nothing. Two documents link when 100 * |intersection| >= 75 * |union|.
 Documents with equal sets form a class; everything below is between classes.
 
 1. An order of all shingles: those that are frequent (counted over all documents) last, then by hash. A set
-   of n can only link with sets that share one of its first n - ceil(3n/4) + 1 shingles: these are indexed.
-   Index lists that hold one class are dropped. A list is ordered by set size and skipped across where sizes
-   jump by more than the threshold allows; equal lists are kept once.
-2. Set relations: in one of EARLY lists the sets are compared with a few leaders only. A set that links with
-   its leader takes over the leader's answers: sets that are already connected need no comparison.
-3. What remains are pairs of a list that are not yet connected; all of these are compared, so the result is
-   exact. Lists of more than RUN classes are dealt out as pairs of blocks.
-
-Before sets are compared in full, parity sketches are: the bits in which two sketches differ are never more
-than the shingles in which the sets differ, so no link is lost. Lists carry a short sketch, and pairs that
-pass it are held against wide ones of a bit and more a shingle. Full sets are made only for what is left,
-and shuffled by leader with salts, so that a leader of many is spread.
+   of n can only link with sets that share one of its first n - ceil(3n/4) + 1 shingles: these are indexed, with
+   their positions. Index lists are ordered by set size and cut where sizes jump by more than the threshold
+   allows. A link's first shared shingle leaves both sets the needed overlap from there on, so entries whose
+   position leaves too little are skipped, a block at a time. Lists of one class are dropped, equal ones kept once.
+2. Set relations: the sets with one first shingle are compared, in full and in segments, with representatives of those
+   seen so far. A set that links takes over the other's answers: it joins its component, and two sets of one component
+   are never compared again.
+3. What is left is few. In one of EARLY lists each set outside the list's largest component is held against the
+   likeliest partner in another component; then all pairs of a list that are still in different components are
+   compared, so the result is exact. Lists of more than BLOCK classes are dealt out as pairs of blocks, and blocks
+   of the largest component are not paired with each other.
+
+Lists of shingles that are frequent beyond LIST are dealt to several tasks; no task holds such a list.
+Before sets are compared in full in step 3, parity sketches are: the bits in which two sketches differ are never more
+than the shingles in which the sets differ, so no link is lost. Full sets are made only for what is left,
+and shuffled by one side with salts, so that a set with many partners is spread.
 
 Shingles are compared as 64-bit hashes. Null text has no words. Repeated rows are equal sets. A null doc_id
 counts as the smallest. Very long texts are worked on whole, one at a time. Empty tables give no rows.
@@ -34,15 +38,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import LOWER, NO_ID, Rolling, components, materialize, mix, row_chunks, table, text_buffer, whole_groups, words_of
+from ._common import LOWER, NO_ID, Rolling, components, materialize, mix, row_chunks, small_batches, table, text_buffer, whole_groups, words_of
 
 WORDS, PERCENT = 5, 75
-RUN = 4096
-LEADERS = 16
+LIST = 1 << 16
+BLOCK = 1024
+SEGMENT = 256
+RIVALS = 6
 EARLY = 8
 SLOTS = 1 << 18
 SKETCH = 512
+WIDEST = 1 << 13
 BLOOM = 1 << 24
+BLOOM_IDS = BLOOM // 8
 KEPT_CLASSES = 200_000
 _IS_WORD = np.ones(256, bool)
 _IS_WORD[[0x20, *range(9, 14)]] = False
@@ -81,8 +89,8 @@ def sketch_of(s: np.ndarray) -> bytes:
 
 
 def wide_sketch_of(s: np.ndarray) -> bytes:
-    """A sketch of the least power of two of bits that is the set's size or more; a larger one folds into a smaller."""
-    bits = np.uint64(max(SKETCH, 1 << (len(s) - 1).bit_length()))
+    """A sketch of the least power of two of bits that is the set's size or more, WIDEST at most; a larger one folds into a smaller."""
+    bits = np.uint64(min(max(SKETCH, 1 << (len(s) - 1).bit_length()), WIDEST))
     return np.packbits((np.bincount((s & (bits - np.uint64(1))).astype(np.int64), minlength=int(bits)) & 1).astype(bool), bitorder="little").tobytes()
 
 
@@ -112,6 +120,11 @@ class Order:
         return s[np.lexsort((s, c))[:n]]
 
 
+    def salts(self, t: np.ndarray, most: int) -> np.ndarray:
+        """Into how many tasks a shingle's list is dealt."""
+        return self.count[(t >> np.uint64(46)).astype(np.int64)] // most + 1
+
+
 def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of all shingles of a task, counts of the slots that hold four times the mean and eight at least."""
     total = np.zeros(SLOTS, np.int64)
@@ -124,11 +137,11 @@ def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int64()), pa.array(total[slots])], ["slot", "n"])
 
 
-_INDEX = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("sketch", pa.binary()), ("wide", pa.binary()), ("tokens", pa.binary()), ("classes", pa.binary()), ("sizes", pa.binary())])
-_INDEX_SQL = "bucket int, doc_id long, n long, cls long, sketch binary, wide binary, tokens binary, classes binary, sizes binary"
+_INDEX = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("sketch", pa.binary()), ("wide", pa.binary()), ("tokens", pa.binary()), ("classes", pa.binary()), ("sizes", pa.binary()), ("places", pa.binary())])
+_INDEX_SQL = "bucket int, doc_id long, n long, cls long, sketch binary, wide binary, tokens binary, classes binary, sizes binary, places binary"
 
 
-def _indexer(order, buckets: int, percent: int):
+def _indexer(order, buckets: int, percent: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         tokens, classes, sizes, held = [], [], [], 0
@@ -137,15 +150,17 @@ def _indexer(order, buckets: int, percent: int):
             nonlocal held
             t, n = np.concatenate(tokens), np.array([len(x) for x in tokens])
             c, z = np.repeat(np.array(classes, np.int64), n), np.repeat(np.array(sizes, np.int32), n)
-            b = (mix(t) % np.uint64(buckets)).astype(np.int64)
+            p = np.minimum(np.arange(len(t)) - np.repeat(np.cumsum(n) - n, n), 65535).astype(np.uint16)
+            salt = mix(c.view(np.uint64)) % order.value.salts(t, most).astype(np.uint64)
+            b = (mix(t + salt) % np.uint64(buckets)).astype(np.int64)
             by = np.argsort(b, kind="stable")
-            t, c, z, b = t[by], c[by], z[by], b[by]
+            t, c, z, p, b = t[by], c[by], z[by], p[by], b[by]
             cut = np.concatenate([[0], np.flatnonzero(np.diff(b)) + 1, [len(b)]])
             rows = list(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
             tokens.clear(), classes.clear(), sizes.clear()
             held = 0
             none = pa.nulls(len(rows), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(b[cut[:-1]].astype(np.int32)), none, none, none, pa.nulls(len(rows), pa.binary()), pa.nulls(len(rows), pa.binary()), *[pa.array([x[i:j].tobytes() for i, j in rows], pa.binary()) for x in (t, c, z)]], schema=_INDEX)
+            return pa.RecordBatch.from_arrays([pa.array(b[cut[:-1]].astype(np.int32)), none, none, none, pa.nulls(len(rows), pa.binary()), pa.nulls(len(rows), pa.binary()), *[pa.array([x[i:j].tobytes() for i, j in rows], pa.binary()) for x in (t, c, z, p)]], schema=_INDEX)
 
         for batch in batches:
             data, at = text_buffer(batch["text"])
@@ -167,78 +182,150 @@ def _indexer(order, buckets: int, percent: int):
             none = pa.nulls(len(rows), pa.binary())
             d, n, c, k, w = map(list, zip(*rows, strict=True)) if rows else ([], [], [], [], [])
             bucket = (mix(np.arange(len(rows), dtype=np.uint64)) % np.uint64(buckets)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(d, pa.int64()), pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(k, pa.binary()), pa.array(w, pa.binary()), none, none, none], schema=_INDEX)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(d, pa.int64()), pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(k, pa.binary()), pa.array(w, pa.binary()), none, none, none, none], schema=_INDEX)
         if held:
             yield flush()
 
     return run
 
 
-_ENTRY = np.dtype([("cls", "<i8"), ("n", "<i4")])
+def index_lists(tokens: np.ndarray, classes: np.ndarray, sizes: np.ndarray, places: np.ndarray, percent: int, dealt: np.ndarray) -> tuple[dict[bytes, None], list[tuple[int, bytes]], list[tuple[int, int, bytes]]]:
+    """The index lists of two classes and more, as packed classes; chunks (token, classes) of long lists and of those that
+    are dealt to several tasks; segments (token, number, classes) of the sets that begin with one token."""
+    by = np.lexsort((classes, sizes, tokens))
+    t, c, n, p, d = tokens[by], classes[by], sizes[by].astype(np.int64), places[by].astype(np.int64), dealt[by]
+    new = np.ones(len(t), bool)
+    new[1:] = (t[1:] != t[:-1]) | (c[1:] != c[:-1])
+    t, c, n, p, d = (x[new] for x in (t, c, n, p, d))
+    first = np.flatnonzero(p == 0)
+    first = first[np.lexsort((mix(c[first].view(np.uint64) ^ t[first]), t[first]))]
+    segments = []
+    for i, j in _several(t[first[:]], np.zeros(len(first), bool)):
+        for k, x in enumerate(range(i, j, SEGMENT)):
+            if j - x > 1:
+                segments.append((int(t[first[i]].view(np.int64)), k, c[first[x : min(x + SEGMENT, j)]].tobytes()))
+    # what a set's partners in this list leave it to share: at least that with the smallest of them
+    head = np.flatnonzero(_ends(t, n, percent, d))
+    least = np.maximum(-(-percent * n // 100), np.where(d, 0, n[head][np.cumsum(_ends(t, n, percent, d)) - 1]))
+    stays = n - p >= -(-percent * (n + least) // (100 + percent))
+    t, c, n, d = (x[stays] for x in (t, c, n, d))
+    short: dict[bytes, None] = {}
+    long: list[tuple[int, bytes]] = []
+    for i, j in _several(t, _ends(t, n, percent, d), d):
+        if j - i <= BLOCK and not d[i]:
+            short[c[i:j].tobytes()] = None
+        else:
+            # a part of a cut list has a name of its own
+            name = int((t[i] if d[i] else mix(t[i : i + 1] + np.uint64(int(n[i])))[0]).view(np.int64))
+            long += [(name, c[x : min(x + BLOCK, j)].tobytes()) for x in range(i, j, BLOCK)]
+    return short, long, segments
 
 
-def index_lists(tokens: np.ndarray, classes: np.ndarray, sizes: np.ndarray, percent: int, most: int = RUN) -> set[bytes]:
-    """The index lists of two classes and more, each as packed entries in order of size. Lists end where the
-    sizes jump beyond the threshold; long ones become pairs of blocks."""
-    by = np.argsort(tokens, kind="stable")
-    t = tokens[by]
-    same = t[1:] == t[:-1]
-    several = np.zeros(len(t), bool)
-    several[1:] |= same
-    several[:-1] |= same
-    by = by[several]
-    t, c, n = tokens[by], classes[by], sizes[by]
-    order = np.lexsort((c, n, t))
-    t, c, n = t[order], c[order], n[order]
+def _ends(t: np.ndarray, n: np.ndarray, percent: int, dealt: np.ndarray) -> np.ndarray:
+    """Where a list begins, or goes on after a jump of sizes."""
     new = np.ones(len(t), bool)
-    new[1:] = (t[1:] != t[:-1]) | (c[1:] != c[:-1])
-    t, c, n = t[new], c[new], n[new]
-    if not len(t):
-        return set()
-    cut = np.concatenate([[0], np.flatnonzero((t[1:] != t[:-1]) | (100 * n[:-1].astype(np.int64) < percent * n[1:].astype(np.int64))) + 1, [len(t)]])
-    entries = np.zeros(len(t), _ENTRY)
-    entries["cls"], entries["n"] = c, n
-    out: set[bytes] = set()
-    for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-        if j - i < 2:
-            continue
-        if j - i <= most:
-            out.add(entries[i:j].tobytes())
-            continue
-        half = most // 2
-        starts = range(i, j, half)
-        for x in starts:
-            for y in starts:
-                if x < y and 100 * int(n[min(x + half, j) - 1]) >= percent * int(n[y]):
-                    out.add(entries[x : min(x + half, j)].tobytes() + entries[y : min(y + half, j)].tobytes())
-    return out
+    new[1:] = (t[1:] != t[:-1]) | ((100 * n[:-1] < percent * n[1:]) & ~dealt[1:])
+    return new
+
+
+def _several(t: np.ndarray, begins: np.ndarray, alone: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
+    """Ranges of two rows and more (one, where alone) of equal t that no mark cuts."""
+    new = begins.copy()
+    new[:1] = True
+    new[1:] |= t[1:] != t[:-1]
+    a = np.flatnonzero(new)
+    b = np.append(a[1:], len(t))
+    wanted = b - a > 1
+    if alone is not None and len(a):
+        wanted |= alone[a]
+    yield from zip(a[wanted].tolist(), b[wanted].tolist(), strict=True)
+
+
+_LISTED = ["kind", "doc_id", "n", "cls", "sketch", "wide", "rid", "seg", "list"]
+_LISTED_SQL = "kind int, doc_id long, n long, cls long, sketch binary, wide binary, rid long, seg int, list binary"
+_DOC, _SHORT, _LONG, _FIRST = range(4)
+
 
+def _lister(order, percent: int, most: int):
+    def lists(kind: int, rid, seg, packed: list[bytes]) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(packed), 5000):
+            n = len(packed[i : i + 5000])
+            none, blank = pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())
+            part = [pa.array(x[i : i + n], k) if x is not None else pa.nulls(n, k) for x, k in ((rid, pa.int64()), (seg, pa.int32()))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), none, none, none, blank, blank, *part, pa.array(packed[i : i + n], pa.binary())], _LISTED)
 
-def _lister(percent: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, ["bucket"], 1 << 22):
             docs = t.filter(pa.compute.is_valid(t["n"])).select(["doc_id", "n", "cls", "sketch", "wide"])
             for b in docs.to_batches():
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.nulls(b.num_rows, pa.binary())], ["doc_id", "n", "cls", "sketch", "wide", "list"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, _DOC, np.int32)), *b.columns, pa.nulls(b.num_rows, pa.int64()), pa.nulls(b.num_rows, pa.int32()), pa.nulls(b.num_rows, pa.binary())], _LISTED)
             packed = t.filter(pa.compute.is_valid(t["tokens"]))
             if packed.num_rows:
-                x = [np.frombuffer(b"".join(packed[name].to_pylist()), kind) for name, kind in (("tokens", "<u8"), ("classes", "<i8"), ("sizes", "<i4"))]
-                lists = list(index_lists(*x, percent, most))
-                for i in range(0, len(lists), 5000):
-                    part = lists[i : i + 5000]
-                    none = pa.nulls(len(part), pa.int64())
-                    yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(part), pa.binary()), pa.nulls(len(part), pa.binary()), pa.array(part, pa.binary())], ["doc_id", "n", "cls", "sketch", "wide", "list"])
+                x = [np.frombuffer(b"".join(packed[name].to_pylist()), kind) for name, kind in (("tokens", "<u8"), ("classes", "<i8"), ("sizes", "<i4"), ("places", "<u2"))]
+                dealt = order.value.salts(x[0], most) > 1
+                keep = np.flatnonzero(dealt | _again(x[0]))
+                short, long, first = index_lists(*[y[keep] for y in x], percent, dealt[keep])
+                yield from lists(_SHORT, None, None, list(short))
+                yield from lists(_LONG, [r for r, _ in long], None, [y for _, y in long])
+                yield from lists(_FIRST, [r for r, _, _ in first], [k for _, k, _ in first], [y for _, _, y in first])
 
     return run
 
 
+def _again(t: np.ndarray) -> np.ndarray:
+    """Which values occur more than once."""
+    by = np.argsort(t, kind="stable")
+    same = t[by][1:] == t[by][:-1]
+    out = np.zeros(len(t), bool)
+    out[by[1:][same]] = out[by[:-1][same]] = True
+    return out
+
+
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(0, batch.num_rows, 500):
             part = batch.slice(i, 500)
-            lists = [np.frombuffer(x, _ENTRY) for x in part["list"].to_pylist()]
+            lists = [np.frombuffer(x, "<i8") for x in part["list"].to_pylist()]
+            n = [len(x) for x in lists]
             if lists:
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part["rid"].to_numpy(), [len(x) for x in lists])), pa.array(np.concatenate(lists)["cls"])], ["rid", "cls"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part[c].to_numpy(), n)) for c in ("rid", "seg")] + [pa.array(np.concatenate(lists))], ["rid", "seg", "cls"])
+
+
+def _clustered(percent: int):
+    """Links of the sets of a segment: each is compared with the latest representatives of up to RIVALS components."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, reps = None, []
+        for batch in batches:
+            a, b = [], []
+            for rid, seg, cls, packed in zip(*[batch[k].to_pylist() for k in ("rid", "seg", "cls", "set")], strict=True):
+                if key != (rid, seg):
+                    key, reps = (rid, seg), []
+                s = np.frombuffer(packed, np.uint64)
+                for k, (other, x) in enumerate(reps):
+                    if other == cls or _link(s, x, percent):
+                        if other != cls:
+                            a.append(other), b.append(cls)
+                        reps.insert(0, reps.pop(k))
+                        break
+                else:
+                    reps.insert(0, (cls, s))
+                    del reps[RIVALS:]
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return run
+
+
+def _link(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets are similar enough."""
+    if len(x) > len(y):
+        x, y = y, x
+    if 100 * len(x) < percent * len(y):
+        return False
+    i = np.searchsorted(y, x)
+    i[i == len(y)] = 0
+    both = int((y[i] == x).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
 
 
 def _members(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]]:
@@ -253,8 +340,8 @@ def _members(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np
         yield cls[i:j], n[i:j], comp[i:j], sketch[i:j], flat.field("wide").slice(i, j - i)
 
 
-def _may_link(n: int, sketch: np.ndarray, ns: np.ndarray, sketches: np.ndarray, percent: int) -> np.ndarray:
-    apart = np.bitwise_count(sketches ^ sketch).sum(1, dtype=np.int64)
+def _may_link(n: int, ns: np.ndarray, apart: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of n and ns shingles, of which `apart` at least differ, can be similar enough."""
     return (100 * np.minimum(n, ns) >= percent * np.maximum(n, ns)) & ((100 + percent) * apart <= (100 - percent) * (n + ns))
 
 
@@ -264,28 +351,9 @@ def _pairs(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x[:, 0])), pa.array(np.ascontiguousarray(x[:, 1]))], ["a", "b"])
 
 
-def _to_leaders(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = [], []
-            for cls, n, _, sketch, _ in _members(batch):
-                order = np.argsort(cls)
-                cls, n, sketch = cls[order], n[order], sketch[order]
-                rest = np.arange(len(cls))
-                for _ in range(LEADERS):
-                    if len(rest) < 2:
-                        break
-                    x, rest = rest[0], rest[1:]
-                    ok = _may_link(n[x], sketch[x], n[rest], sketch[rest], percent)
-                    a.append(cls[x]), b.append(cls[rest[ok]])
-                    rest = rest[~ok]
-            yield _pairs(a, b)
-
-    return run
-
-
-def _across(percent: int):
-    """Every pair of a list whose classes are not connected yet and whose sketches, also the wide ones, allow a link."""
+def _across(percent: int, likeliest: bool):
+    """Pairs of a list whose classes are not connected yet and whose sketches, also the wide ones, allow a link; if
+    likeliest, only the nearest partner of each class outside the largest component."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -300,10 +368,18 @@ def _across(percent: int):
                 for k, x in enumerate(rest):
                     other = np.concatenate([np.flatnonzero(largest), rest[k + 1 :]])
                     other = other[inverse[other] != inverse[x]]
-                    ok = other[_may_link(n[x], sketch[x], n[other], sketch[other], percent)]
-                    ok = [y for y in ok.tolist() if (100 + percent) * bits_apart(wide[x], wide[y]) <= (100 - percent) * int(n[x] + n[y])]
-                    if ok:
-                        y = cls[ok]
+                    apart = np.bitwise_count(sketch[other] ^ sketch[x]).sum(1, dtype=np.int64)
+                    ok = _may_link(int(n[x]), n[other], apart, percent)
+                    other, apart = other[ok], apart[ok]
+                    if likeliest and len(other) > RIVALS:
+                        other = other[np.argpartition(apart, RIVALS)[:RIVALS]]
+                    apart = np.array([bits_apart(wide[x], wide[y]) for y in other.tolist()], np.int64)
+                    ok = _may_link(int(n[x]), n[other], apart, percent)
+                    other, apart = other[ok], apart[ok]
+                    if likeliest and len(other):
+                        other = other[[int(apart.argmin())]]
+                    if len(other):
+                        y = cls[other]
                         a.append(np.minimum(cls[x], y)), b.append(np.maximum(cls[x], y))
                         held += len(y)
                         if held > 1 << 18:
@@ -333,16 +409,36 @@ def in_bloom(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 def _sets(bits, words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            texts = batch.filter(pa.array(in_bloom(bits.value, batch["h"].to_numpy())))["text"]
+            texts = batch["text"]
+            if bits is not None:
+                texts = batch.filter(pa.array(in_bloom(bits.value, batch["h"].to_numpy())))["text"]
             data, at = text_buffer(texts)
-            for i, j in row_chunks(at, 1 << 21):
-                sets = [s for s in shingle_sets(data[at[i] : at[j]], at[i : j + 1] - at[i], words) if len(s)]
-                yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["cls", "set"])
+            for i, j in row_chunks(at, 1 << 20):
+                sets = {class_of(s): s for s in shingle_sets(data[at[i] : at[j]], at[i : j + 1] - at[i], words) if len(s)}
+                sets = {c: s for c, s in sets.items() if c not in seen}
+                seen.update(sets)
+                if len(seen) > KEPT_CLASSES:
+                    seen.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(list(sets), pa.int64()), pa.array([s.tobytes() for s in sets.values()], pa.binary())], ["cls", "set"])
 
     return run
 
 
+def full_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """cls, set of the wanted classes, and of some others. Their documents are found by a filter of fixed size that is
+    broadcast; if they are too many for it, by a join."""
+    spark = docs.sparkSession
+    ids = wanted.join(classes.select("cls", "first"), "cls").select(F.xxhash64("first").alias("h")).distinct()
+    texts = docs.select(F.xxhash64("doc_id").alias("h"), "text")
+    if ids.limit(BLOOM_IDS + 1).count() <= BLOOM_IDS:
+        found = texts.mapInArrow(_sets(spark.sparkContext.broadcast(bloom_bits(ids)), words), "cls long, set binary")
+    else:
+        found = texts.join(ids, "h", "left_semi").mapInArrow(_sets(None, words), "cls long, set binary")
+    return found.groupBy("cls").agg(F.first("set").alias("set"))
+
+
 def _near(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -355,17 +451,15 @@ def _near(percent: int):
 
 def _compared(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, leader = None, np.zeros(0, np.uint64)
+        key, one = None, np.zeros(0, np.uint64)
         for batch in batches:
             a, b = [], []
             for x, salt, kind, cls, s in zip(*[batch[k].to_pylist() for k in ("a", "salt", "kind", "b", "set")], strict=True):
                 s = np.frombuffer(s, np.uint64)
                 if kind == 0:
-                    key, leader = (x, salt), s
-                elif key == (x, salt):
-                    both = len(np.intersect1d(leader, s, assume_unique=True))
-                    if 100 * both >= percent * (len(leader) + len(s) - both):
-                        a.append(x), b.append(cls)
+                    key, one = (x, salt), s
+                elif key == (x, salt) and _link(one, s, percent):
+                    a.append(x), b.append(cls)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return run
@@ -373,12 +467,10 @@ def _compared(percent: int):
 
 def compare(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
     """Those of the pairs (a, b) of classes that link, by their full sets."""
-    spark = docs.sparkSession
     of = lambda x: classes.select(F.col("cls").alias(x), F.col("n").alias(f"n_{x}"), F.col("wide").alias(f"wide_{x}"))
     pairs = materialize(pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(_near(percent), "a long, b long"))
-    wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct().join(classes, "cls")
-    bits = spark.sparkContext.broadcast(bloom_bits(wanted.select(F.xxhash64("first").alias("h"))))
-    sets = materialize(docs.select(F.xxhash64("doc_id").alias("h"), "text").mapInArrow(_sets(bits, words), "cls long, set binary"))
+    wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
+    sets = materialize(full_sets(docs, classes, wanted, words))
     leaders = pairs.groupBy("a").agg(F.ceil(F.count("*") / 512).cast("int").alias("salts"))
     dealt = pairs.join(leaders, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), "b")
     rows = dealt.join(sets, dealt.b == sets.cls).select("a", "salt", F.lit(1).alias("kind"), "b", "set")
@@ -386,33 +478,45 @@ def compare(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, p
     return materialize(rows.unionByName(heads).repartition("a", "salt").sortWithinPartitions("a", "salt", "kind").mapInArrow(_compared(percent), "a long, b long"))
 
 
-def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, run: int = RUN) -> DataFrame:
+def open_pairs(entries: DataFrame, comps: DataFrame, classes: DataFrame, percent: int, block: int, likeliest: bool) -> DataFrame:
+    """a, b: pairs of classes in one list (rid, cls) and different components that sketches allow to link."""
+    known = entries.join(comps, entries.cls == comps.node, "left").select("rid", "cls", F.coalesce("comp", "cls").alias("comp"))
+    lists = known.groupBy("rid", "comp").agg(F.count("*").alias("k")).groupBy("rid").agg(F.sum("k").alias("total"), F.max(F.struct("k", "comp")).alias("top")).where("top.k < total")
+    left = known.join(lists, "rid").join(classes.select("cls", "n", "sketch", "wide"), "cls")
+    # blocks of the classes outside the largest component, then of that; every pair of blocks that has one of the former
+    few, much = f"cast(ceil((total - top.k) / {block}) AS int)", f"cast(ceil(top.k / {block}) AS int)"
+    own = f"CASE WHEN total <= {block} THEN 0 WHEN comp = top.comp THEN {few} + pmod(xxhash64(cls), {much}) ELSE pmod(xxhash64(cls), {few}) END"
+    pair = f"""CASE WHEN total <= {block} THEN array(struct(0 AS i, 0 AS j)) WHEN comp = top.comp THEN transform(sequence(0, {few} - 1), i -> struct(i AS i, own AS j))
+      ELSE transform(sequence(0, {few} + {much} - 1), j -> struct(least(j, own) AS i, greatest(j, own) AS j)) END"""
+    dealt = left.withColumn("own", F.expr(f"cast({own} AS int)")).withColumn("at", F.explode(F.expr(pair)))
+    grouped = dealt.groupBy("rid", "at").agg(F.collect_list(F.struct("cls", "n", "comp", "sketch", "wide")).alias("m")).select("m")
+    return grouped.mapInArrow(_across(percent, likeliest), "a long, b long").distinct()
+
+
+def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int = BLOCK, most: int = LIST) -> DataFrame:
     """doc_id, n_shingles, component_id of every document (doc_id, text)."""
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     slots = docs.select("text").mapInArrow(_frequent, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
     order = spark.sparkContext.broadcast(Order({r["slot"]: r["n"] for r in slots.toLocalIterator()}))
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    indexed = materialize(docs.mapInArrow(_indexer(order, buckets, percent), _INDEX_SQL).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_lister(percent, run), "doc_id long, n long, cls long, sketch binary, wide binary, list binary"))
-    rows = indexed.where("n IS NOT NULL").select("doc_id", "n", "cls", "sketch", "wide")
+    indexed = materialize(docs.mapInArrow(_indexer(order, buckets, percent, most), _INDEX_SQL).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_lister(order, percent, most), _LISTED_SQL))
+    rows = indexed.where(F.col("kind") == _DOC).select("doc_id", "n", "cls", "sketch", "wide")
     classes = materialize(rows.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("wide", ignorenulls=True).alias("wide")))
-    lists = indexed.where("list IS NOT NULL").select("list").distinct().select(F.xxhash64("list").alias("rid"), "list")
-    entries = materialize(lists.mapInArrow(_entries, "rid long, cls long").join(classes.select("cls", "n", "sketch"), "cls"))
-
-    def grouped(e: DataFrame) -> DataFrame:
-        return e.groupBy("rid").agg(F.collect_list(F.struct("cls", "n", "comp", "sketch", "wide")).alias("m")).select("m")
-
-    alone = entries.where(F.pmod("rid", F.lit(EARLY)) == 0).withColumns({"comp": F.col("cls"), "wide": F.lit(None).cast("binary")})
-    first = materialize(grouped(alone).mapInArrow(_to_leaders(percent), "a long, b long").distinct())
-    links = compare(docs, classes, first, words, percent)
+    # sets that begin alike
+    first = indexed.where(F.col("kind") == _FIRST).select("rid", "seg", "list").mapInArrow(_entries, "rid long, seg int, cls long")
+    sets = full_sets(docs, classes, first.select("cls").distinct(), words)
+    links = first.join(sets, "cls").repartition("rid", "seg").sortWithinPartitions("rid", "seg").mapInArrow(_clustered(percent), "a long, b long")
     comps = materialize(components(links))
-    known = entries.join(comps, entries.cls == comps.node, "left").withColumn("comp", F.coalesce("comp", "cls")).drop("node")
-    several = known.groupBy("rid").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("rid")
-    left = known.join(several, "rid").join(classes.select("cls", "wide"), "cls")
-    open_ = grouped(left).mapInArrow(_across(percent), "a long, b long").distinct()
-    open_ = materialize(open_.join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
-    more = compare(docs, classes, open_, words, percent)
-    comps = components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(more))
+    # what is open in the lists
+    short = indexed.where(F.col("kind") == _SHORT).select("list").distinct().select(F.xxhash64("list").alias("rid"), "list")
+    lists = short.unionByName(indexed.where(F.col("kind") == _LONG).select("rid", "list")).withColumn("seg", F.lit(0))
+    entries = materialize(lists.mapInArrow(_entries, "rid long, seg int, cls long").drop("seg"))
+    for likeliest in (True, False):
+        some = entries.where(F.pmod("rid", F.lit(EARLY)) == 0) if likeliest else entries
+        more = compare(docs, classes, open_pairs(some, comps, classes, percent, block, likeliest), words, percent)
+        comps = materialize(components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(more)))
     named = classes.join(comps, classes.cls == comps.node, "left").select("cls", "first", F.coalesce("comp", "cls").alias("comp"))
     least = named.groupBy("comp").agg(F.min("first").alias("least"))
     named = named.join(least, "comp").select("cls", "least")

@@ -55,19 +55,10 @@ def laplacian(grid: DataFrame, z: str = "z") -> DataFrame:
 
 def gaussian_2d(grid: DataFrame, sigma: float = 10.0, z: str = "z", truncate: float = 4.0) -> DataFrame:
     """A separable Gaussian: along rows, then along columns, borders mirrored, by one sorted window each."""
-    r = int(truncate * sigma + 0.5)
-    k = [math.exp(-0.5 * (i / sigma) ** 2) for i in range(-r, r + 1)]
-    weights = F.array(*[F.lit(x / sum(k)) for x in k])
+    from .series import gaussian_kernel, mirrored
 
-    def along(df: DataFrame, line: str, at: str) -> DataFrame:
-        w = Window.partitionBy(line).orderBy(at)
-        every = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        x = df.withColumns({"_v": F.collect_list(z).over(every), "_i": F.row_number().over(w) - 1, "_w": weights})
-        place = f"pmod(_i + j - {r}, 2 * size(_v))"
-        total = F.expr(f"aggregate(sequence(0, {2 * r}), 0D, (s, j) -> s + _w[j] * _v[CASE WHEN {place} < size(_v) THEN {place} ELSE 2 * size(_v) - 1 - {place} END])")
-        return x.withColumn(z, total).drop("_v", "_i", "_w")
-
-    return along(along(grid, "y", "x"), "x", "y")
+    k = gaussian_kernel(sigma, truncate)
+    return mirrored(mirrored(grid, ["y"], z, "x", k), ["x"], z, "y", k)
 
 
 def mosaic(tiles: DataFrame, order: str = "tile", z: str = "z") -> DataFrame:
@@ -75,9 +66,58 @@ def mosaic(tiles: DataFrame, order: str = "tile", z: str = "z") -> DataFrame:
     return tiles.where(F.col(z).isNotNull()).groupBy("y", "x").agg(F.min_by(z, order).alias(z))
 
 
-def regrid(fine: DataFrame, factor: int, how: str = "mean", z: str = "z") -> DataFrame:
-    agg = {"mean": F.avg, "max": F.max, "nearest": lambda c: F.min_by(c, F.abs(F.col("x") % factor - factor // 2) + F.abs(F.col("y") % factor - factor // 2))}[how]
-    return fine.groupBy(F.floor(F.col("y") / factor).cast("int").alias("y"), F.floor(F.col("x") / factor).cast("int").alias("x")).agg(agg(z).alias(z))
+_REDUCERS = {"mean": F.avg, "max": F.max, "min": F.min, "median": F.median}
+
+
+def regrid(fine: DataFrame, factor: int, values: dict[str, tuple[str, str]]) -> DataFrame:
+    """y, x and a column for each of values (name: how, column): blocks of factor x factor cells, in one pass. `how` is a
+    reducer, or nearest: the cell that holds the block's middle (of an even factor, the one after it)."""
+    middle = (F.col("y") % factor == factor // 2) & (F.col("x") % factor == factor // 2)
+    agg = {n: F.max(F.when(middle, F.col(c))) if how == "nearest" else _REDUCERS[how](c) for n, (how, c) in values.items()}
+    return fine.groupBy(F.floor(F.col("y") / factor).cast("int").alias("y"), F.floor(F.col("x") / factor).cast("int").alias("x")).agg(*[c.alias(n) for n, c in agg.items()])
+
+
+def bilinear(grid: DataFrame, points: DataFrame, z: str = "z", y: str = "py", x: str = "px") -> DataFrame:
+    """points with z interpolated between the four cells (y, x: whole numbers at cell centres) around (py, px). Cells that are
+    missing or NULL leave their weight to the others; with none of weight z is NULL. Four equi-joined rows a point."""
+    at = points.withColumns({"_id": F.monotonically_increasing_id(), "_y": F.floor(y), "_x": F.floor(x)})
+    corners = F.explode(F.array(*[F.struct((F.col("_y") + i).alias("y"), (F.col("_x") + j).alias("x"), ((F.abs(1 - i - (F.col(y) - F.col("_y")))) * F.abs(1 - j - (F.col(x) - F.col("_x")))).alias("w")) for i in (0, 1) for j in (0, 1)]))
+    parts = at.select(*points.columns, "_id", corners.alias("c")).where("c.w > 0")
+    cells = grid.select(F.col("y").cast("long").alias("_cy"), F.col("x").cast("long").alias("_cx"), F.col(z).cast("double").alias("_z"))
+    found = parts.join(cells, (F.col("c.y") == F.col("_cy")) & (F.col("c.x") == F.col("_cx")), "left")
+    weight = F.when(F.col("_z").isNotNull(), F.col("c.w"))
+    return found.groupBy("_id", *points.columns).agg(F.try_divide(F.sum(weight * F.col("_z")), F.sum(weight)).alias(z)).drop("_id")
+
+
+def match_raster(source: DataFrame, target: DataFrame, origin: tuple[float, float], size: float, z: str = "z", how: str = "bilinear") -> DataFrame:
+    """target (cy, cx: coordinates of cell centres) with z of the source, a raster of square cells whose cell (0, 0) has its
+    centre at origin (x, y), y falling with the row. nearest takes the nearer cell, of equally near ones the next."""
+    if how not in ("bilinear", "nearest"):
+        raise ValueError("how must be bilinear or nearest")
+    p = target.withColumns({"py": (F.lit(origin[1]) - F.col("cy")) / size, "px": (F.col("cx") - F.lit(origin[0])) / size})
+    if how == "bilinear":
+        return bilinear(source, p, z).drop("py", "px")
+    cells = source.select(F.col("y").cast("long").alias("_y"), F.col("x").cast("long").alias("_x"), F.col(z))
+    return p.withColumns({"_y": F.floor(F.col("py") + 0.5), "_x": F.floor(F.col("px") + 0.5)}).join(cells, ["_y", "_x"], "left").drop("py", "px", "_y", "_x")
+
+
+def clip(grid: DataFrame, west: float, south: float, east: float, north: float, buffer: float = 0.0, y: str = "cy", x: str = "cx") -> DataFrame:
+    """Cells in a box that is widened by buffer on every side."""
+    return grid.where(F.col(x).between(west - buffer, east + buffer) & F.col(y).between(south - buffer, north + buffer))
+
+
+def without_border(grid: DataFrame, width: int = 1) -> DataFrame:
+    """The raster without its outermost rows and columns."""
+    box = grid.agg(F.min("y").alias("_a"), F.max("y").alias("_b"), F.min("x").alias("_c"), F.max("x").alias("_d"))
+    inside = F.col("y").between(F.col("_a") + width, F.col("_b") - width) & F.col("x").between(F.col("_c") + width, F.col("_d") - width)
+    return grid.join(F.broadcast(box)).where(inside).drop("_a", "_b", "_c", "_d")
+
+
+def mask_windows(mask: DataFrame, by: str, height: int, width: int, pad: int = 2) -> DataFrame:
+    """by, y0, y1, x0, x1: the rows and columns (ends excluded) that hold each zone's pixels, padded and kept inside the raster."""
+    low = lambda c: F.greatest(F.min(c) - pad, F.lit(0)).cast("int")
+    high = lambda c, n: F.least(F.max(c) + pad + 1, F.lit(n)).cast("int")
+    return mask.groupBy(by).agg(low("y").alias("y0"), high("y", height).alias("y1"), low("x").alias("x0"), high("x", width).alias("x1"))
 
 
 def flow(grid: DataFrame, by: str, z: str = "z") -> DataFrame:

@@ -2,31 +2,76 @@
 
 from __future__ import annotations
 
+import re
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def classify(df: DataFrame, name: str = "name") -> DataFrame:
-    """category, grp, variant, year, page of output file names."""
-    n = F.col(name)
-    stem = F.regexp_replace(n, r"\.[^.]*$", "")
-    cal, phen = r"^(.*)_calendar_(\d{4})_p(\d+)\.png$", r"^(.*)_phenology(?:_(\d{4}))?_p(\d+)\.png$"
-    videos = ["_fractional_cover_fields.mp4", "_sentinel2_fields.mp4", "_fractional_cover.mp4", "_sentinel2.mp4"]
-    video = F.lit(None).cast("string")
-    for v in reversed(videos):
-        video = F.when(n.endswith(v), F.lit(v[1:-4])).otherwise(video)
-    category = (
-        F.when(video.isNotNull(), "video").when(n.rlike(cal), "calendar").when(n.rlike(phen), "phenology").when(n.rlike(r"_silo_.+\.png$"), "climate").when(n.rlike(r"_ozwald_.+\.png$"), "climate")
-        .when(n.endswith(".pdf"), "report").when(n.endswith(".png"), "landscape").otherwise("other")
-    )
-    base = F.when(n.rlike(cal), F.regexp_extract(n, cal, 1)).when(n.rlike(phen), F.regexp_extract(n, phen, 1)).otherwise(stem)
-    number = lambda p, i: F.expr(f"try_cast(nullif(regexp_extract({name}, r'{p}', {i}), '') AS int)")
-    return df.withColumns({
-        "category": category,
-        "grp": F.coalesce(F.initcap(F.translate(video, "_", " ")), F.initcap(F.translate(F.nullif(F.regexp_extract(n, r"_(?:silo|ozwald)_(.+)\.png$", 1), F.lit("")), "_", " ")), F.lit("Other")),
-        "variant": F.when(base.startswith("auto_fields"), "AUTO").otherwise(base),
-        "year": F.coalesce(number(cal, 2), number(phen, 2)), "page": F.coalesce(number(cal, 3), number(phen, 3)),
-    })
+@dataclass(frozen=True)
+class Rule:
+    """Names that match `pattern` (a regular expression for the whole name) are of a category and group. Labels are templates:
+    {2} is the pattern's second part, {2:title} the same in title case with blanks for underscores, {2:02} as a number of two
+    digits; {variant} is the variant. Variant, year and page are numbers of parts."""
+
+    pattern: str
+    category: str
+    group: str = ""
+    label: str = "{0}"
+    variant: int | None = None
+    year: int | None = None
+    page: int | None = None
+
+
+_BLANK = re.compile(r"\{(\w+)(?::(\w+))?\}")
+
+
+def _title(c: Column) -> Column:
+    runs = F.regexp_extract_all(F.translate(c, "_", " "), F.lit(r"([A-Za-z]+|[^A-Za-z]+)"), F.lit(1))
+    return F.array_join(F.transform(runs, F.initcap), "")
+
+
+def _filled(template: str, part, variant: Column) -> Column:
+    out, at = [], 0
+    for m in _BLANK.finditer(template):
+        value = variant if m[1] == "variant" else part(int(m[1]))
+        if m[2] == "title":
+            value = _title(value)
+        elif m[2]:
+            value = F.format_string(f"%{m[2]}d", value.cast("int"))
+        out += [F.lit(template[at : m.start()]), value]
+        at = m.end()
+    return F.concat(*out, F.lit(template[at:]))
+
+
+def classify(df: DataFrame, rules: list[Rule], variants: dict[str, str] | None = None, name: str = "name") -> DataFrame:
+    """df with category, grp, label, variant, year and page by the first rule that fits a name; names that no rule fits are left
+    out. variants: what stands for stems that begin so."""
+    n, found = F.col(name), None
+    for r in rules:
+        part = lambda i, p=r.pattern: F.regexp_extract(n, p, i)
+        variant = F.lit("") if r.variant is None else part(r.variant)
+        if r.variant is not None:
+            for begins, stands in reversed((variants or {}).items()):
+                variant = F.when(part(r.variant).startswith(begins), stands).otherwise(variant)
+        number = lambda i: F.lit(None).cast("int") if i is None else part(i).cast("int")  # noqa: B023, E731
+        value = F.struct(F.lit(r.category).alias("category"), F.lit(r.group).alias("grp"), _filled(r.label, part, variant).alias("label"), variant.alias("variant"), number(r.year).alias("year"), number(r.page).alias("page"))
+        fits = n.rlike(r.pattern)
+        found = F.when(fits, value) if found is None else found.when(fits, value)
+    return df.withColumn("_f", found).where("_f IS NOT NULL").select(*df.columns, "_f.*")
+
+
+def variants_in_order(assets: DataFrame, name: str = "name") -> DataFrame:
+    """variant, ord: the variants in the order in which they first appear among names in natural order."""
+    first = assets.where("variant <> ''").groupBy("variant").agg(F.min(F.struct(natural_key(F.col(name)).alias("k"), F.col(name))).alias("first"))
+    return first.select("variant", F.row_number().over(Window.orderBy("first")).alias("ord"))
+
+
+def list_files(spark: SparkSession, path: str) -> DataFrame:
+    """name and path of the files of a folder, by Spark's own reader, so of any store; none: no rows."""
+    files = spark.read.format("binaryFile").load(path)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "path")
 
 
 def natural_key(name: Column) -> Column:

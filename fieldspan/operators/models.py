@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pixels import reflectance
+from .pixels import ndvi, reflectance
 
 
 def least_squares(df: DataFrame, keys: list[str], y: str, xs: list[str], fallback: bool = True) -> DataFrame:
@@ -40,6 +40,40 @@ def least_squares(df: DataFrame, keys: list[str], y: str, xs: list[str], fallbac
     return agg.mapInPandas(solve, f"{kinds}n long, mean_y double, coefficients array<double>")
 
 
+def features(cube: DataFrame, terrain: DataFrame | None = None) -> DataFrame:
+    """time, y, x, ndvi, swir2, swir3, with terrain (y, x, twi, hli) also twi on 0..20 and hli, and valid: whether none is missing."""
+    x = cube.select("time", "y", "x", ndvi().alias("ndvi"), reflectance("swir2").alias("swir2"), reflectance("swir3").alias("swir3"))
+    names = ["ndvi", "swir2", "swir3"]
+    if terrain is not None:
+        x = x.join(terrain.select("y", "x", F.least(F.greatest("twi", F.lit(0.0)), F.lit(20.0)).alias("twi"), "hli"), ["y", "x"], "left")
+        names += ["twi", "hli"]
+    return x.select("time", "y", "x", *names, F.coalesce(*[F.when(F.col(c).isNull(), False) for c in names], F.lit(True)).alias("valid"))
+
+
+def linear_prior(fine: DataFrame, coarse: DataFrame, names: list[str], time: str = "time", least_valid: float = 0.1) -> DataFrame:
+    """fine (time, cell, valid, names) with prior: the coarse value (time, cell, coarse) by least squares on the cells' mean
+    features, applied to each fine pixel; NULL where a feature is missing.
+
+    A cell's means are over its valid pixels, and NULL if too few are valid. A time with fewer than two more usable cells than
+    features, or a singular system, has the mean of its coarse values as prior."""
+    means = fine.groupBy(time, "cell").agg(F.avg(F.col("valid").cast("double")).alias("share"), *[F.avg(F.when(F.col("valid"), F.col(c))).alias(c) for c in names])
+    cells = coarse.join(means.select(time, "cell", *[F.when(F.col("share") > least_valid, F.col(c)).alias(c) for c in names]), [time, "cell"], "left")
+    fitted = least_squares(cells, [time], "coarse", names, fallback=False).select(time, "coefficients")
+    flat = coarse.groupBy(time).agg(F.avg("coarse").alias("flat"))
+    by_time = flat.join(fitted, time, "left")
+    line = sum((F.col("coefficients")[i + 1] * F.col(c) for i, c in enumerate(names)), F.col("coefficients")[0])
+    prior = F.when(F.col("valid"), F.when(F.col("coefficients").isNotNull(), line).otherwise(F.col("flat")))
+    return fine.join(by_time, time, "left").withColumn("prior", prior).drop("coefficients", "flat")
+
+
+def solved_times(out: DataFrame, time: str = "time") -> DataFrame:
+    """The times that could be solved, in order; none: an error."""
+    good = out.where(F.col("status") == "ok")
+    if good.isEmpty():
+        raise RuntimeError("no time could be solved")
+    return good.orderBy(time)
+
+
 def downscale_group(prior: np.ndarray, cell: np.ndarray, coarse: dict[int, float], smooth: np.ndarray, weight: float = 0.5, rounds: int = 2000) -> np.ndarray:
     """theta >= 0 that keeps the means of cells, near the prior and smooth: min |theta - prior|^2 + weight |L theta|^2.
 

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-METHODS = ("seasonal_amplitude", "first_of_slope", "median_of_slope", "absolute_value", "relative_value")
+METHODS = ("seasonal_amplitude", "first_of_slope", "median_of_slope", "absolute_value", "relative_value", "stl_trend")
 PEAKS, BASES = ("pos", "mos"), ("bse", "vos")
 
 
@@ -28,6 +28,8 @@ def metrics(df: DataFrame, keys: list[str], value: str, peak: str = "pos", base:
     all_ = Window.partitionBy(*keys)
     w = all_.orderBy("doy")
     x = df.select(*keys, F.col("doy").cast("int").alias("doy"), F.col(value).cast("double").alias("v")).where("v IS NOT NULL")
+    if method == "stl_trend":
+        x = with_trend(x, keys)
     x = x.withColumns({
         "pos": F.max("v").over(all_), "vos": F.min("v").over(all_),
         "pos_t": F.min(F.expr("named_struct('d', -v, 'doy', doy)")).over(all_)["doy"],
@@ -59,6 +61,7 @@ def metrics(df: DataFrame, keys: list[str], value: str, peak: str = "pos", base:
             "median_of_slope": f"abs(v - mid_{side})",
             "absolute_value": f"abs(v - {absolute})",
             "relative_value": f"abs(v - ((q90 - q10) * {factor} + q10))",
+            "stl_trend": "abs(v - trend)",
         }[method]
 
     x = x.withColumns({"s": _first_at(distance("up"), "up").over(all_), "e": _first_at(distance("down"), "down").over(all_)})
@@ -118,6 +121,27 @@ def num_peaks(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return lists.mapInPandas(count, f"{kinds}, num_peaks int")
 
 
+def season_table(series: DataFrame, keys: list[str], value: str, **how) -> DataFrame:
+    """The metrics of each series and num_peaks, as one row."""
+    return metrics(series, keys, value, **how).join(num_peaks(series, keys, value), keys, "left")
+
+
+def mean_peaks(seasons: DataFrame, by: list[str]) -> DataFrame:
+    """How many series there are, and their mean number of peaks."""
+    return seasons.groupBy(*by).agg(F.count("*").alias("n_series"), F.avg("num_peaks").alias("mean_peaks"))
+
+
+def with_trend(df: DataFrame, keys: list[str]) -> DataFrame:
+    """df (keys, doy, v) with trend: a season is one group of at most a year's samples."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("doy")
+        return pdf.assign(trend=stl_trend(pdf["v"].to_numpy()))
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
+    return df.groupBy(*keys).applyInPandas(run, f"{kinds}, trend double")
+
+
 def stl_trend(v, period: int | None = None, seasonal: int = 7):
     """The trend of a non-robust STL decomposition (inner loops of LOESS) of a numpy series."""
     import numpy as np

@@ -22,8 +22,9 @@ def cloud_mask(df: DataFrame, bands: list[str] = BANDS, mask: str = "fmask", cod
 
 
 def scene_null_fraction(df: DataFrame, bands: list[str] = BANDS, time: str = "time") -> DataFrame:
+    """time, null_fraction, n_pixels of each scene, in one pass."""
     nulls = sum((F.col(b).isNull().cast("int") for b in bands), F.lit(0))
-    return df.groupBy(time).agg((F.sum(nulls) / (F.count("*") * len(bands))).alias("null_fraction"))
+    return df.groupBy(time).agg((F.sum(nulls) / (F.count("*") * len(bands))).alias("null_fraction"), F.count("*").alias("n_pixels"))
 
 
 def keep_clear_scenes(df: DataFrame, bands: list[str] = BANDS, most: float = 0.5, time: str = "time") -> DataFrame:
@@ -120,3 +121,24 @@ def fourier_means(array: str, n: int = 3, step: int = 5) -> list[Column]:
         bins = f"filter(sequence({a}, {b}), f -> f < {size})"
         out.append(F.expr(f"aggregate({bins}, 0D, (s, f) -> s + {magnitude('f')}) / nullif(size({bins}), 0)"))
     return out
+
+
+def presegment(df: DataFrame, by: list[str], time: str = "time", n: int = 3) -> DataFrame:
+    """by, u0, u1, ...: the image that zones are drawn on. Each pixel's water index is filled forward in time, what is missing
+    before becomes the mean of the filled values, and the bands are the mean magnitudes of its Fourier transform, each scaled
+    to 0..255 over the whole image. Pixels without any value are 0."""
+    rows = df.select(*by, time, ndwi().alias("v"))
+    x = rows.groupBy(*by).agg(F.expr(f"transform(array_sort(collect_list(struct({time}, v))), r -> r.v)").alias("_s"))
+    x = x.withColumn("_s", F.expr("slice(aggregate(_s, array(cast(NULL AS double)), (s, r) -> concat(s, array(coalesce(r, element_at(s, -1))))), 2, size(_s))"))
+    mean = "(aggregate(filter(_s, r -> r IS NOT NULL), 0D, (s, r) -> s + r) / size(filter(_s, r -> r IS NOT NULL)))"
+    x = x.withColumn("_s", F.expr(f"CASE WHEN exists(_s, r -> r IS NOT NULL) THEN transform(_s, r -> coalesce(r, {mean})) END"))
+    bands = x.select(*by, *[c.alias(f"b{k}") for k, c in enumerate(fourier_means("_s", n))])
+    span = bands.agg(*[f(f"b{k}").alias(f"{name}{k}") for k in range(n) for name, f in (("lo", F.min), ("hi", F.max))])
+    scaled = [F.coalesce(F.floor(F.try_divide(F.col(f"b{k}") - F.col(f"lo{k}"), F.col(f"hi{k}") - F.col(f"lo{k}")) * 255), F.lit(0)).cast("int").alias(f"u{k}") for k in range(n)]
+    return bands.join(F.broadcast(span)).select(*by, *scaled)
+
+
+def three_bands(df: DataFrame, bands: list[str]) -> DataFrame:
+    """The bands as three, for an image: one is repeated, of two the first comes again, more are cut."""
+    chosen = {1: bands * 3, 2: [*bands, bands[0]] if len(bands) > 1 else bands}.get(len(bands), bands[:3])
+    return df.select(*[c for c in df.columns if c not in bands], *[F.col(c).alias(f"band{i + 1}") for i, c in enumerate(chosen)])

@@ -45,9 +45,16 @@ def month_sum(df: DataFrame, keys: list[str], value: str, time: str = "time") ->
     return spine.join(sums, [*keys, "label"], "left").withColumn(value, F.coalesce(value, F.lit(0.0)))
 
 
-def climatology(df: DataFrame, keys: list[str], value: str, by: str = "month", reducer: str = "median", time: str = "time") -> DataFrame:
+def climatology(df: DataFrame, keys: list[str], value: str, by: str = "month", reducer: str = "median", time: str = "time", year: int | None = None) -> DataFrame:
+    """The mean or median of each month or week over all years; with a year, also `label`, its day in that year."""
+    if by not in ("month", "week"):
+        raise ValueError("by must be month or week")
     part = {"month": F.month, "week": F.weekofyear}[by](time)
-    return df.groupBy(*keys, part.alias(by)).agg({"mean": F.avg, "median": F.median}[reducer](value).alias(value))
+    out = df.groupBy(*keys, part.alias(by)).agg({"mean": F.avg, "median": F.median}[reducer](value).alias(value))
+    if year is None:
+        return out
+    first = F.make_date(F.lit(year), F.lit(1), F.lit(1))
+    return out.withColumn("label", F.make_date(F.lit(year), F.col(by), F.lit(1)) if by == "month" else F.date_add(first, (F.col(by) - 1) * 7))
 
 
 def _over(keys: list[str], order: str) -> Window:
@@ -63,6 +70,10 @@ def complete(df: DataFrame, keys: list[str], value: str, order: str) -> DataFram
     return forward_fill(df, keys, value, order).withColumn(value, F.coalesce(value, F.avg(value).over(Window.partitionBy(*keys))))
 
 
+#: Another name under which the completion fill is asked for.
+fast_fill = complete
+
+
 def daily_forward_fill(df: DataFrame, values: list[str], day: str = "day") -> DataFrame:
     """Every day from the first to the last of df; values stay until the next."""
     spine = df.agg(F.min(day).alias("a"), F.max(day).alias("b")).select(F.explode(F.sequence("a", "b")).alias(day))
@@ -103,7 +114,7 @@ def pchip(df: DataFrame, keys: list[str], value: str, order: str = "bin") -> Dat
     seg = F.when(F.col("n") == 1, F.struct("x", "y", "s", F.lit(1.0).alias("h"), F.col("y").alias("y1"), F.lit(0.0).alias("s1")))
     seg = seg.when(F.col("h").isNotNull(), F.struct("x", "y", "s", "h", F.lead("y").over(wk).alias("y1"), F.lead("s").over(wk).alias("s1")))
     seg = seg.otherwise(F.struct(F.lag("x").over(wk).alias("x"), F.lag("y").over(wk).alias("y"), F.lag("s").over(wk).alias("s"), F.col("hp").alias("h"), F.col("y").alias("y1"), F.col("s").alias("s1")))
-    k = k.select(*keys, F.col("x").cast("int").alias(order), seg.alias("g"))
+    k = k.select(*keys, F.col("x").cast(df.schema[order].dataType).alias(order), seg.alias("g"))
     j = df.join(k, [*keys, order], "left")
     g = F.coalesce(F.last("g", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first("g", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
     t = f"(({order} - g.x) / g.h)"
@@ -124,26 +135,41 @@ def savgol(df: DataFrame, keys: list[str], value: str, order: str = "bin", windo
     window += (window + 1) % 2
     if window <= degree:
         raise ValueError("the window must be longer than the degree")
-    weights = F.array(*[F.lit(x) for row in savgol_matrix(window, degree) for x in row])
-    every = _over(keys, order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    x = df.withColumns({"_v": F.collect_list(F.coalesce(F.col(value), F.lit(float("nan")))).over(every), "_i": F.row_number().over(_over(keys, order)) - 1, "_w": weights})
-    start = f"least(greatest(_i - {window // 2}, 0), size(_v) - {window})"
-    total = " + ".join(f"_v[{start} + {j}] * _w[(_i - ({start})) * {window} + {j}]" for j in range(window))
-    return x.withColumn(value, F.expr(f"CASE WHEN size(_v) >= {window} THEN nullif({total}, double('NaN')) END")).drop("_v", "_i", "_w")
+    reach = window - 1
+    near = _near(keys, order, reach)
+    x = df.withColumns({"_v": F.collect_list(F.coalesce(F.col(value).cast("double"), F.lit(float("nan")))).over(near), "_i": F.row_number().over(_over(keys, order)) - 1, "_n": F.count("*").over(Window.partitionBy(*keys)), "_w": F.array(*[F.lit(x) for row in savgol_matrix(window, degree) for x in row])})
+    # the window's first row in the series; _v begins `reach` rows before the row itself, or with the series
+    start = f"least(greatest(_i - {window // 2}, 0), _n - {window})"
+    total = " + ".join(f"_v[{start} - greatest(_i - {reach}, 0) + {j}] * _w[(_i - ({start})) * {window} + {j}]" for j in range(window))
+    return x.withColumn(value, F.expr(f"CASE WHEN _n >= {window} THEN nullif({total}, double('NaN')) END")).drop("_v", "_i", "_n", "_w")
 
 
-def gaussian(df: DataFrame, keys: list[str], value: str, order: str = "bin", sigma: int = 1) -> DataFrame:
-    """Gaussian smoothing by a kernel of four sigmas, the series mirrored at its ends."""
+def _near(keys: list[str], order: str, reach: int) -> Window:
+    """Rows at most `reach` away, so that no row carries its whole series."""
+    return _over(keys, order).rowsBetween(-reach, reach)
+
+
+def mirrored(df: DataFrame, keys: list[str], value: str, order: str, kernel: list[float]) -> DataFrame:
+    """The series weighed by a symmetric kernel, mirrored at its ends; rows whose weighing takes in a missing value are NULL."""
+    r = len(kernel) // 2
+    x = df.withColumns({"_v": F.collect_list(F.coalesce(F.col(value).cast("double"), F.lit(float("nan")))).over(_near(keys, order, r)), "_i": F.row_number().over(_over(keys, order)) - 1, "_n": F.count("*").over(Window.partitionBy(*keys)), "_k": F.array(*[F.lit(x) for x in kernel])})
+    place = f"pmod(_i + j - {r}, 2 * _n)"
+    at = f"(CASE WHEN {place} < _n THEN {place} ELSE 2 * _n - 1 - {place} END) - greatest(_i - {r}, 0)"
+    total = f"aggregate(sequence(0, {2 * r}), 0D, (s, j) -> s + _k[j] * _v[cast({at} AS int)])"
+    return x.withColumn(value, F.expr(f"nullif({total}, double('NaN'))")).drop("_v", "_i", "_n", "_k")
+
+
+def gaussian_kernel(sigma: float, truncate: float = 4.0) -> list[float]:
     import math
 
-    r = 4 * sigma
+    r = int(truncate * sigma + 0.5)
     k = [math.exp(-0.5 * (i / sigma) ** 2) for i in range(-r, r + 1)]
-    k = [x / sum(k) for x in k]
-    every = _over(keys, order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    x = df.withColumns({"_v": F.collect_list(value).over(every), "_i": F.row_number().over(_over(keys, order)) - 1})
-    place = lambda j: f"(pmod(_i + {j}, 2 * size(_v)))"
-    at = lambda j: f"_v[CASE WHEN {place(j)} < size(_v) THEN {place(j)} ELSE 2 * size(_v) - 1 - {place(j)} END]"
-    return x.withColumn(value, F.expr(" + ".join(f"{c!r}D * {at(i - r)}" for i, c in enumerate(k)))).drop("_v", "_i")
+    return [x / sum(k) for x in k]
+
+
+def gaussian(df: DataFrame, keys: list[str], value: str, order: str = "bin", sigma: int = 1) -> DataFrame:
+    """Gaussian smoothing by a kernel of four sigmas, the series mirrored at its ends."""
+    return mirrored(df, keys, value, order, gaussian_kernel(sigma))
 
 
 def gradient(df: DataFrame, keys: list[str], value: str, order: str, name: str = "gradient") -> DataFrame:
@@ -156,22 +182,62 @@ def gradient(df: DataFrame, keys: list[str], value: str, order: str, name: str =
     return df.withColumn(name, F.when(xa.isNull(), (b - f) / hd).when(xb.isNull(), (f - a) / hs).otherwise(inner))
 
 
-def outliers_zscore(df: DataFrame, keys: list[str], value: str, critical: float = 1.6449) -> DataFrame:
+#: Two-sided critical values of the normal distribution by p-value, as accepted for z-scores.
+CRITICAL = {0.01: 2.3263, 0.05: 1.6449, 0.1: 1.2816}
+
+
+def _without_spikes(df: DataFrame, keys: list[str], value: str, order: str, far: Column, factor: float) -> DataFrame:
+    """Rows that are `far` off and also spikes become NULL: below the mean of both neighbours, or above the larger one, by more
+    than the series' deviation times the factor. A value that its neighbours share is no spike, however far off it is."""
+    w = _over(keys, order)
+    limit = F.stddev_pop(value).over(Window.partitionBy(*keys)) * factor
+    a, b = F.lag(value).over(w), F.lead(value).over(w)
+    spike = F.coalesce(F.col(value) < (a + b) / 2 - limit, F.lit(False)) | F.coalesce(F.col(value) > F.greatest(a, b) + limit, F.lit(False))
+    return df.withColumn(value, F.when(~(F.coalesce(far, F.lit(False)) & spike), F.col(value)))
+
+
+def outliers_zscore(df: DataFrame, keys: list[str], value: str, order: str, p: float = 0.05, factor: float = 2.0) -> DataFrame:
+    """Spikes whose z-score is beyond the critical value of p become NULL."""
+    if p not in CRITICAL:
+        raise ValueError(f"p must be one of {sorted(CRITICAL)}")
     w = Window.partitionBy(*keys)
     z = F.try_divide(F.col(value) - F.avg(value).over(w), F.stddev_pop(value).over(w))
-    return df.withColumn(value, F.when(F.coalesce(F.abs(z) <= critical, F.lit(True)), F.col(value)))
+    return _without_spikes(df, keys, value, order, F.abs(z) > CRITICAL[p], factor)
 
 
-def outliers_median(df: DataFrame, keys: list[str], value: str, order: str, half: int = 1, factor: float = 2.0) -> DataFrame:
-    """Rows far from the rolling median, and spikes against both neighbours, become NULL. The limit is the series' deviation times the factor."""
-    w = _over(keys, order)
-    band = w.rowsBetween(-half, half)
+def rolling_window(times: int, years: int) -> int:
+    """The length of the rolling median for so many times over so many calendar years: odd, and three at least."""
+    w = times // 7 // max(years, 1)
+    return 3 if w < 3 else w + (w + 1) % 2
+
+
+def rolling_window_of(df: DataFrame, order: str, time: str) -> int:
+    """rolling_window for the times of df; one row is brought to the driver."""
+    r = df.agg(F.countDistinct(order).alias("n"), (F.max(F.year(time)) - F.min(F.year(time)) + 1).alias("years")).first()
+    return rolling_window(r["n"], r["years"] or 1)
+
+
+def outliers_median(df: DataFrame, keys: list[str], value: str, order: str, window: int = 3, factor: float = 2.0) -> DataFrame:
+    """Spikes that are further from the rolling median than the series' deviation times the factor become NULL. Where the window
+    isn't full, the median is the value itself."""
+    half = window // 2
+    band = _over(keys, order).rowsBetween(-half, half)
     middle = F.when(F.count(value).over(band) == 2 * half + 1, F.percentile(value, 0.5).over(band)).otherwise(F.col(value))
     limit = F.stddev_pop(value).over(Window.partitionBy(*keys)) * factor
-    a, b = F.lag(value).over(w), F.lead(value).over(w)
-    spike = (F.col(value) < (a + b) / 2 - limit) | (F.col(value) > F.greatest(a, b) + limit)
-    far = F.abs(F.col(value) - middle) > limit
-    return df.withColumn(value, F.when(~(F.coalesce(far, F.lit(False)) & F.coalesce(spike, F.lit(False))), F.col(value)))
+    return _without_spikes(df, keys, value, order, F.abs(F.col(value) - middle) > limit, factor)
+
+
+def to_year_end(df: DataFrame, keys: list[str], day: str) -> DataFrame:
+    """The last day of each series moves to December 31, if it lies in December before that."""
+    last = F.max(day).over(Window.partitionBy(*keys))
+    late = (F.col(day) == last) & (F.month(day) == 12) & (F.dayofmonth(day) < 31)
+    return df.withColumn(day, F.when(late, F.make_date(F.year(day), F.lit(12), F.lit(31))).otherwise(F.col(day)))
+
+
+def middle_year(df: DataFrame, time: str) -> int:
+    """The middle of the years of df, of two the earlier."""
+    r = df.agg(F.min(F.year(time)).alias("a"), F.max(F.year(time)).alias("b")).first()
+    return (r["a"] + r["b"]) // 2
 
 
 def dominant_year(df: DataFrame, time: str = "time", strict: bool = False) -> DataFrame:

@@ -6,9 +6,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def zonal_median(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
-    """The exact median of each value by key; NULLs don't count, and a group without values is NULL."""
-    return df.groupBy(*keys).agg(*[F.median(v).alias(v) for v in values])
+def zonal_median(df: DataFrame, keys: list[str], values: list[str], count: str | None = None) -> DataFrame:
+    """The exact median of each value by key; NULLs don't count, and a group without values is NULL. count: a column for the rows."""
+    return df.groupBy(*keys).agg(*[F.median(v).alias(v) for v in values], *([F.count("*").alias(count)] if count else []))
+
+
+def in_zones(pixels: DataFrame, mask: DataFrame) -> DataFrame:
+    """The pixels (y, x) that a mask (y, x, zone_id) holds, each with its zone. A mask is one scene's size against all its
+    times; whether it is broadcast is for the planner to decide by its size."""
+    return pixels.join(mask.select("y", "x", "zone_id"), ["y", "x"])
+
+
+def zonal_series(cube: DataFrame, mask: DataFrame, values: list[str], time: str = "time") -> DataFrame:
+    """zone_id, time and the median of each value over a zone's pixels."""
+    return zonal_median(in_zones(cube, mask), ["zone_id", time], values)
 
 
 def enough_observations(df: DataFrame, keys: list[str], value: str, least: int = 25) -> DataFrame:

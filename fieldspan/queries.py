@@ -66,9 +66,13 @@ _NULLS = " + ".join(f"CAST({b} IS NULL AS INT)" for b in pixels.BANDS)
 
 @query("scene_null_filter", f"WITH {CLEAN}, f AS (SELECT time, CAST(sum({_NULLS}) AS DOUBLE) / (count(*) * 6) AS null_fraction, count(*) AS n FROM clean GROUP BY time) SELECT time, {rs('null_fraction')}, CAST(n AS BIGINT) AS n_pixels FROM f WHERE null_fraction < 0.5")
 def scene_null_filter(spark, sf):
-    clean = pixels.cloud_mask(pixel_view(spark, sf))
-    kept = pixels.keep_clear_scenes(clean).groupBy("time").agg(F.count("*").alias("n_pixels"))
-    return kept.join(pixels.scene_null_fraction(clean), "time").select("time", r("null_fraction"), "n_pixels")
+    f = pixels.scene_null_fraction(pixels.cloud_mask(pixel_view(spark, sf))).where("null_fraction < 0.5")
+    return f.select("time", r("null_fraction"), "n_pixels")
+
+
+@query("scene_keep", f"WITH {CLEAN}, k AS (SELECT time FROM clean GROUP BY time HAVING CAST(sum({_NULLS}) AS DOUBLE) / (count(*) * 6) < 0.3) SELECT zone, CAST(count(*) AS BIGINT) AS n, CAST(sum(red) AS BIGINT) AS red FROM clean WHERE time IN (SELECT time FROM k) GROUP BY zone")
+def scene_keep(spark, sf):
+    return pixels.keep_clear_scenes(pixels.cloud_mask(pixel_view(spark, sf)), most=0.3).groupBy("zone").agg(F.count("*").alias("n"), F.sum("red").alias("red"))
 
 
 def _index_query(name: str) -> None:
@@ -85,8 +89,7 @@ for _n in INDEX_SQL:
 @query("zonal_median", f"WITH {CLEAN} SELECT zone, year(time) AS year, {rs('median(red)', name='red')}, {rs('median(nir1)', name='nir1')}, round(median({NDVI}), 5) + 0.0 AS ndvi, CAST(count(*) AS BIGINT) AS n FROM clean GROUP BY zone, year(time)".replace("year(time) AS year", "CAST(year(time) AS INT) AS year"))
 def zonal_median(spark, sf):
     x = pixels.with_indices(pixels.cloud_mask(pixel_view(spark, sf)), {"ndvi": pixels.ndvi}).withColumn("year", F.year("time"))
-    m = zonal.zonal_median(x, ["zone", "year"], ["red", "nir1", "ndvi"])
-    return m.join(x.groupBy("zone", "year").agg(F.count("*").alias("n")), ["zone", "year"]).select("zone", "year", r("red"), r("nir1"), r("ndvi"), "n")
+    return zonal.zonal_median(x, ["zone", "year"], ["red", "nir1", "ndvi"], "n").select("zone", "year", r("red"), r("nir1"), r("ndvi"), "n")
 
 
 @query("minmax_uint8", f"WITH {PX}, b AS (SELECT *, min(red) OVER (PARTITION BY zone) AS lo, max(red) OVER (PARTITION BY zone) AS hi FROM px), u AS (SELECT zone, coalesce(CAST(floor(least(greatest((red - lo) / nullif(CAST(hi - lo AS DOUBLE), 0), 0), 1) * 255) AS INT), 0) AS red_u8 FROM b) SELECT zone, red_u8, CAST(count(*) AS BIGINT) AS n FROM u GROUP BY zone, red_u8")
@@ -151,9 +154,21 @@ def month_sum(spark, sf):
     return series.month_sum(series_view(spark, sf), ["zone"], "value").select("zone", "label", F.round("value", 10).alias("value"))
 
 
-@query("climatology_month", f"WITH {TS} SELECT zone, CAST(month(time) AS INT) AS month, round(median(value), 10) AS value FROM ts GROUP BY ALL")
+@query("climatology_month", f"WITH {TS}, y AS (SELECT (min(year(time)) + max(year(time))) // 2 AS y FROM ts) SELECT zone, CAST(month(time) AS INT) AS month, round(median(value), 10) AS value, make_date(any_value(y.y), month(time), 1) AS label FROM ts, y GROUP BY zone, month(time)")
 def climatology_month(spark, sf):
-    return series.climatology(series_view(spark, sf), ["zone"], "value").select("zone", "month", F.round("value", 10).alias("value"))
+    x = series_view(spark, sf)
+    return series.climatology(x, ["zone"], "value", year=series.middle_year(x, "time")).select("zone", "month", F.round("value", 10).alias("value"), "label")
+
+
+@query("climatology_week", f"WITH {TS} SELECT zone, CAST(weekofyear(time) AS INT) AS week, round(avg(value), 9) AS value FROM ts GROUP BY ALL")
+def climatology_week(spark, sf):
+    return series.climatology(series_view(spark, sf), ["zone"], "value", "week", "mean").select("zone", "week", F.round("value", 9).alias("value"))
+
+
+@query("to_year_end", f"WITH {TS}, d AS (SELECT DISTINCT zone % 60 AS zone, year(time) AS y, CAST(time AS DATE) AS day FROM ts WHERE dayofyear(time) % 3 = 0) SELECT zone, CAST(y AS INT) AS year, CASE WHEN day = max(day) OVER (PARTITION BY zone, y) AND month(day) = 12 THEN make_date(y, 12, 31) ELSE day END AS day FROM d")
+def to_year_end(spark, sf):
+    x = series_view(spark, sf).where("dayofyear(time) % 3 = 0").selectExpr("zone % 60 AS zone", "year(time) AS year", "to_date(time) AS day").distinct()
+    return series.to_year_end(x, ["zone", "year"], "day")
 
 
 _FF = "last_value(value IGNORE NULLS) OVER (PARTITION BY zone ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
@@ -208,19 +223,33 @@ def savgol_smooth(spark, sf):
     return series.savgol(series.pchip(_bins(spark, sf), ["zone"], "value"), ["zone"], "value").select("zone", "bin", (F.floor(F.col("value") * 1e4 + 0.5) / 1e4).alias("value"))
 
 
-@query("gaussian_smooth")
+def _mirror(i: str, n: str) -> str:
+    """SQL: the place of i in a list of n that is mirrored at its ends, from 1."""
+    m = f"((({i}) % (2 * {n}) + 2 * {n}) % (2 * {n}))"
+    return f"(CASE WHEN {m} < {n} THEN {m} ELSE 2 * {n} - 1 - {m} END + 1)"
+
+
+@query("gaussian_smooth", f"WITH {PCHIP}, a AS (SELECT zone, list(value ORDER BY bin) AS v FROM filled GROUP BY zone), c AS (SELECT {series.gaussian_kernel(1)!r} AS c) SELECT f.zone, f.bin, floor(list_sum(list_transform(range(0, 9), lambda j: c.c[j + 1] * a.v[{_mirror('f.bin + j - 4', 'len(a.v)')}])) * 1e4 + 0.5) / 1e4 AS value FROM filled f JOIN a USING (zone), c")
 def gaussian_smooth(spark, sf):
-    return series.gaussian(series.pchip(_bins(spark, sf), ["zone"], "value"), ["zone"], "value").select("zone", "bin", r("value", 4))
+    return series.gaussian(series.pchip(_bins(spark, sf), ["zone"], "value"), ["zone"], "value").select("zone", "bin", (F.floor(F.col("value") * 1e4 + 0.5) / 1e4).alias("value"))
+
 
+_SPIKE = "(value < (a + b) / 2 - sd * {f} OR value > greatest(a, b) + sd * {f})"
 
-@query("outlier_zscore", f"WITH {BINS}, z AS (SELECT zone, bin, value, (value - avg(value) OVER (PARTITION BY zone)) / nullif(stddev_pop(value) OVER (PARTITION BY zone), 0) AS z FROM s) SELECT zone, bin, round(CASE WHEN coalesce(abs(z) <= 1.6449, true) THEN value END, 10) AS value FROM z")
+
+@query("outlier_zscore", f"WITH {BINS}, z AS (SELECT zone, bin, value, lag(value) OVER w AS a, lead(value) OVER w AS b, stddev_pop(value) OVER k AS sd, (value - avg(value) OVER k) / nullif(stddev_pop(value) OVER k, 0) AS z FROM s WINDOW w AS (PARTITION BY zone ORDER BY bin), k AS (PARTITION BY zone)) SELECT zone, bin, round(CASE WHEN abs(z) > 1.2816 AND {_SPIKE.format(f=0.5)} THEN NULL ELSE value END, 10) AS value FROM z")
 def outlier_zscore(spark, sf):
-    return series.outliers_zscore(_bins(spark, sf), ["zone"], "value").select("zone", "bin", F.round("value", 10).alias("value"))
+    return series.outliers_zscore(_bins(spark, sf), ["zone"], "value", "bin", 0.1, 0.5).select("zone", "bin", F.round("value", 10).alias("value"))
 
 
-@query("outlier_median", f"WITH {BINS}, o AS (SELECT zone, bin, value, lag(value) OVER w AS a, lead(value) OVER w AS b, stddev_pop(value) OVER (PARTITION BY zone) AS sd, count(value) OVER c AS n, list_median(list(value) OVER c) AS med FROM s WINDOW w AS (PARTITION BY zone ORDER BY bin), c AS (PARTITION BY zone ORDER BY bin ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)), f AS (SELECT *, coalesce(abs(value - CASE WHEN n = 3 THEN med ELSE value END) > sd, false) AND coalesce(value < (a + b) / 2 - sd OR value > greatest(a, b) + sd, false) AS bad FROM o) SELECT zone, bin, round(CASE WHEN NOT bad THEN value END, 10) AS value FROM f")
+@query("outlier_median", f"""WITH {BINS}, h AS (SELECT CASE WHEN w < 3 THEN 3 WHEN w % 2 = 0 THEN w + 1 ELSE w END // 2 AS h FROM (SELECT (SELECT count(DISTINCT bin) FROM s) // 7 // (SELECT max(year(d)) - min(year(d)) + 1 FROM (SELECT (SELECT min(CAST(time AS DATE)) FROM ts) + bin * 10 AS d FROM s)) AS w)),
+o AS (SELECT zone, bin, value, lag(value) OVER w AS a, lead(value) OVER w AS b, stddev_pop(value) OVER (PARTITION BY zone) AS sd FROM s WINDOW w AS (PARTITION BY zone ORDER BY bin)),
+med AS (SELECT o.zone, o.bin, CASE WHEN count(n.value) = any_value(2 * h.h + 1) THEN median(n.value) END AS med FROM o, h JOIN s n ON n.zone = o.zone AND n.bin BETWEEN o.bin - h.h AND o.bin + h.h GROUP BY ALL)
+SELECT zone, bin, round(CASE WHEN abs(value - coalesce(med, value)) > sd * 0.5 AND {_SPIKE.format(f=0.5)} THEN NULL ELSE value END, 10) AS value FROM o JOIN med USING (zone, bin)""")
 def outlier_median(spark, sf):
-    return series.outliers_median(_bins(spark, sf), ["zone"], "value", "bin", factor=1.0).select("zone", "bin", F.round("value", 10).alias("value"))
+    x = _bins(spark, sf)
+    window = series.rolling_window_of(x, "bin", "label")
+    return series.outliers_median(x, ["zone"], "value", "bin", window, 0.5).select("zone", "bin", F.round("value", 10).alias("value"))
 
 
 _GRAD = """g AS (SELECT zone, bin, value AS f, lag(value) OVER w AS a, lead(value) OVER w AS b, CAST(bin - lag(bin) OVER w AS DOUBLE) AS hs, CAST(lead(bin) OVER w - bin AS DOUBLE) AS hd FROM (SELECT * FROM s WHERE value IS NOT NULL) WINDOW w AS (PARTITION BY zone ORDER BY bin))"""
@@ -278,9 +307,9 @@ p4 AS (SELECT *, median(v) FILTER (up) OVER k AS mu, median(v) FILTER (down) OVE
 sos AS (SELECT zone, year, doy AS sos_t, v AS sos FROM p4 WHERE up QUALIFY row_number() OVER (PARTITION BY zone, year ORDER BY {up}, doy) = 1),
 eos AS (SELECT zone, year, doy AS eos_t, v AS eos FROM p4 WHERE down QUALIFY row_number() OVER (PARTITION BY zone, year ORDER BY {down}, doy) = 1),
 j AS (SELECT p4.*, sos_t, sos, eos_t, eos, CASE WHEN doy IN (first_doy, last_doy) THEN 0.5 ELSE 1 END * CASE WHEN n = 1 THEN 0 ELSE 1 END AS wt FROM p4 LEFT JOIN sos USING (zone, year) LEFT JOIN eos USING (zone, year)),
-m AS (SELECT zone, year, any_value(pos) AS pos, any_value(pos_t) AS pos_t, any_value(mos) AS mos, any_value(vos) AS vos, any_value(vos_t) AS vos_t, any_value(bse) AS bse, any_value(aos) AS aos, any_value(sos) AS sos, any_value(sos_t) AS sos_t, any_value(eos) AS eos, any_value(eos_t) AS eos_t,
+mt AS (SELECT zone, year, any_value(pos) AS pos, any_value(pos_t) AS pos_t, any_value(mos) AS mos, any_value(vos) AS vos, any_value(vos_t) AS vos_t, any_value(bse) AS bse, any_value(aos) AS aos, any_value(sos) AS sos, any_value(sos_t) AS sos_t, any_value(eos) AS eos, any_value(eos_t) AS eos_t,
  any_value(last_doy) AS last_doy, any_value(n) AS n, sum(v * wt) FILTER (doy BETWEEN sos_t AND eos_t) AS li, sum(bse * wt) FILTER (doy BETWEEN sos_t AND eos_t) AS lb, sum(v * wt) AS liot FROM j GROUP BY zone, year)
-SELECT zone, year, """ + ", ".join(rs(e, 4, c) for c, e in _METRICS.items()) + " FROM m"
+SELECT zone, year, """ + ", ".join(rs(e, 4, c) for c, e in _METRICS.items()) + " FROM mt"
 
 
 _METRICS = {
@@ -302,16 +331,30 @@ for _n, _m in (("pheno_metrics", "seasonal_amplitude"), ("pheno_first", "first_o
     _pheno_query(_n, _m)
 
 
-@query("num_peaks")
+_PEAKS = f"""WITH RECURSIVE {SEASON}, o AS (SELECT zone, year, v, row_number() OVER w - 1 AS i, lag(v) OVER w AS before FROM ser WINDOW w AS (PARTITION BY zone, year ORDER BY doy)), g AS (SELECT *, sum(CASE WHEN before = v THEN 0 ELSE 1 END) OVER (PARTITION BY zone, year ORDER BY i) AS run FROM o),
+u AS (SELECT zone, year, run, any_value(v) AS v, (min(i) + max(i)) // 2 AS p FROM g GROUP BY ALL), t AS (SELECT *, lag(v) OVER w AS a, lead(v) OVER w AS b FROM u WINDOW w AS (PARTITION BY zone, year ORDER BY run)),
+h AS (SELECT zone, year, quantile_cont(v, 0.75) AS q, CAST(ceil(count(*) / 4.0) AS BIGINT) AS d FROM ser GROUP BY ALL),
+k AS (SELECT h.zone, h.year, h.d, coalesce(list({{'v': t.v, 'p': t.p}} ORDER BY t.v DESC, t.p DESC) FILTER (t.v > a AND t.v > b AND t.v >= h.q), []) AS l, 0 AS c FROM h JOIN t USING (zone, year) GROUP BY h.zone, h.year, h.d),
+s AS (SELECT * FROM k UNION ALL SELECT zone, year, d, list_filter(l, lambda e: abs(e.p - l[1].p) >= d), c + 1 FROM s WHERE len(l) > 0)
+SELECT zone, year, CAST(max(c) AS INT) AS num_peaks FROM s GROUP BY zone, year"""
+
+
+@query("num_peaks", _PEAKS)
 def num_peaks(spark, sf):
     return phenology.num_peaks(_season(spark, sf), ["zone", "year"], "v")
 
 
-@query("season_chain")
+_CHAIN = f"""WITH {CLEAN}, kept AS (SELECT time FROM clean GROUP BY time HAVING CAST(sum({_NULLS}) AS DOUBLE) / (count(*) * 6) < 0.5), ts AS (SELECT zone, time, median({NDVI}) AS value FROM clean WHERE time IN (SELECT time FROM kept) GROUP BY zone, time), """
+_CHAIN += SAVGOL.split("value FROM orders), ", 1)[1] if "value FROM orders), " in SAVGOL else SAVGOL[len(TS) + 2 :]
+_CHAIN += """, ser0 AS (SELECT zone, year(d) AS year, CAST(dayofyear(d) AS INT) AS doy, value AS v FROM (SELECT zone, (SELECT min(CAST(time AS DATE)) FROM ts) + bin * 10 AS d, value FROM sm)), ser AS (SELECT * FROM ser0 WHERE v IS NOT NULL QUALIFY count(v) OVER (PARTITION BY zone, year) >= 25), p0 AS"""
+_CHAIN += _pheno_sql("seasonal_amplitude").split(", p0 AS", 1)[1]
+
+
+@query("season_chain", _CHAIN)
 def season_chain(spark, sf):
     from .plans import season_chain as chain
 
-    return chain(pixel_view(spark, sf))
+    return chain(pixel_view(spark, sf)).select("zone", "year", *[(F.round(F.col(c).cast("double"), 4) + 0.0).alias(c) for c in _METRICS])
 
 
 # --- joins
@@ -372,9 +415,14 @@ def _zones(spark):
 _Z = "z0 AS (" + " UNION ALL ".join(f"SELECT '{n}' AS zone, {i} AS e, CAST({100 * a[0]} AS DOUBLE) AS ax, CAST({100 * a[1]} AS DOUBLE) AS ay, CAST({100 * b[0]} AS DOUBLE) AS bx, CAST({100 * b[1]} AS DOUBLE) AS by_" for n, ring in _ZONES for i, (a, b) in enumerate(zip(ring[:-1], ring[1:]))) + "), zm AS (SELECT zone, abs(sum(ax * by_ - bx * ay)) / 2 AS area, sum(sqrt(pow(bx - ax, 2) + pow(by_ - ay, 2))) AS len FROM z0 GROUP BY zone), zf AS (SELECT zone, area / 10000 AS area_ha, 4 * pi() * area / pow(len, 2) AS compactness, row_number() OVER (ORDER BY area DESC, zone) AS zone_id FROM zm WHERE area / 10000 BETWEEN 5 AND 1500 AND 4 * pi() * area / pow(len, 2) >= 0.1)"
 
 
-@query("polygon_area_filter", f"WITH {_Z} SELECT zone, round(area_ha, 4) AS area_ha, round(compactness, 5) AS compactness, CAST(zone_id AS INT) AS zone_id FROM zf")
+_FIELD = "100 + c_custkey % 50 * 12", "60 + c_nationkey * 30"
+
+
+@query("polygon_area_filter", f"WITH z AS (SELECT CAST(c_custkey AS VARCHAR) AS zone, CAST({_FIELD[0]} AS DOUBLE) AS w, CAST({_FIELD[1]} AS DOUBLE) AS h FROM customer), m AS (SELECT zone, w * h / 10000 AS area_ha, pi() * w * h / pow(w + h, 2) AS compactness FROM z) SELECT zone, round(area_ha, 4) AS area_ha, round(compactness, 5) AS compactness, CAST(row_number() OVER (ORDER BY area_ha DESC, zone) AS INT) AS zone_id FROM m WHERE area_ha BETWEEN 5 AND 1500 AND compactness >= 0.5")
 def polygon_area_filter(spark, sf):
-    return zonal.select_zones(zonal.polygon_metrics(_zones(spark))).select("zone", F.round("area_ha", 4).alias("area_ha"), F.round("compactness", 5).alias("compactness"), "zone_id")
+    c = spark.read.parquet(f"{sf}/customer.parquet").selectExpr("cast(c_custkey AS string) AS zone", f"cast({_FIELD[0]} AS double) AS w", f"cast({_FIELD[1]} AS double) AS h")
+    ring = c.select("zone", F.expr("transform(array((0, 0), (1, 0), (1, 1), (0, 1), (0, 0)), p -> struct(p.col1 * w + 7D AS x, p.col2 * h - 3D AS y))").alias("ring"))
+    return zonal.select_zones(zonal.polygon_metrics(ring), compact=0.5).select("zone", F.round("area_ha", 4).alias("area_ha"), F.round("compactness", 5).alias("compactness"), "zone_id")
 
 
 @query("point_in_polygon", f"WITH {_Z}, {GRID}, p AS (SELECT y, x, 100 * x + 50.0 AS px, 100 * y + 50.0 AS py FROM grid), h AS (SELECT p.y, p.x, zf.zone_id, count(*) FILTER ((ay > py) <> (by_ > py) AND px < (bx - ax) * (py - ay) / nullif(by_ - ay, 0) + ax) AS c FROM p, zf JOIN z0 USING (zone) GROUP BY ALL) SELECT CAST(max(zone_id) AS INT) AS zone_id, y, x FROM h WHERE c % 2 = 1 GROUP BY y, x")
@@ -412,9 +460,7 @@ def laplacian_stencil(spark, sf):
 
 @query("regrid_mean_max", f"WITH {GRID} SELECT CAST(floor(y / 5.0) AS INT) AS y, CAST(floor(x / 5.0) AS INT) AS x, round(avg(z), 4) AS mean, round(max(z), 4) AS max FROM grid GROUP BY 1, 2")
 def regrid_mean_max(spark, sf):
-    g = grid_view(spark, sf)
-    a, b = grids.regrid(g, 5).withColumnRenamed("z", "mean"), grids.regrid(g, 5, "max").withColumnRenamed("z", "max")
-    return a.join(b, ["y", "x"]).select("y", "x", F.round("mean", 4).alias("mean"), F.round("max", 4).alias("max"))
+    return grids.regrid(grid_view(spark, sf), 5, {"mean": ("mean", "z"), "max": ("max", "z")}).select("y", "x", F.round("mean", 4).alias("mean"), F.round("max", 4).alias("max"))
 
 
 @query("d8_accumulation")
@@ -422,7 +468,11 @@ def d8_accumulation(spark, sf):
     return grids.flow(grid_view(spark, sf).withColumn("area", F.lit(0)), "area")
 
 
-@query("gaussian_2d")
+def _blur(line: str, at: str, source: str) -> str:
+    return f"(SELECT y, x, list_sum(list_transform(range(0, 17), lambda j: k.k[j + 1] * l.v[{_mirror('g.i + j - 8', 'len(l.v)')}])) AS z FROM (SELECT *, row_number() OVER (PARTITION BY {line} ORDER BY {at}) - 1 AS i FROM {source}) g JOIN (SELECT {line}, list(z ORDER BY {at}) AS v FROM {source} GROUP BY {line}) l USING ({line}), k)"
+
+
+@query("gaussian_2d", f"WITH {GRID}, k AS (SELECT {series.gaussian_kernel(2.0)!r} AS k), a AS {_blur('y', 'x', 'grid')}, b AS {_blur('x', 'y', 'a')} SELECT y, x, round(z, 4) AS z FROM b")
 def gaussian_2d(spark, sf):
     return grids.gaussian_2d(grid_view(spark, sf), 2.0).select("y", "x", F.round("z", 4).alias("z"))
 
@@ -435,10 +485,20 @@ def qp_downscale(spark, sf):
     return models.downscale(fine.join(coarse, "cell")).select("time", "y", "x", F.round("theta", 4).alias("theta"), "status")
 
 
-@query("mlp_unmix")
+def _layer(inputs: list[str], weights, bias, relu: bool) -> list[str]:
+    """SQL: the outputs of a layer of the network."""
+    sums = [" + ".join([*(f"({x}) * {w[k]!r}" for x, w in zip(inputs, weights.tolist())), repr(b)]) for k, b in enumerate(bias.tolist())]
+    return [f"CASE WHEN {x} < 0 THEN 0 ELSE {x} END" if relu else x for x in sums]
+
+
+_MLP = ["green", "red", "nir1", "swir2", "swir3"]
+_HIDDEN = _layer([R[b] for b in _MLP], *models.DEMO_WEIGHTS[0], True)
+_OUT = _layer(["h0", "h1", "h2"], *models.DEMO_WEIGHTS[1], False)
+
+
+@query("mlp_unmix", f"WITH {CLEAN}, h AS (SELECT zone, {', '.join(f'{x} AS h{k}' for k, x in enumerate(_HIDDEN))} FROM clean), o AS (SELECT zone, {', '.join(f'{x} AS {n}' for x, n in zip(_OUT, ('bg', 'pv', 'npv')))} FROM h) SELECT zone, round(avg(bg), 5) AS bg, round(avg(pv), 5) AS pv, round(avg(npv), 5) AS npv, CAST(count(bg) AS BIGINT) AS n FROM o GROUP BY zone")
 def mlp_unmix(spark, sf):
-    bands = ["green", "red", "nir1", "swir2", "swir3"]
-    out = models.unmix(pixels.cloud_mask(pixel_view(spark, sf)).select("zone", *bands), bands)
+    out = models.unmix(pixels.cloud_mask(pixel_view(spark, sf)).select("zone", *_MLP), _MLP)
     return out.groupBy("zone").agg(*[F.round(F.avg(c), 5).alias(c) for c in ("bg", "pv", "npv")], F.count("bg").alias("n"))
 
 
@@ -463,21 +523,54 @@ def registry_upsert(spark, sf):
     return listing.upsert(g, o.selectExpr("o_custkey % 101 AS k", "o_orderdate AS run"), ["k"])
 
 
-_NAMES = """CASE page_id % 9 WHEN 0 THEN 'auto_fields_calendar_' || (2015 + page_id % 10) || '_p' || lpad(CAST(page_id % 20 AS VARCHAR(9)), 2, '0') || '.png' WHEN 1 THEN 'my_fields_phenology_p' || lpad(CAST(page_id % 12 AS VARCHAR(9)), 2, '0') || '.png'
- WHEN 2 THEN 'farm' || page_id || '_silo_temperature_max.png' WHEN 3 THEN 'farm' || page_id || '_ozwald_water.png' WHEN 4 THEN 'farm_sentinel2.mp4' WHEN 5 THEN 'farm_fractional_cover_fields.mp4' WHEN 6 THEN 'farm' || page_id || '_report.pdf' WHEN 7 THEN 'slope' || page_id || '.png' ELSE 'notes' || page_id || '.txt' END"""
-_CLASS = f"""n AS (SELECT page_id, {_NAMES} AS name FROM pages), c AS (SELECT page_id, name, CASE WHEN name LIKE '%.mp4' THEN 'video' WHEN regexp_matches(name, '_calendar_[0-9]{{4}}_p[0-9]+[.]png$') THEN 'calendar' WHEN regexp_matches(name, '_phenology_p[0-9]+[.]png$') THEN 'phenology' WHEN regexp_matches(name, '_(silo|ozwald)_.+[.]png$') THEN 'climate' WHEN name LIKE '%.pdf' THEN 'report' WHEN name LIKE '%.png' THEN 'landscape' ELSE 'other' END AS category FROM n)"""
+#: How the outputs of a run are named, most special first.
+NAMING = [
+    listing.Rule(r"^(.*)_report\.pdf$", "report", label="PDF report"),
+    listing.Rule(r"^(.*)\.pdf$", "report"),
+    listing.Rule(r"^(.*)_sentinel2_paddocks\.mp4$", "video", label="Sentinel-2 + paddocks - {variant}", variant=1),
+    listing.Rule(r"^(.*)_fractional_cover_paddocks\.mp4$", "video", label="Fractional cover + paddocks - {variant}", variant=1),
+    listing.Rule(r"^(.*)_sentinel2\.mp4$", "video", label="Sentinel-2 true colour"),
+    listing.Rule(r"^(.*)_fractional_cover\.mp4$", "video", label="Fractional cover"),
+    listing.Rule(r"^(.*)\.mp4$", "video"),
+    listing.Rule(r"^(.*)_topography\.png$", "landscape", "Terrain", "Topography"),
+    listing.Rule(r"^(.+)_calendar_(\d{4})_p(\d+)\.png$", "calendar", label="Calendar {2} - p{3:02}", variant=1, year=2, page=3),
+    listing.Rule(r"^(.+)_phenology_p(\d+)\.png$", "phenology", label="Phenology - p{2:02}", variant=1, page=2),
+    listing.Rule(r"^(.+)_silo_(.+)\.png$", "climate", "SILO", "{2:title}"),
+    listing.Rule(r"^(.+)_ozwald_(?:daily|8day)_(.+)\.png$", "climate", "OzWALD", "{2:title}"),
+    listing.Rule(r"^(.*)\.png$", "landscape", "Other"),
+]
+VARIANTS = {"sam_paddocks": "SAM"}
+
+_NAMES = """CASE page_id % 13 WHEN 0 THEN 'sam_paddocks_' || page_id % 4 || '_calendar_' || (2015 + page_id % 10) || '_p' || lpad(CAST(page_id % 20 AS VARCHAR(9)), 2, '0') || '.png' WHEN 1 THEN 'home_fields_phenology_p' || page_id % 12 || '.png'
+ WHEN 2 THEN 'farm' || page_id || '_silo_temperature_max.png' WHEN 3 THEN 'farm' || page_id || '_ozwald_daily_rain_total.png' WHEN 4 THEN 'farm' || page_id || '_sentinel2.mp4' WHEN 5 THEN 'sam_paddocks_sentinel2_paddocks.mp4' WHEN 6 THEN 'north_fractional_cover_paddocks.mp4' WHEN 7 THEN 'farm_report.pdf'
+ WHEN 8 THEN 'farm_topography.png' WHEN 9 THEN 'slope' || page_id || '.png' WHEN 10 THEN 'clip' || page_id || '.mp4' WHEN 11 THEN 'notes' || page_id || '.txt' ELSE 'farm_ozwald_8day_lai.png' END"""
+_STEM = "CASE WHEN name LIKE 'sam_paddocks%' THEN 'SAM' ELSE regexp_extract(name, '^(.*)_(calendar|phenology|sentinel2_paddocks|fractional_cover_paddocks)', 1) END"
+_CLASS = f"""n AS (SELECT page_id, {_NAMES} AS name FROM pages WHERE page_id % 13 <> 11), c AS (SELECT page_id, name,
+ CASE page_id % 13 WHEN 0 THEN 'calendar' WHEN 1 THEN 'phenology' WHEN 2 THEN 'climate' WHEN 3 THEN 'climate' WHEN 12 THEN 'climate' WHEN 7 THEN 'report' WHEN 8 THEN 'landscape' WHEN 9 THEN 'landscape' ELSE 'video' END AS category,
+ CASE page_id % 13 WHEN 2 THEN 'SILO' WHEN 3 THEN 'OzWALD' WHEN 12 THEN 'OzWALD' WHEN 8 THEN 'Terrain' WHEN 9 THEN 'Other' ELSE '' END AS grp,
+ CASE page_id % 13 WHEN 0 THEN 'Calendar ' || (2015 + page_id % 10) || ' - p' || lpad(CAST(page_id % 20 AS VARCHAR), 2, '0') WHEN 1 THEN 'Phenology - p' || lpad(CAST(page_id % 12 AS VARCHAR), 2, '0') WHEN 2 THEN 'Temperature Max' WHEN 3 THEN 'Rain Total' WHEN 4 THEN 'Sentinel-2 true colour'
+  WHEN 5 THEN 'Sentinel-2 + paddocks - SAM' WHEN 6 THEN 'Fractional cover + paddocks - north' WHEN 7 THEN 'PDF report' WHEN 8 THEN 'Topography' WHEN 12 THEN 'Lai' ELSE name END AS label,
+ CASE WHEN page_id % 13 IN (0, 1, 5, 6) THEN {_STEM} ELSE '' END AS variant, CASE WHEN page_id % 13 = 0 THEN CAST(2015 + page_id % 10 AS INT) END AS year, CASE page_id % 13 WHEN 0 THEN CAST(page_id % 20 AS INT) WHEN 1 THEN CAST(page_id % 12 AS INT) END AS page FROM n)"""
 
 
 def _names(spark, sf):
-    return listing.classify(spark.read.parquet(f"{sf}/pages.parquet").selectExpr("page_id", f"{_NAMES} AS name"))
+    return listing.classify(spark.read.parquet(f"{sf}/pages.parquet").selectExpr("page_id", f"{_NAMES} AS name"), NAMING, VARIANTS)
 
 
-@query("asset_classify", f"WITH {_CLASS} SELECT page_id, name, category, CAST(nullif(regexp_extract(name, '_calendar_([0-9]{{4}})_p', 1), '') AS INT) AS year, CASE WHEN category IN ('calendar', 'phenology') THEN CAST(nullif(regexp_extract(name, '_p([0-9]+)[.]png$', 1), '') AS INT) END AS page FROM c")
+@query("asset_classify", f"WITH {_CLASS} SELECT page_id, name, category, grp, label, variant, year, page FROM c")
 def asset_classify(spark, sf):
-    return _names(spark, sf).select("page_id", "name", "category", "year", "page")
+    return _names(spark, sf)
+
+
+@query("asset_variants", f"WITH {_CLASS} SELECT variant, CAST(row_number() OVER (ORDER BY min(regexp_replace(lower(name), '([0-9]+)', 'x', 'g'))) AS INT) AS ord FROM c WHERE variant <> '' GROUP BY variant")
+def asset_variants(spark, sf):
+    return listing.variants_in_order(_names(spark, sf))
 
 
-@query("report_manifest")
+_PADDED = "list_aggregate(list_transform(regexp_extract_all(lower(name), '[0-9]+|[^0-9]+'), lambda t: CASE WHEN regexp_full_match(t, '[0-9]+') THEN lpad(t, 12, '0') ELSE t END), 'string_agg', '')"
+
+
+@query("report_manifest", f"WITH {_CLASS}, d AS (SELECT DISTINCT name, category FROM c), s AS (SELECT * FROM (VALUES (0, 'climate'), (1, 'landscape'), (2, 'calendar'), (3, 'phenology'), (4, 'report')) s(sec, category)) SELECT CAST(sec AS INT) AS sec, CAST(row_number() OVER (PARTITION BY sec ORDER BY {_PADDED}, name) AS INT) AS ord, category AS section, name FROM d JOIN s USING (category)")
 def report_manifest(spark, sf):
     return listing.manifest(_names(spark, sf).select("name", "category").distinct(), ["climate", "landscape", "calendar", "phenology", "report"])
 
@@ -494,3 +587,5 @@ def status_dag(spark, sf):
     g = Graph([Stage("a", lambda c: 1), Stage("b", lambda c: 1 / 0, ("a",)), Stage("c", lambda c: 2, ("b",)), Stage("d", lambda c: 3, ("a",))])
     g.run(raise_errors=False)
     return g.table(spark).select("stage", "status")
+
+from . import chain_queries  # noqa: E402, F401  it adds its queries to these

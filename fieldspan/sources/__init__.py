@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,3 +68,44 @@ def read_geojson(spark: SparkSession, path: str, label: str | None = None) -> Da
     name = F.col(f"f.properties.`{label}`") if label else (F.col("n") + 1).cast("string")
     parts = rows.select(name.alias("zone"), F.explode(polygons).alias("p"))
     return parts.select("zone", F.transform(F.col("p")[0], lambda c: F.struct(c[0].alias("x"), c[1].alias("y"))).alias("ring"))
+
+
+def read_years(spark: SparkSession, path: str, variables: list[str], years: range, point: tuple[float, float]) -> DataFrame:
+    """lat, lon, time and the variables at the grid cell nearest to point (lat, lon), from one Parquet file a variable and year
+    named {variable}_{year}.parquet with columns lat, lon, time, value; the years follow each other."""
+    from fieldspan.operators.tables import union_chunks
+
+    out = None
+    for v in variables:
+        cube = union_chunks(*[spark.read.parquet(f"{path}/{v}_{y}.parquet") for y in years])
+        near = lambda c, x: F.struct(F.abs(F.col(c) - x).alias("d"), F.col(c))
+        at = cube.agg(F.min(near("lat", point[0]))["lat"].alias("lat"), F.min(near("lon", point[1]))["lon"].alias("lon"))
+        one = cube.join(F.broadcast(at), ["lat", "lon"]).select("lat", "lon", "time", F.col("value").alias(v))
+        out = one if out is None else out.join(one.drop("lat", "lon"), "time", "full_outer")
+    return out
+
+
+def read_days(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Daily rasters one after the other; days whose file can't be read are left out, and no day at all is an error."""
+    from fieldspan.operators.tables import union_chunks
+
+    found = []
+    for p in paths:
+        try:
+            found.append(spark.read.parquet(p))
+        except AnalysisException:
+            continue
+    return union_chunks(*found)
+
+
+def window_of(raster: DataFrame, west: float, south: float, east: float, north: float) -> DataFrame:
+    """The cells (cy, cx) of a raster table in a box; the bounds reach the scan. No cell: an error."""
+    found = raster.where(F.col("cx").between(west, east) & F.col("cy").between(south, north))
+    if found.isEmpty():
+        raise RuntimeError("the raster has no cell in the box")
+    return found
+
+
+def first_variable(df: DataFrame, keys: tuple[str, ...] = ("time", "y", "x"), apart: tuple[str, ...] = ("spatial_ref",)) -> str:
+    """The first column that is neither a key nor a reference to the projection."""
+    return next(c for c in df.columns if c not in keys and c not in apart)

@@ -6,12 +6,16 @@ itself says so: each window of LENGTH bytes is owned by the suffix in it whose f
 Equal windows have equal owners at equal offsets, so whether a window repeats is decided among the suffixes
 of one bucket, and nothing is lost. Buckets are the sampled suffixes with equal first q-gram:
 
-1. Buckets of one suffix are final: none of its windows repeats. (a count, pre-aggregated)
-2. In the others, suffixes with the same surroundings are merged; a merged suffix repeats with all its windows.
+1. Suffixes of one bucket with the same surroundings are merged, first within a task's own texts, then among all; a
+   merged suffix repeats with all its windows.
+2. Buckets of one suffix are final: none of its windows repeats.
 3. What is left is refined: the windows' bucket identifiers at q bytes are sorted by those of the offset q
    bytes on, which gives identifiers at 2q; these are reused for 4q = LENGTH. Positions alone in a bucket
-   drop out at each step. Buckets of more than HOT merged suffixes are refined as rows of the whole table
-   (a pre-aggregated count by identifier) instead of in one task.
+   drop out at each step.
+
+Buckets with more than HOT suffixes (or, in large tables, more than a quarter of a partition's) are known before from
+counts. They are dealt by their surroundings too, and refined as rows of the whole table (a pre-aggregated count by
+identifier) instead of in one task.
 
 Null text is empty. Repeated rows count as further places: all their bytes go if they hold LENGTH bytes.
 Texts shorter than LENGTH stay whole. Very long texts are worked on in overlapping tiles. Empty tables give
@@ -24,14 +28,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import Rolling, i64, kept_schema, materialize, mix, row_key, table, text_buffer, u64, whole_groups
+from ._common import Rolling, i64, kept_schema, materialize, mix, row_chunks, row_key, small_batches, table, text_buffer, u64, whole_groups
 
 LENGTH = 200
-TILE = 1 << 20
+TILE = 1 << 19
 HOT = 8192
+FLUSH = 1 << 18  # suffixes that a task holds before it passes them on
 _PLACE = 24  # bits of a packed key that hold the place; the rest holds the hash
 
 
@@ -93,17 +99,15 @@ def sampled(data: np.ndarray, at: np.ndarray, length: int) -> Iterator[tuple[np.
         yield np.asarray(rows)[which], lo - begin[which] + np.asarray(starts)[which], m - lo, hi - lo, bucket, around
 
 
-def refine(blobs: list[bytes], before: np.ndarray, count: np.ndarray, bucket: np.ndarray, times: np.ndarray, length: int) -> np.ndarray:
+def refine(data: np.ndarray, begin: np.ndarray, before: np.ndarray, count: np.ndarray, bucket: np.ndarray, times: np.ndarray, length: int) -> np.ndarray:
     """The windows that repeat, as places in the concatenation of the suffixes' windows.
 
-    blobs: the bytes of each suffix's windows; count: its windows; bucket: its bucket; times: how often it
-    occurs in the whole table. `before` tells windows of one suffix apart by their distance from the owner."""
+    data, begin: the bytes of each suffix's windows and where they start; count: its windows; bucket: its bucket;
+    times: how often it occurs in the whole table (2: more than once). `before` tells windows of one suffix apart by
+    their distance from the owner."""
     q = length // 4
-    data = np.frombuffer(b"".join(blobs), np.uint8)
-    sizes = np.array([len(b) for b in blobs])
-    begin = np.cumsum(sizes) - sizes
     h = Rolling(data)
-    own = np.repeat(np.arange(len(blobs)), count)
+    own = np.repeat(np.arange(len(count)), count)
     place = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
     at = begin[own] + place
     salt = mix(bucket[own] + (before[own] - place).astype(np.uint64))
@@ -131,62 +135,195 @@ def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x[np.concatenate([[0], cut + 1])], x[np.concatenate([cut, [len(x) - 1]])]
 
 
-_RUN = "struct<lo:int,dm:int,dh:int,bucket:bigint,times:bigint,hot:boolean>"
+_FOUND = "kind int, k1 long, k2 long, lo int, dm int, dh int, bucket long, times int"
+_SPAN, _ASKED, _ASKED_HOT = 0, 1, 2
 
 
-def repeated_spans(keyed: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
-    """k1, k2, s, e: spans of bytes to remove, overlapping ones too, of documents (k1, k2, text)."""
-    if length % 4:
-        raise ValueError("length must be a multiple of 4")
-    docs = keyed.select("k1", "k2", "text")
+def hot_buckets(docs: DataFrame, length: int, hot: int) -> np.ndarray:
+    """The buckets that hold a fair part of a partition's suffixes, and `hot` at least, sorted; suffixes that tasks merge count once.
+
+    Tasks report what is frequent among their own suffixes, so little is shuffled; a bucket with the limit's share
+    of all suffixes has half of it, or more, in the reports. At most 8 buckets a shuffle partition (and 8192) come back."""
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1024)
+
+    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, held = [], 0
+
+        def report() -> pa.RecordBatch:
+            bucket, around = (np.concatenate(x) for x in zip(*found, strict=True))
+            kinds = np.unique(mix(bucket + mix(around)), return_index=True)[1]
+            v, n = np.unique(bucket[kinds], return_counts=True)
+            total = len(kinds)
+            keep = n >= max(2, total // (8 * parts))
+            return pa.RecordBatch.from_arrays([pa.array(np.append(v[keep].view(np.int64), 0)), pa.array(np.append(n[keep], total)), pa.array(np.append(np.zeros(keep.sum(), bool), True))], ["bucket", "n", "all"])
 
-    def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at = text_buffer(batch["text"])
             for x in sampled(data, at, length):
-                v, n = np.unique(x[4], return_counts=True)
-                yield pa.RecordBatch.from_arrays([i64(v), pa.array(n, pa.int64())], ["bucket", "n"])
+                found.append(x[4:])
+                held += len(x[4])
+                if held > FLUSH:
+                    yield report()
+                    found, held = [], 0
+        if found:
+            yield report()
+
+    counts = docs.select("text").mapInArrow(frequent, "bucket long, n long, all boolean").groupBy("all", "bucket").agg(F.sum("n").alias("n"))
+    # no more than 8 * parts buckets can hold half of the limit, and the total stands before them
+    top = counts.where(F.col("all") | (F.col("n") >= hot // 2)).orderBy(F.desc("all"), F.desc("n")).limit(8 * parts + 1).toArrow()
+    if not top.num_rows:
+        return np.zeros(0, np.uint64)
+    n, bucket = top["n"].to_numpy(), top["bucket"].to_numpy().view(np.uint64)
+    least = max(hot, int(n[0]) // (4 * parts))
+    return np.sort(bucket[1:][n[1:] >= least // 2])
+
+
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    """Where runs of rows that are equal in all columns begin."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return new
+
+
+_SUFFIX = ["deal", "bucket", "around", "k1", "k2", "lo", "dm", "dh", "times"]
+
+
+def _suffixes(length: int, hot):
+    """The suffixes of a task's texts, one row for those of equal bucket and surroundings (times = 2: it stands for
+    more), and the spans of those merged here (times = 0), joined within a document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            k1, k2, lo, dm, dh, bucket, around = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            by = np.lexsort((around, bucket))
+            new = _starts(bucket[by], around[by])
+            several = ~new
+            several[:-1] |= ~new[1:]
+            first, again = by[new], by[several]
+            if len(again):
+                s, e = lo[again], lo[again] + dh[again] + length
+                order = np.lexsort((s, k2[again], k1[again]))
+                again, s, e = again[order], s[order], e[order]
+                start = _starts(k1[again], k2[again])
+                # starts and ends both rise within a document, as its suffixes own windows in turn
+                start[1:] |= s[1:] > e[:-1]
+                cut = np.flatnonzero(start)
+                last = np.append(cut[1:], len(s)) - 1
+                yield from rows(mix(k2[again][cut].view(np.uint64) + s[cut].astype(np.uint64)), np.zeros(len(cut), np.uint64), k1[again][cut], k2[again][cut], s[cut], np.zeros(len(cut)), e[last] - s[cut] - length, np.zeros(len(cut)), None)
+            yield from rows(bucket[first], around[first], k1[first], k2[first], lo[first], dm[first], dh[first], 1 + several[new].astype(np.int8), hot.value)
+
+        def rows(bucket, around, k1, k2, lo, dm, dh, times, hot_) -> Iterator[pa.RecordBatch]:
+            deal = bucket
+            if hot_ is not None and len(hot_):
+                deal = np.where(_is_in(hot_, bucket), mix(bucket ^ around), bucket)
+            out = pa.RecordBatch.from_arrays([i64(deal), i64(bucket), i64(around), pa.array(k1), pa.array(k2), *[pa.array(x.astype(np.int32)) for x in (lo, dm, dh, times)]], _SUFFIX)
+            yield from (out.slice(i, 1 << 15) for i in range(0, out.num_rows, 1 << 15))
 
-    def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at = text_buffer(batch["text"])
             k1, k2 = batch["k1"].to_numpy(), batch["k2"].to_numpy()
             for row, lo, dm, dh, bucket, around in sampled(data, at, length):
-                yield pa.RecordBatch.from_arrays([i64(bucket), i64(around), pa.array(k1[row]), pa.array(k2[row]), pa.array(lo, pa.int32()), pa.array(dm, pa.int16()), pa.array(dh, pa.int16())], ["bucket", "around", "k1", "k2", "lo", "dm", "dh"])
-
-    many = docs.select("text").mapInArrow(buckets, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where("n > 1").select("bucket")
-    occurs = materialize(docs.mapInArrow(suffixes, "bucket long, around long, k1 long, k2 long, lo int, dm short, dh short").join(many, "bucket"))
-    merged = materialize(occurs.groupBy("bucket", "around").agg(F.count("*").alias("times"), F.min(F.struct("k1", "k2", "lo", "dm", "dh")).alias("r")))
-    whole = occurs.join(merged.where("times > 1").select("bucket", "around"), ["bucket", "around"]).select("k1", "k2", F.col("lo").alias("s"), (F.col("lo") + F.col("dh") + length).alias("e"))
-    mixed = merged.groupBy("bucket").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    asked = (
-        merged.join(mixed, "bucket")
-        .select("r.k1", "r.k2", F.struct(F.col("r.lo").alias("lo"), F.col("r.dm").cast("int").alias("dm"), F.col("r.dh").cast("int").alias("dh"), "bucket", "times", (F.col("kinds") > hot).alias("hot")).alias("x"))
-        .groupBy("k1", "k2")
-        .agg(F.collect_list("x").alias("xs"))
-    )
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                held.append((k1[row], k2[row], lo.astype(np.int32), dm.astype(np.int16), dh.astype(np.int16), bucket, around))
+                size += len(lo)
+                if size > FLUSH:
+                    yield from flush()
+                    size = 0
+        if held:
+            yield from flush()
+
+    return run
+
+
+def _is_in(values: np.ndarray, x: np.ndarray) -> np.ndarray:
+    i = np.minimum(np.searchsorted(values, x), len(values) - 1)
+    return values[i] == x
+
+
+def _decided(length: int, hot):
+    """From suffixes by bucket and surroundings: spans of those that occur twice, and of each kind one suffix to be
+    refined, where a bucket has more kinds than one and not all are removed already."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, ["bucket"], 1 << 22):
+            t = t.combine_chunks()
+            times = t["times"].to_numpy()
+            done = t.filter(pa.array(times == 0))
+            if done.num_rows:
+                yield _found(done, _SPAN, np.zeros(done.num_rows, np.int32))
+                t, times = t.filter(pa.array(times > 0)), times[times > 0]
+            if not t.num_rows:
+                continue
+            bucket, around = u64(t["bucket"]), u64(t["around"])
+            new = _starts(bucket, around)
+            kind = np.cumsum(new) - 1
+            total = np.bincount(kind, times).astype(np.int64)
+            whole = (total[kind] > 1) & (times == 1)
+            if whole.any():
+                yield _found(t.filter(pa.array(whole)), _SPAN, times[whole])
+            first = np.flatnonzero(new)
+            b = np.cumsum(_starts(bucket[first])) - 1
+            hot_ = _is_in(hot.value, bucket[first]) if len(hot.value) else np.zeros(len(first), bool)
+            ask = hot_ | ((np.bincount(b)[b] > 1) & (np.bincount(b, total == 1)[b] > 0))
+            for mark, wanted in ((_ASKED, ask & ~hot_), (_ASKED_HOT, ask & hot_)):
+                if wanted.any():
+                    yield _found(t.take(pa.array(first[wanted])), mark, np.minimum(total[wanted], 2).astype(np.int32))
+
+    return run
+
+
+def _found(t: pa.Table, kind: int, times: np.ndarray) -> pa.RecordBatch:
+    t = t.combine_chunks()
+    column = lambda c: t[c].chunk(0)
+    return pa.RecordBatch.from_arrays([pa.array(np.full(t.num_rows, kind, np.int32)), *[column(c) for c in ("k1", "k2", "lo", "dm", "dh", "bucket")], pa.array(times.astype(np.int32))], ["kind", "k1", "k2", "lo", "dm", "dh", "bucket", "times"])
+
+
+_CUT = ["bucket", "window", "k1", "k2", "times", "lo", "dm", "dh", "bytes"]
+
+
+def _cut(length: int):
+    """The bytes of the suffixes asked for; of those in hot buckets a row for each window instead."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k1, k2, text, xs in zip(batch["k1"].to_pylist(), batch["k2"].to_pylist(), batch["text"].cast(pa.binary()).to_pylist(), batch["xs"].to_pylist(), strict=True):
-                small, rows = [x for x in xs if not x["hot"]], []
-                for x in xs:
-                    if x["hot"]:
-                        data = np.frombuffer(text[x["lo"] : x["lo"] + x["dh"] + length], np.uint8)
-                        p = np.arange(x["dh"] + 1)
-                        rows += [(x["bucket"], int(w), k1, k2, x["times"], x["lo"] + int(i), x["dm"] - int(i), 0, None) for i, w in enumerate(Rolling(data).at(p, p + length).view(np.int64))]
-                rows += [(x["bucket"], None, k1, k2, x["times"], x["lo"], x["dm"], x["dh"], text[x["lo"] : x["lo"] + x["dh"] + length]) for x in small]
-                if rows:
-                    yield pa.RecordBatch.from_pylist([dict(zip(_CUT.names, r, strict=True)) for r in rows], _CUT)
-
-    pieces = materialize(docs.join(asked, ["k1", "k2"]).mapInArrow(cut, "bucket long, window long, k1 long, k2 long, times long, lo int, dm int, dh int, bytes binary"))
-
-    def refined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_groups(batches, ["bucket"], 1 << 21):
+            data, at = text_buffer(batch["text"])
+            offsets = batch["xs"].offsets.to_numpy()
+            x = batch["xs"].flatten()
+            row = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+            kind, lo, dm, dh, times = (x.field(c).to_numpy() for c in ("kind", "lo", "dm", "dh", "times"))
+            bucket, k1, k2 = x.field("bucket").to_numpy(), batch["k1"].to_numpy()[row], batch["k2"].to_numpy()[row]
+            begin = at[row] + lo
+            size = dh.astype(np.int64) + length
+            for i, j in row_chunks(np.concatenate([[0], np.cumsum(size)]), 1 << 20):
+                small = np.flatnonzero(kind[i:j] == _ASKED) + i
+                if len(small):
+                    ends = np.cumsum(size[small])
+                    place = np.arange(int(ends[-1])) + np.repeat(begin[small] - (ends - size[small]), size[small])
+                    blob = pa.Array.from_buffers(pa.binary(), len(small), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32)), pa.py_buffer(data[place])])
+                    none = pa.nulls(len(small), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(bucket[small]), none, pa.array(k1[small]), pa.array(k2[small]), *[pa.array(y[small]) for y in (times, lo, dm, dh)], blob], _CUT)
+                for y in (np.flatnonzero(kind[i:j] == _ASKED_HOT) + i).tolist():
+                    n = int(dh[y]) + 1
+                    p = np.arange(n)
+                    window = Rolling(data[begin[y] : begin[y] + size[y]]).at(p, p + length)
+                    same = [pa.array(np.full(n, v)) for v in (k1[y], k2[y], times[y])]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, bucket[y])), i64(window), *same, pa.array((lo[y] + p).astype(np.int32)), pa.array((dm[y] - p).astype(np.int32)), pa.array(np.zeros(n, np.int32)), pa.nulls(n, pa.binary())], _CUT)
+
+    return run
+
+
+def _refined(length: int):
+    """Spans of the windows that repeat within a bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, ["bucket"], 1 << 20):
             t = t.combine_chunks()
             times, lo, dh = t["times"].to_numpy(), t["lo"].to_numpy(), t["dh"].to_numpy()
             count = dh.astype(np.int64) + 1
-            got = refine(t["bytes"].to_pylist(), t["dm"].to_numpy().astype(np.int64), count, u64(t["bucket"]), times, length)
+            data, begin = text_buffer(t["bytes"])
+            got = refine(data, begin, t["dm"].to_numpy().astype(np.int64), count, u64(t["bucket"]), times, length)
             first = np.cumsum(count) - count
             got = got[times[np.searchsorted(first, got, side="right") - 1] == 1]
             if len(got):
@@ -197,43 +334,74 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, hot: int = HOT) -> Da
                 take = pa.array(own)
                 yield pa.RecordBatch.from_arrays([t["k1"].combine_chunks().take(take), t["k2"].combine_chunks().take(take), pa.array((a + base).astype(np.int32)), pa.array((b + base + length).astype(np.int32))], ["k1", "k2", "s", "e"])
 
-    parts = pieces.where("window IS NULL").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(refined, "k1 long, k2 long, s int, e int")
-    rows = pieces.where("window IS NOT NULL")
-    again = rows.groupBy("bucket", "dm", "window").agg(F.sum("times").alias("all")).where("all > 1")
-    large = rows.where("times = 1").join(again, ["bucket", "dm", "window"]).select("k1", "k2", F.col("lo").alias("s"), (F.col("lo") + length).alias("e"))
-    return whole.unionByName(parts).unionByName(large)
+    return run
 
 
-_CUT = pa.schema([("bucket", pa.int64()), ("window", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("times", pa.int64()), ("lo", pa.int32()), ("dm", pa.int32()), ("dh", pa.int32()), ("bytes", pa.binary())])
-
-
-def merge_spans(spans: list[dict]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for s, e in sorted((x["s"], x["e"]) for x in spans):
-        if out and s <= out[-1][1]:
-            out[-1] = (out[-1][0], max(e, out[-1][1]))
-        else:
-            out.append((s, e))
-    return out
+def repeated_spans(keyed: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
+    """k1, k2, spans: bytes to remove, overlapping spans too, of documents (k1, k2, text)."""
+    if length % 4:
+        raise ValueError("length must be a multiple of 4")
+    spark = keyed.sparkSession
+    docs = keyed.select("k1", "k2", "text")
+    small_batches(spark)
+    found_hot = hot_buckets(docs, length, hot)
+    shared = spark.sparkContext.broadcast(found_hot)
+    suffixes = docs.mapInArrow(_suffixes(length, shared), "deal long, bucket long, around long, k1 long, k2 long, lo int, dm int, dh int, times int")
+    found = suffixes.repartition("deal").sortWithinPartitions("bucket", "around").mapInArrow(_decided(length, shared), _FOUND)
+    # both uses of what was found begin with this exchange, so it is made once
+    found = found.groupBy("k1", "k2").agg(F.collect_list(F.struct("kind", "lo", "dm", "dh", "bucket", "times")).alias("xs"))
+    whole = found.select("k1", "k2", F.expr(f"transform(filter(xs, x -> x.kind = {_SPAN}), x -> struct(x.lo AS s, x.lo + x.dh + {length} AS e))").alias("spans"))
+    pieces = docs.join(found.where(F.exists("xs", lambda x: x["kind"] != _SPAN)), ["k1", "k2"]).mapInArrow(_cut(length), "bucket long, window long, k1 long, k2 long, times int, lo int, dm int, dh int, bytes binary")
+    if len(found_hot):
+        pieces = materialize(pieces)
+    parts = pieces.where("window IS NULL").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_refined(length), "k1 long, k2 long, s int, e int")
+    if len(found_hot):
+        rows = pieces.where("window IS NOT NULL")
+        again = rows.groupBy("bucket", "dm", "window").agg(F.sum("times").alias("all")).where("all > 1")
+        parts = parts.unionByName(rows.where("times = 1").join(again, ["bucket", "dm", "window"]).select("k1", "k2", F.col("lo").alias("s"), (F.col("lo") + length).alias("e")))
+    more = parts.groupBy("k1", "k2").agg(F.collect_list(F.struct("s", "e")).alias("more"))
+    return whole.join(more, ["k1", "k2"], "full_outer").select("k1", "k2", F.concat(F.coalesce("spans", F.array()), F.coalesce("more", F.array())).alias("spans"))
+
+
+_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+
+def _kept(keep: tuple[str, ...]):
+    names = ["doc_id", *(f"_{c}" for c in keep), "n_bytes", "spans", "kept"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            every, at_all = text_buffer(batch["text"])
+            for i, j in row_chunks(at_all, 1 << 21):
+                part = batch.slice(i, j - i)
+                data, at = every[at_all[i] : at_all[j]], at_all[i : j + 1] - at_all[i]
+                spans = pc.fill_null(part["spans"], [])
+                x = spans.flatten()
+                row = np.repeat(np.arange(j - i), pc.list_value_length(spans).to_numpy())
+                # a byte between documents keeps spans of neighbours apart
+                s, e = (x.field(c).to_numpy() + at[row] + row for c in ("s", "e"))
+                by = np.argsort(s, kind="stable")
+                s, reach = s[by], np.maximum.accumulate(e[by])
+                cut = np.flatnonzero(np.append(True, s[1:] > reach[:-1])) if len(s) else np.zeros(0, np.int64)
+                s, e, row = s[cut], reach[np.append(cut[1:], len(reach)) - 1] if len(cut) else reach[:0], row[by][cut]
+                s, e = s - row, e - row
+                edge = np.zeros(len(data) + 1, np.int32)
+                np.add.at(edge, s, 1)
+                np.add.at(edge, e, -1)
+                stays = np.cumsum(edge[:-1]) == 0
+                offsets = np.concatenate([[0], np.cumsum(stays)])[at].astype(np.int32)
+                kept = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(offsets), pa.py_buffer(data[stays])])
+                merged = pa.StructArray.from_arrays([pa.array((y - at[row]).astype(np.int32)) for y in (s, e)], ["start", "end"])
+                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(j - i + 1)), pa.int32()), merged)
+                yield pa.RecordBatch.from_arrays([part["doc_id"], *(part[f"_{c}"] for c in keep), pa.array(np.diff(at)), lists, kept], names)
+
+    return run
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_bytes, spans (removed, maximal), kept (the bytes that stay) of every document, and columns to keep, named _column."""
     keyed = row_key(docs, keep)
-    spans = repeated_spans(keyed, length, hot).distinct().groupBy("k1", "k2").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
-
-    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes, merged, rest = [], [], []
-            for text, spans in zip(batch["text"].cast(pa.binary()).to_pylist(), batch["spans"].to_pylist(), strict=True):
-                out = merge_spans(spans or [])
-                at = [0, *[x for s in out for x in s], len(text)]
-                sizes.append(len(text))
-                merged.append([{"start": s, "end": e} for s, e in out])
-                rest.append(b"".join(text[a:b] for a, b in zip(at[::2], at[1::2], strict=True)))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], *(batch[f"_{c}"] for c in keep), pa.array(sizes, pa.int64()), pa.array(merged, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(rest, pa.binary())], ["doc_id", *(f"_{c}" for c in keep), "n_bytes", "spans", "kept"])
-
-    return keyed.join(spans, ["k1", "k2"], "left").mapInArrow(kept, f"doc_id long{kept_schema(docs, keep)}, n_bytes long, spans array<struct<start:int,end:int>>, kept binary")
+    return keyed.join(repeated_spans(keyed, length, hot), ["k1", "k2"], "left").mapInArrow(_kept(keep), f"doc_id long{kept_schema(docs, keep)}, n_bytes long, spans array<struct<start:int,end:int>>, kept binary")
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

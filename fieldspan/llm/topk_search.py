@@ -1,17 +1,18 @@
 """Operator 2: exact top-k search by inner product with MaxScore.
 
 A dimension is a term, its posting list the vectors with a component other than 0. Candidates are dealt into
-shards; a query visits every shard. There its terms are ordered by how much they can add (score bounds from
-the least and greatest component of each list). A few vectors that lead on the strongest terms are scored in
-full, which gives the score to beat. Terms that together cannot reach it are non-essential: only the essential
-lists are traversed, and the others are probed, strongest first, for vectors that can still compete. Each
+shards; a query visits every shard. There a list's greatest and least component bound what its term can add to a score.
+The score to beat is the k-th best of the shards the task has searched before, or of a few vectors that lead on the
+strongest terms and are scored in full. The weakest terms that together cannot reach it are non-essential: only the
+essential lists are traversed, so a vector in none of them is never touched, and the others are probed, strongest
+first, for the vectors that can still compete. Each
 shard keeps its best k, and the shards' results are merged by a window over the query's rows.
 
 Queries travel to the shards in blocks of rows, not as a broadcast; a task holds one shard's lists and one
 block. Components are floor(scale * x), x as double. Vectors that are null or hold null or non-finite
 components take no part, nor do rows without id. Shorter vectors end in zeros. Queries with the same id and
 vector are one query; a query never finds rows with its own id. Ties go to the smaller id. Fewer candidates
-than k: all. Empty tables give no rows; other columns are ignored.
+than k: all. Scores that might not fit 64 bits are an error. Empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -46,7 +47,7 @@ def _matrix(column) -> np.ndarray:
 
 
 class Lists:
-    """A shard's posting lists. Lists that nearly all vectors are in are kept as a row without ids."""
+    """A shard's posting lists. Lists that many vectors are in are kept as a row without places."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray):
         order = np.argsort(ids, kind="stable")
@@ -54,62 +55,101 @@ class Lists:
         self.high, self.low = x.max(0), x.min(0)
         self.peak = int(np.abs(x).max(initial=0))
         self.columns = np.ascontiguousarray(x.T)
-        self.sparse = {d: np.flatnonzero(c) for d, c in enumerate(self.columns) if (c != 0).mean() < 0.25}
-        self.small = self.columns.astype(np.float32)
-
-    def add(self, scores: np.ndarray, q: np.ndarray, terms: np.ndarray, columns: np.ndarray) -> None:
-        dense = [t for t in terms if t not in self.sparse]
-        if dense:
-            scores += q[dense] @ columns[dense]
+        self.places = {d: np.flatnonzero(c) for d, c in enumerate(self.columns) if (c != 0).mean() < 0.25}
+        self.full = (x != 0).all(0)
+        self.float = {t: self.columns.astype(t) for t in (np.float32,)}
+
+    def numbers(self, q: np.ndarray) -> np.ndarray:
+        """The lists in the fastest type that adds up this query's scores exactly."""
+        most = self.peak * int(np.abs(q).max(initial=0)) * len(self.columns)
+        kind = np.float32 if most < 1 << 24 else np.float64 if most < 1 << 53 else None
+        if kind is None:
+            return self.columns
+        if kind not in self.float:
+            self.float[kind] = self.columns.astype(kind)
+        return self.float[kind]
+
+    def traverse(self, terms: np.ndarray, q: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray | None, np.ndarray]:
+        """Places (None: all) and scores of the vectors that are in a list of the terms."""
+        dense = [t for t in terms if t not in self.places]
+        scores = q[dense] @ columns[dense] if dense else np.zeros(len(self.ids), columns.dtype)
+        touched = None if dense else np.zeros(len(self.ids), bool)
         for t in terms:
-            if t in self.sparse:
-                at = self.sparse[t]
+            if t in self.places:
+                at = self.places[t]
                 scores[at] += q[t] * columns[t, at]
-
-    def top(self, own: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """ids and scores of the best k, best first."""
+                if touched is not None:
+                    touched[at] = True
+        if touched is None:
+            return None, scores
+        live = np.flatnonzero(touched)
+        return live, scores[live]
+
+    def top(self, own: int, q: np.ndarray, k: int, beat: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """ids and scores of the best k of those that reach `beat`, best first."""
         n_terms = len(self.columns)
         q = np.pad(q, (0, max(n_terms - len(q), 0)))[:n_terms]
-        exact = self.peak * int(np.abs(q).max(initial=0)) * n_terms < 1 << 24
-        columns = self.small if exact else self.columns
-        qs = q.astype(np.float32) if exact else q
-        most, least = np.maximum(q * self.high, q * self.low), np.minimum(q * self.high, q * self.low)
-        terms = np.argsort(-(most - least), kind="stable")
+        columns = self.numbers(q)
+        qs = q.astype(columns.dtype)
+        most = np.maximum(q * self.high, q * self.low)
+        most = np.where(self.full, most, np.maximum(most, 0))  # who isn't in a list adds 0
+        terms = np.argsort(-most, kind="stable")
         rest = np.append(np.cumsum(most[terms][::-1])[::-1], 0)  # the most that terms from here on can add
-        live = None
-        scores = np.zeros(len(self.ids), columns.dtype)
-        beat = None
-        for a in range(0, n_terms, GROUP):
+        if len(self.ids) > 4 * k:
+            # vectors that lead on the strongest terms, in full
+            _, scores = self.traverse(terms[:GROUP], qs, columns) if self.full[terms[:GROUP]].any() else (None, qs[terms[:GROUP]] @ columns[terms[:GROUP]])
+            lead = np.argpartition(-scores, 4 * k)[: 4 * k]
+            lead = lead[self.ids[lead] != own]
+            if len(lead) >= k:
+                reached = int(np.partition(qs @ columns[:, lead], len(lead) - k)[len(lead) - k])
+                beat = reached if beat is None else max(beat, reached)
+        if beat is None:
+            split = n_terms
+        else:
+            split = int(np.flatnonzero(rest < beat)[0]) if (rest < beat).any() else n_terms
+        if split == n_terms:
+            live, scores = None, qs @ columns
+        elif split == 0:
+            return self.ids[:0], np.zeros(0, np.int64)
+        else:
+            live, scores = self.traverse(terms[:split], qs, columns)
+        for a in range(split, n_terms, GROUP):
+            can = scores + rest[a] >= beat
+            if not can.all():
+                live = np.flatnonzero(can) if live is None else live[can]
+                scores = scores[can]
             part = terms[a : a + GROUP]
-            if live is None:
-                self.add(scores, qs, part, columns)
-            else:
-                scores += qs[part] @ columns[np.ix_(part, live)]
-            if a + GROUP >= n_terms:
-                break
-            if beat is None and len(self.ids) > 4 * k:
-                lead = np.argpartition(-scores, 4 * k)[: 4 * k]
-                lead = lead[self.ids[lead] != own]
-                if len(lead) >= k:
-                    beat = np.partition(qs @ columns[:, lead], len(lead) - k)[len(lead) - k]
-            if beat is not None:
-                can = np.flatnonzero(scores + rest[a + GROUP] >= beat)
-                if len(can) < len(scores) // 2:
-                    live, scores = can if live is None else live[can], scores[can]
+            scores = scores + (qs[part] @ columns[part] if live is None else qs[part] @ columns[np.ix_(part, live)])
         ids = self.ids if live is None else self.ids[live]
-        keep = np.flatnonzero(ids != own)
+        keep = ids != own
+        if beat is not None:
+            keep &= scores >= beat
+        keep = np.flatnonzero(keep)
         best = keep[np.lexsort((ids[keep], -scores[keep]))[:k]]
         return ids[best], scores[best].astype(np.int64)
 
 
+def fits(queries: DataFrame, candidates: DataFrame) -> None:
+    """Raises if a score might not fit 64 bits."""
+    bounds = []
+    for df in (queries, candidates):
+        size = F.aggregate("x", F.lit(0.0), lambda m, v: F.greatest(m, F.abs(v.cast("double"))))
+        r = df.agg(F.max(size).alias("peak"), F.max(F.size("x")).alias("n")).first()
+        bounds.append((r["peak"] or 0.0, r["n"] or 0))
+    if any(peak >= 2.0**62 for peak, _ in bounds) or bounds[0][0] * bounds[1][0] * min(n for _, n in bounds) >= 2.0**62:
+        raise ArithmeticError("scores of these vectors may not fit 64 bits")
+
+
 def search(queries: DataFrame, candidates: DataFrame, k: int = K, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: each query's best k candidates. Both sides: id, x."""
+    fits(queries, candidates)
     shards = max(1, -(-candidates.count() // shard_rows))
-    held = candidates.select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("kind"), "id", "x")
-    asked = queries.distinct().select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), "id", "x")
+    held = candidates.select(F.pmod(F.xxhash64("id", "x"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("kind"), "id", F.lit(0).cast("long").alias("q"), "x")
+    asked = queries.distinct().select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), "id", F.xxhash64("x").alias("q"), "x")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, ids, rows, lists = None, [], [], None
+        beat: dict[tuple[int, int], int] = {}  # by query: the k-th best score in a shard searched before
         for batch in batches:
             at = batch["shard"].to_numpy()
             cut = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(at)]
@@ -119,7 +159,7 @@ def search(queries: DataFrame, candidates: DataFrame, k: int = K, shard_rows: in
                 if at[i] != shard:
                     shard, ids, rows, lists = at[i], [], [], None
                 part = batch.slice(i, j - i)
-                x, kind, of = _matrix(part["x"]), part["kind"].to_numpy(), part["id"].to_numpy()
+                x, kind, of, q = _matrix(part["x"]), part["kind"].to_numpy(), part["id"].to_numpy(), part["q"].to_numpy()
                 if (kind == 0).any():
                     ids.append(of[kind == 0])
                     rows.append(x[kind == 0])
@@ -127,12 +167,16 @@ def search(queries: DataFrame, candidates: DataFrame, k: int = K, shard_rows: in
                     if lists is None:
                         wide = max(r.shape[1] for r in rows)
                         lists = Lists(np.concatenate(ids), np.concatenate([np.pad(r, ((0, 0), (0, wide - r.shape[1]))) for r in rows]))
-                    out = [(q, *lists.top(q, v, k)) for q, v in zip(of[kind == 1].tolist(), x[kind == 1], strict=True)]
-                    n = [len(o[1]) for o in out]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat([o[0] for o in out], n), pa.int64()), pa.array(np.concatenate([o[1] for o in out])), pa.array(np.concatenate([o[2] for o in out])), part["x"].filter(pa.array(kind == 1)).take(pa.array(np.repeat(np.arange(len(out)), n)))], ["query_id", "vec_id", "score", "x"])
-
-    found = held.unionByName(asked).repartition("shard").sortWithinPartitions("shard", "kind").mapInArrow(find, "query_id long, vec_id long, score long, x array<long>")
-    found = found.withColumn("q", F.xxhash64("x")).drop("x")
+                    out = []
+                    for query, h, v in zip(of[kind == 1].tolist(), q[kind == 1].tolist(), x[kind == 1], strict=True):
+                        found, score = lists.top(query, v, k, beat.get((query, h)))
+                        out.append((query, h, found, score))
+                        if len(score) == k:
+                            beat[query, h] = max(int(score[-1]), beat.get((query, h), int(score[-1])))
+                    n = [len(o[2]) for o in out]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat([o[0] for o in out], n), pa.int64()), pa.array(np.repeat(np.array([o[1] for o in out], np.int64), n)), pa.array(np.concatenate([o[2] for o in out])), pa.array(np.concatenate([o[3] for o in out]))], ["query_id", "q", "vec_id", "score"])
+
+    found = held.unionByName(asked).repartition("shard").sortWithinPartitions("shard", "kind").mapInArrow(find, "query_id long, q long, vec_id long, score long")
     order = Window.partitionBy("query_id", "q").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

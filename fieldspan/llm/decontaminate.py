@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import LOWER, Rolling, kept_schema, materialize, mix, row_chunks, row_key, table, text_buffer, words_of
+from ._common import LOWER, Rolling, kept_schema, materialize, mix, row_chunks, row_key, small_batches, table, text_buffer, words_of
 
 WINDOW, GRAM = 10, 5
 BLOCK_WORDS = 1_000_000
@@ -184,6 +184,7 @@ def blocks(benchmark: DataFrame, most: int = BLOCK_WORDS) -> Iterator[list[tuple
 def decontaminate(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_words, n_hit, spans (of hit words), item_ids (sorted strings) of every document, and columns to keep, named _column."""
     spark = docs.sparkSession
+    small_batches(spark)
     kept = [f"_{c}" for c in keep]
     schema = f"doc_id long, k1 long, k2 long{kept_schema(docs, keep)}, n_words long, n_hit long, spans {SPANS}, item_ids array<string>"
 
@@ -202,13 +203,20 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOC
 
         return row_key(docs, keep).mapInArrow(search, schema)
 
-    parts = [scan(spark.sparkContext.broadcast(Index(b))) for b in blocks(benchmark, block_words)] or [scan(spark.sparkContext.broadcast(Index([])))]
-    if len(parts) == 1:
-        return parts[0].drop("k1", "k2")
-    rows = materialize(parts[0])
+    parts = blocks(benchmark, block_words)
+    held, last = next(parts, []), next(parts, None)
+    if last is None:
+        return scan(spark.sparkContext.broadcast(Index(held))).drop("k1", "k2")
+    index = spark.sparkContext.broadcast(Index(held))
+    rows = materialize(scan(index))
+    index.destroy()
     hits = rows.where("n_hit > 0").select("k1", "k2", "spans", "item_ids")
-    for p in parts[1:]:
-        hits = hits.unionByName(p.where("n_hit > 0").select("k1", "k2", "spans", "item_ids"))
+    while last is not None:
+        # one block after the other: each one's findings are written before the next is broadcast
+        index = spark.sparkContext.broadcast(Index(last))
+        hits = hits.unionByName(materialize(scan(index).where("n_hit > 0").select("k1", "k2", "spans", "item_ids")))
+        index.destroy()
+        last = next(parts, None)
     merged = hits.groupBy("k1", "k2").agg(F.array_sort(F.flatten(F.collect_set("spans"))).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("item_ids")))).alias("i"))
     joined = F.aggregate(
         "s", F.array().cast(SPANS),
@@ -239,7 +247,7 @@ dw AS (SELECT doc_id, n, p, array_to_string(w[p : p + n - 1], ' ') AS g
        FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, sizes WHERE len(w) >= n)),
 hits AS (SELECT dw.doc_id, dw.n, dw.p, iw.item_id FROM dw JOIN iw ON dw.n = iw.n AND dw.g = iw.g),
 words AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM hits) GROUP BY doc_id),
-items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
+items AS (SELECT doc_id, count(item) AS n_items, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
        sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)

@@ -6,7 +6,7 @@ labels the words, which gives spans of one language. A text's language is the on
 score is that language's share of all letters.
 
 The model is fitted on at most about ROWS labelled rows a language (an expected bound: rows are taken by a
-hash of doc_id), whole texts each; trigram counts are summed in Spark into SLOTS slots a language, which
+hash of doc_id and text), whole texts each, of the LANGS languages with most rows; trigram counts are summed in Spark into SLOTS slots a language, which
 bounds what reaches the driver. Words in a script that no language was seen in are left unlabelled. A text
 with letters but no labelled word gets the language most rows have, with score 0. Null text and text without
 letters: 'und', score 0. Without labelled rows nothing is learned and every text is 'und'. Repeated rows and
@@ -25,9 +25,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import mix, row_chunks, table, text_buffer
+from ._common import mix, row_chunks, small_batches, table, text_buffer
 
 ROWS = 4000
+LANGS = 250  # labels are bytes
 SLOTS = 1 << 16
 PENALTY = 8.0
 SMOOTHING = 0.5
@@ -151,12 +152,12 @@ def viterbi(scores: np.ndarray, count: np.ndarray, penalty: float = PENALTY) ->
 def fit(docs: DataFrame, labelled: Column, rows: int = ROWS) -> Model:
     """A model from the rows of docs (doc_id, text, lang) for which labelled holds."""
     known = docs.where(labelled & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
-    have = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    have = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS).collect()}
     langs = sorted(have)
     if not langs:
         return Model([], [], np.zeros((0, SLOTS)), np.zeros((0, len(SCRIPT_NAMES))))
     share = F.element_at(F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, rows / have[k]))]), F.col("lang"))
-    sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000).select("lang", "text")
+    sample = known.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < share * 1_000_000).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,6 +195,7 @@ def _spans(words: Words, label: np.ndarray, known: np.ndarray, rows: int, langs:
 
 def identify(docs: DataFrame, model: Model, penalty: float = PENALTY) -> DataFrame:
     """docs with lang_pred, score and lang_spans (characters from, to, language)."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = [c for c in docs.columns if c not in ("lang_pred", "score", "lang_spans")]
     docs = docs.select(*names)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -37,7 +38,13 @@ def shared_dir(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="fieldspan-")
         spark.sparkContext.setCheckpointDir(root)
-    return f"{root}/fieldspan-{uuid.uuid4().hex}"
+    return f"{root}/fieldspan-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
+def release(spark: SparkSession) -> None:
+    """Removes what this application has written to the shared folder, once no result is to be read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(os.path.dirname(shared_dir(spark)))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -48,6 +55,12 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_names(df: DataFrame, n: int) -> list[str]:
+    """n names that no column of df has, whatever their case."""
+    taken = {c.lower() for c in df.columns}
+    return [x for x in (f"_x{i}" for i in range(n + len(taken))) if x not in taken][:n]
+
+
 def estimated_bytes(df: DataFrame) -> int:
     """The planner's size of df, from the files it reads; 0 if it has none."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -64,3 +64,29 @@ def test_odd_tables(spark, sf, stage):
     if stage is not P.STAGES[-1][1]:
         assert out.columns == df.columns
     assert stage(spark, df.where("false"), sf).count() == 0
+
+
+def test_near_copies_keep_columns_of_any_name(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text, "a", 1, "x"), (4, text + " tail", "b", 2, "y"), (4, "quite another text of some few words", "c", 3, "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _x0 string, _x1 int, _X2 string")
+    assert sorted(tuple(r) for r in P.one_of_near_copies(spark, df, "").collect()) == [rows[0], rows[2]]
+
+
+def test_documents_with_the_benchmark_go(spark, tmp_path):
+    item = " ".join(f"q{i}" for i in range(12))
+    spark.createDataFrame([("i", item)], "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.createDataFrame([(1, "a b " + item), (2, "a b c"), (3, None), (2, "z " + item + " z")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in P.without_benchmark(spark, docs, str(tmp_path)).collect()) == [(2, "a b c"), (3, None)]
+
+
+def test_pieces_are_the_librarys(spark):
+    import public_tokenizers
+    import sentencepiece
+
+    from fieldspan.llm.piece_lattice import MODEL
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(MODEL))
+    texts = ["one two  three", " lead", "é漢", "", "the the"]
+    out = {r.doc_id: r for r in P.as_pieces(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "").collect()}
+    assert [list(out[i].ids) for i in range(5)] == [sp.encode(t) for t in texts] and all(r.n_tokens == len(r.ids) for r in out.values())

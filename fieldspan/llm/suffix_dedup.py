@@ -348,8 +348,8 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, hot: int = HOT) -> Da
     shared = spark.sparkContext.broadcast(found_hot)
     suffixes = docs.mapInArrow(_suffixes(length, shared), "deal long, bucket long, around long, k1 long, k2 long, lo int, dm int, dh int, times int")
     found = suffixes.repartition("deal").sortWithinPartitions("bucket", "around").mapInArrow(_decided(length, shared), _FOUND)
-    # both uses of what was found begin with this exchange, so it is made once
-    found = found.groupBy("k1", "k2").agg(F.collect_list(F.struct("kind", "lo", "dm", "dh", "bucket", "times")).alias("xs"))
+    # both uses of what was found begin with this exchange, so within a job it is made once; the filter is that of the join below
+    found = (materialize(found) if len(found_hot) else found).where("k1 IS NOT NULL AND k2 IS NOT NULL").groupBy("k1", "k2").agg(F.collect_list(F.struct("kind", "lo", "dm", "dh", "bucket", "times")).alias("xs"))
     whole = found.select("k1", "k2", F.expr(f"transform(filter(xs, x -> x.kind = {_SPAN}), x -> struct(x.lo AS s, x.lo + x.dh + {length} AS e))").alias("spans"))
     pieces = docs.join(found.where(F.exists("xs", lambda x: x["kind"] != _SPAN)), ["k1", "k2"]).mapInArrow(_cut(length), "bucket long, window long, k1 long, k2 long, times int, lo int, dm int, dh int, bytes binary")
     if len(found_hot):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -126,27 +127,36 @@ def flow(grid: DataFrame, by: str, z: str = "z") -> DataFrame:
     drain through a cell, itself included, are counted. A raster is one group: flow has no local answer."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        height = {(int(r.y), int(r.x)): float(r.z) for r in pdf.itertuples()}
-        steps = [(0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1)]
-        heap, to, order = [], {}, []
-        for y, x in height:
-            if any((y + a, x + b) not in height for a, b in steps):
-                heapq.heappush(heap, (height[y, x], y, x))
-                to[y, x] = (None, 0)
+        y, x = pdf["y"].to_numpy() - pdf["y"].min() + 1, pdf["x"].to_numpy() - pdf["x"].min() + 1
+        wide = int(x.max()) + 2
+        at = y * wide + x  # a ring of missing cells is around the raster
+        z = np.full(wide * (int(y.max()) + 2), np.nan)
+        z[at] = pdf["z"].to_numpy()
+        there = np.zeros(len(z), bool)
+        there[at] = True
+        steps = [1, wide + 1, wide, wide - 1, -1, -wide - 1, -wide, -wide + 1]
+        edge = at[~np.logical_and.reduce([there[at + d] for d in steps])]
+        heap = list(zip(z[edge].tolist(), edge.tolist(), strict=True))
+        heapq.heapify(heap)
+        seen, to = ~there, np.zeros(len(z), np.int64)
+        seen[edge] = True
+        way, order, height, open_ = np.zeros(len(z), np.int32), [], z.tolist(), (~seen).tolist()
         while heap:
-            h, y, x = heapq.heappop(heap)
-            order.append((y, x))
-            for k, (a, b) in enumerate(steps):
-                n = (y + a, x + b)
-                if n in height and n not in to:
-                    to[n] = ((y, x), (k + 4) % 8 + 1)
-                    heapq.heappush(heap, (max(h, height[n]), *n))
-        total = dict.fromkeys(height, 1)
+            h, c = heapq.heappop(heap)
+            order.append(c)
+            for k, d in enumerate(steps):
+                n = c + d
+                if open_[n]:
+                    open_[n] = False
+                    to[n], way[n] = c, (k + 4) % 8 + 1
+                    heapq.heappush(heap, (h if h > height[n] else height[n], n))
+        total = [1] * len(z)
+        back, flows = to.tolist(), (way > 0).tolist()
         for c in reversed(order):
-            if to[c][0]:
-                total[to[c][0]] += total[c]
-        rows = [(pdf[by].iloc[0], y, x, to[y, x][1], total[y, x]) for y, x in order]
-        return pd.DataFrame(rows, columns=[by, "y", "x", "direction", "accumulation"])
+            if flows[c]:
+                total[back[c]] += total[c]
+        c = np.array(order, np.int64)
+        return pd.DataFrame({by: pdf[by].iloc[0], "y": c // wide - 1 + pdf["y"].min(), "x": c % wide - 1 + pdf["x"].min(), "direction": way[c], "accumulation": np.array(total, np.int64)[c]})
 
     g = grid.select(by, F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), F.col(z).cast("double").alias("z"))
     return g.groupBy(by).applyInPandas(run, f"{by} {grid.schema[by].dataType.simpleString()}, y int, x int, direction int, accumulation long")

@@ -74,27 +74,64 @@ def solved_times(out: DataFrame, time: str = "time") -> DataFrame:
     return good.orderBy(time)
 
 
-def downscale_group(prior: np.ndarray, cell: np.ndarray, coarse: dict[int, float], smooth: np.ndarray, weight: float = 0.5, rounds: int = 2000) -> np.ndarray:
-    """theta >= 0 that keeps the means of cells, near the prior and smooth: min |theta - prior|^2 + weight |L theta|^2.
-
-    ADMM between the equality-constrained quadratic program, solved by one factorised system, and theta >= 0."""
-    known = np.array(sorted(coarse))
-    a = np.stack([(cell == c) / max((cell == c).sum(), 1) for c in known]) if len(known) else np.zeros((0, len(prior)))
-    b = np.array([coarse[c] for c in known])
-    n, m, rho = len(prior), len(known), 1.0
-    system = np.zeros((n + m, n + m))
-    system[:n, :n] = (1 + rho) * np.eye(n) + weight * smooth.T @ smooth
-    system[:n, n:], system[n:, :n] = a.T, a
-    inverse = np.linalg.pinv(system)
-    z, u = np.maximum(prior, 0), np.zeros(n)
+def neighbours(y: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """For each cell of a raster, the places of its four neighbours; len(y) stands for one that is missing."""
+    key = (y - y.min()).astype(np.int64) * (np.ptp(x) + 3) + (x - x.min()) + 1
+    order = np.argsort(key)
+    wide = np.ptp(x) + 3
+    out = np.empty((len(y), 4), np.int64)
+    for k, step in enumerate((-wide, wide, -1, 1)):
+        i = np.minimum(np.searchsorted(key[order], key + step), len(y) - 1)
+        out[:, k] = np.where(key[order][i] == key + step, order[i], len(y))
+    return out
+
+
+def downscale_group(prior: np.ndarray, cell: np.ndarray, coarse: dict[int, float], near: np.ndarray, weight: float = 0.5, rounds: int = 2000) -> np.ndarray:
+    """theta >= 0 that keeps the means of cells, near the prior and smooth: min |theta - prior|^2 + weight |L theta|^2, L four times a
+    cell less its neighbours.
+
+    ADMM between the equality-constrained quadratic program and theta >= 0. The program is solved by conjugate gradients
+    among values that keep the cells' means, so nothing larger than the raster is held: L is applied through the
+    neighbours' places, and the means are kept by taking each cell's mean off the residual."""
+    _, group = np.unique(cell, return_inverse=True)
+    size = np.bincount(group)
+    target = np.full(len(size), np.nan)
+    for g, c in enumerate(np.unique(cell)):
+        target[g] = coarse.get(int(c), np.nan)
+    known = ~np.isnan(target)
+    rho = 1.0
+
+    def smooth(v: np.ndarray) -> np.ndarray:
+        return 4 * v - np.append(v, 0.0)[near].sum(1)
+
+    def apart(v: np.ndarray) -> np.ndarray:
+        return (1 + rho) * v + weight * smooth(smooth(v))
+
+    def means(v: np.ndarray) -> np.ndarray:
+        return np.where(known, np.bincount(group, v) / size, 0.0)
+
+    z, u = np.maximum(prior, 0), np.zeros(len(prior))
+    x = z - (means(z) - np.where(known, target, 0.0))[group]
     for _ in range(rounds):
-        x = (inverse @ np.concatenate([prior + rho * (z - u), b]))[:n]
+        r = prior + rho * (z - u) - apart(x)
+        r -= means(r)[group]
+        p, rr = r.copy(), r @ r
+        for _ in range(200):
+            if rr < 1e-22 * len(x):
+                break
+            hp = apart(p)
+            hp -= means(hp)[group]
+            a = rr / (p @ hp)
+            x = x + a * p
+            r = r - a * hp
+            rr, before = r @ r, rr
+            p = r + rr / before * p
         new = np.maximum(x + u, 0)
         u += x - new
-        if np.abs(new - z).max(initial=0) < 1e-10 and np.abs(x - new).max(initial=0) < 1e-8:
-            z = new
-            break
+        done = np.abs(new - z).max(initial=0) < 1e-10 and np.abs(x - new).max(initial=0) < 1e-8
         z = new
+        if done:
+            break
     return z
 
 
@@ -104,15 +141,10 @@ def downscale(fine: DataFrame, time: str = "time", weight: float = 0.5) -> DataF
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["y", "x"]).reset_index(drop=True)
-        at = {(y, x): i for i, (y, x) in enumerate(zip(pdf.y, pdf.x, strict=True))}
-        smooth = 4 * np.eye(len(pdf))
-        for (y, x), i in at.items():
-            for n in ((y + 1, x), (y - 1, x), (y, x + 1), (y, x - 1)):
-                if n in at:
-                    smooth[i, at[n]] = -1
+        near = neighbours(pdf.y.to_numpy(), pdf.x.to_numpy())
         coarse = pdf.dropna(subset=["coarse"]).groupby("cell").coarse.first().to_dict()
         feasible = all(v >= 0 for v in coarse.values())
-        theta = downscale_group(pdf.prior.to_numpy(), pdf.cell.to_numpy(), coarse, smooth, weight) if feasible else np.full(len(pdf), np.nan)
+        theta = downscale_group(pdf.prior.to_numpy(float), pdf.cell.to_numpy(), coarse, near, weight) if feasible else np.full(len(pdf), np.nan)
         return pdf[[time, "y", "x"]].assign(theta=theta, status="ok" if feasible else "infeasible")
 
     kind = fine.schema[time].dataType.simpleString()

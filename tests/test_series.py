@@ -142,10 +142,30 @@ def test_flow_gathers_in_a_valley(spark):
 def test_downscale_keeps_the_coarse_means():
     rng = np.random.default_rng(0)
     prior, cell = rng.normal(0.3, 0.4, 16), np.repeat([0, 1, 2, 3], 4)
-    theta = models.downscale_group(prior, cell, {0: 0.5, 1: 0.1, 3: 0.2}, np.zeros((16, 16)))
+    theta = models.downscale_group(prior, cell, {0: 0.5, 1: 0.1, 3: 0.2}, np.full((16, 4), 16), weight=0.0)
     assert theta.min() >= 0 and np.allclose([theta[:4].mean(), theta[4:8].mean(), theta[12:].mean()], [0.5, 0.1, 0.2], atol=1e-4)
 
 
+def test_downscale_against_dense_algebra():
+    # without a bound that binds, the answer is that of one linear system
+    rng = np.random.default_rng(3)
+    y, x = (a.ravel() for a in np.mgrid[0:6, 0:7])
+    keep = rng.random(len(y)) > 0.1
+    y, x = y[keep], x[keep]
+    near, cell, prior = models.neighbours(y, x), y // 3 * 3 + x // 3, rng.uniform(5, 6, keep.sum())
+    n = len(y)
+    lap = 4 * np.eye(n)
+    for i in range(n):
+        lap[i, near[i][near[i] < n]] = -1
+        assert {(y[j], x[j]) for j in near[i] if j < n} == {p for p in zip(y, x) if abs(p[0] - y[i]) + abs(p[1] - x[i]) == 1}
+    known = [c for c in np.unique(cell) if c != 4]
+    a = np.stack([(cell == c) / (cell == c).sum() for c in known])
+    b = np.array([5.0 + 0.2 * k for k in range(len(known))])
+    system = np.block([[np.eye(n) + 0.5 * lap.T @ lap, a.T], [a, np.zeros((len(known), len(known)))]])
+    want = np.linalg.solve(system, np.concatenate([prior, b]))[:n]
+    assert want.min() > 0 and np.allclose(models.downscale_group(prior, cell, dict(zip(known, b)), near), want, atol=1e-6)
+
+
 def test_least_squares_and_its_fallback(spark):
     df = spark.createDataFrame([(1, float(x), float(y), 2.0 + 3 * x - y) for x in range(4) for y in (1, 5, 2)] + [(2, 1.0, 1.0, 7.0)], "k int, x double, y double, v double")
     got = {r.k: r.coefficients for r in models.least_squares(df, ["k"], "v", ["x", "y"]).collect()}

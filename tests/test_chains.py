@@ -190,3 +190,51 @@ def test_presegment_of_missing_pixels(spark):
     x = spark.createDataFrame([(p, t, None if p == 2 else g, n) for p, t, g, n in rows], "pixel int, time int, green int, nir1 int")
     out = {r.pixel: (r.u0, r.u1, r.u2) for r in pixels.presegment(x, ["pixel"]).collect()}
     assert out[2] == (0, 0, 0) and set(out) == {0, 1, 2} and chain_queries is not None
+
+
+def test_partitioned_stage_and_reload(spark, tmp_path):
+    path = str(tmp_path / "y")
+    df = spark.createDataFrame([(2020, 1), (2021, 2)], "year int, v int")
+    assert plans.cached(spark, path, lambda: df, partition_by=["year"]).where("year = 2021").first().v == 2
+    assert plans.exists(spark, path + "/year=2020") and plans.is_complete(spark, path)
+    plans.remove(spark, path)
+    assert not plans.is_complete(spark, path)
+
+
+def test_climate_table_from_csv(spark, tmp_path):
+    f = tmp_path / "c.csv"
+    f.write_text("day,rain,rain_source,metadata,latitude,longitude\n2020-01-02,1.5,25,x,1,2\n")
+    out = sources.read_climate_csv(spark, str(f), "day", "day string, rain double, rain_source int, metadata string, latitude double, longitude double")
+    assert out.columns == ["day", "rain"] and out.first().day == dt.date(2020, 1, 2)
+
+
+def test_one_value_a_solar_day(spark):
+    t = dt.datetime
+    # at 150 degrees east the sun's day begins ten hours before that of UTC
+    cube = spark.createDataFrame([(t(2020, 1, 1, 13), 0, 0, None), (t(2020, 1, 1, 15), 0, 0, 2.0), (t(2020, 1, 2, 1), 0, 0, 3.0)], "time timestamp_ntz, y int, x int, red double")
+    out = {r.day: r.red for r in sources.by_solar_day(cube, ["red"], 150.0).collect()}
+    assert out == {dt.date(2020, 1, 1): None, dt.date(2020, 1, 2): 2.0}
+
+
+def test_zones_envelope_labels_and_status(spark):
+    z = spark.createDataFrame([("a", [(0.0, 1.0), (4.0, 2.0), (0.0, 1.0)]), ("b", [(-1.0, 3.0), (2.0, -2.0), (-1.0, 3.0)])], "zone string, ring array<struct<x:double,y:double>>")
+    assert tuple(zonal.envelope(z).first()) == (-1.0, -2.0, 4.0, 3.0)
+    d = spark.createDataFrame([(3, "x"), (1, "y"), (2, "x"), (4, "z")], "o int, label string")
+    assert [(r.label, r.id) for r in zonal.label_ids(d, "label", "o").orderBy("id").collect()] == [("y", 1), ("x", 2), ("z", 3)]
+    names = lambda *n: spark.createDataFrame([(x,) for x in n], "name string")
+    assert {tuple(r) for r in listing.expected_status(names("a", "b"), names("b", "c", "b")).collect()} == {("a", False), ("b", True)}
+
+
+def test_windows_of_a_raster(spark):
+    r = spark.createDataFrame([(float(y), float(x), 1) for y in range(4) for x in range(4)], "cy double, cx double, v int")
+    assert sources.window_of(r, 1, 1, 2, 2).count() == 4 and sources.first_variable(r.withColumnsRenamed({"cy": "y", "cx": "x"})) == "v"
+    with pytest.raises(RuntimeError):
+        sources.window_of(r, 9, 9, 10, 10)
+    with pytest.raises(RuntimeError):
+        models.solved_times(spark.createDataFrame([(1, "infeasible")], "time int, status string"))
+
+
+def test_dominant_year(spark):
+    d = spark.createDataFrame([(dt.date(2020, 5, 1),), (dt.date(2021, 5, 1),), (dt.date(2021, 6, 1),)], "time date")
+    assert {r.time.year for r in series.dominant_year(d).collect()} == {2021}
+    assert {r.time.year for r in series.dominant_year(d, strict=True).collect()} == {2020}

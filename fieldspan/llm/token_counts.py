@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._byte_bpe import TOKENIZER, encoder
-from ._common import row_chunks, table, text_buffer
+from ._common import materialize, small_batches, table
 
 BLOCK = 1024
 
@@ -30,11 +30,11 @@ def lengths(docs: DataFrame, tokenizer: str) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         for batch in batches:
-            _, at = text_buffer(batch["text"])
-            n = [len(b) // 4 for i, j in row_chunks(at, 1 << 22) for b in enc.encode([t or "" for t in batch["text"].slice(i, j - i).to_pylist()])]
-            v, c = np.unique(np.array(n, np.int64), return_counts=True)
+            n = [np.diff(at) for _, _, at, _ in enc.batches(batch["text"])]
+            v, c = np.unique(np.concatenate([np.zeros(0, np.int64), *n]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(c, pa.int64())], ["length", "docs"])
 
+    small_batches(docs.sparkSession)
     return docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(count, "length long, docs long").groupBy("length").agg(F.sum("docs").alias("docs"))
 
 
@@ -82,4 +82,5 @@ def at_limits(sums: DataFrame, limits: list[int]) -> DataFrame:
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return suffix_sums(lengths(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER)))
+    # the histogram is used twice and must not be counted twice
+    return suffix_sums(materialize(lengths(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))))

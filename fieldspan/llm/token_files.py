@@ -1,16 +1,16 @@
 """Operator 9: token ids in seekable binary files.
 
 A file is a run of independent zstandard frames, each of whole documents, then a skippable frame with
-the seek table, then one line feed:
+the seek table, which ends the file:
 
     frame     zstandard of: uint32 documents n | n x (int64 doc_id, uint8 is_null, uint32 ids) | ids (uint32)
     seek      0x184D2A5E, uint32 bytes that follow | per frame: uint32 compressed, uint32 raw, uint32 crc32 of
               the raw bytes, int64 first and last doc_id | uint32 frames, uint64 ids in the file, uint32 magic
 
 All numbers are little-endian. A reader takes the seek table from the end of the file and decompresses only
-the frames whose doc_id range meets its request; every frame read is checked against its crc32. The closing
-line feed is what Spark's text sink puts behind the file's only row: files are written by Spark's own
-committer, so a lost executor or a second attempt leaves no half-written file behind, on any store.
+the frames whose doc_id range meets its request; every frame read is checked against its crc32. Files are written by
+Spark's text sink, and so by its committer: a lost executor or a second attempt leaves no half-written file behind, on
+any store. That sink puts a line feed behind a file's only row; it is the last byte of the seek table's magic number.
 
 Null text is empty (the end id alone). Null doc_ids are kept, sorted first. Repeated doc_ids are ordered by
 text, and each has a row. An empty table gives no file and no row. Very long documents get a frame alone.
@@ -29,10 +29,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._byte_bpe import TOKENIZER, encoder
-from ._common import NO_ID, materialize, row_chunks, shared_dir, table, text_buffer
+from ._common import NO_ID, estimated_bytes, materialize, shared_dir, small_batches, table
 
 END_ID = 2
-SEEK_MAGIC, FOOT_MAGIC = 0x184D2A5E, 0x4B464F54
+SEEK_MAGIC, FOOT_MAGIC = 0x184D2A5E, 0x0A544B46
 _ENTRY, _FOOT, _DOC = struct.Struct("<IIIqq"), struct.Struct("<IQI"), np.dtype([("id", "<i8"), ("null", "u1"), ("n", "<u4")])
 
 
@@ -54,7 +54,6 @@ def close_file(frames: list[bytes], entries: list[bytes], n_ids: int) -> bytes:
 
 def seek_table(tail: bytes) -> tuple[list[tuple[int, int, int, int, int]], int]:
     """Entries and number of ids, from the last bytes of a file (all of it will do)."""
-    tail = tail.removesuffix(b"\n")
     n, ids, magic = _FOOT.unpack(tail[-_FOOT.size :])
     if magic != FOOT_MAGIC:
         raise ValueError("no seek table")
@@ -87,8 +86,8 @@ def read_documents(content: bytes, wanted: set[int]) -> dict[int, np.ndarray]:
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, frame_bytes: int = 1 << 18, file_bytes: int = 1 << 24, text: str = "text") -> None:
     """Encodes docs (doc_id, text) and writes files of about file_bytes of frames in ascending doc_id order.
 
-    One range shuffle of the texts; files never hold more than a range partition, and no task more than
-    one file and the batch it reads."""
+    One range shuffle of the texts, into as many partitions as the planner's size of docs asks for; files never hold more
+    than a range partition, and no task more than one file and the batch it reads."""
 
     def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
@@ -108,20 +107,20 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
 
         def out() -> pa.RecordBatch:
             nonlocal n_ids, size
-            content = close_file(frames, entries, n_ids)
+            content = close_file(frames, entries, n_ids).removesuffix(b"\n")  # the sink writes it
             frames.clear()
             entries.clear()
             n_ids, size = 0, 0
             return pa.RecordBatch.from_arrays([pa.array([content], pa.binary())], ["content"])
 
         for batch in batches:
-            doc_ids, texts = batch["doc_id"].to_pylist(), batch["text"]
-            _, at = text_buffer(texts)
-            for i, j in row_chunks(at, 1 << 22):
-                for d, blob in zip(doc_ids[i:j], enc.encode([t or "" for t in texts.slice(i, j - i).to_pylist()]), strict=True):
+            doc_ids = batch["doc_id"].to_pylist()
+            for i, j, at, found in enc.batches(batch["text"]):
+                data = found.tobytes()
+                for d, a, b in zip(doc_ids[i:j], (4 * at[:-1]).tolist(), (4 * at[1:]).tolist(), strict=True):
                     ids.append(d)
-                    blobs.append(blob + end)
-                    held += len(blob) + 4
+                    blobs.append(data[a:b] + end)
+                    held += b - a + 4
                     if held >= frame_bytes:
                         flush()
                         if size >= file_bytes:
@@ -131,7 +130,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
             yield out()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    small_batches(docs.sparkSession)
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-estimated_bytes(docs) // (8 * file_bytes)))
     files_ = rows.repartitionByRange(parts, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.col("text")).mapInArrow(files, "content binary")
     # a task that makes several files writes them one to a part: maxRecordsPerFile
     files_.select(F.col("content").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).option("lineSep", "\n").text(path)

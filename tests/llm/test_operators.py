@@ -9,12 +9,14 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
 from fieldspan.llm import chat_format, decontaminate, jaccard_join, language_id, piece_lattice, queries, suffix_dedup, token_counts, token_files, topk_search, url_filter
-from fieldspan.llm._byte_bpe import TOKENIZER, WordEncoder, encoder
+from fieldspan.llm import _byte_bpe
+from fieldspan.llm._byte_bpe import TOKENIZER, WordEncoder
 from fieldspan.llm._common import components
 
 LONG = "word and more of it " * 6000
@@ -73,6 +75,13 @@ def test_viterbi_is_exact():
             assert got[a : a + n].tolist() == list(best)
 
 
+def test_languages_are_learned_under_one_id(spark):
+    rows = [(None, f"the {w} and the other {i}", "en") for i, w in enumerate("abcdefgh" * 5)] + [(None, f"der {w} und das andere {i}", "de") for i, w in enumerate("abcdefgh" * 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(df, F.lit(True), rows=20)
+    assert model.langs == ["de", "en"] and {(r.lang, r.lang_pred) for r in language_id.identify(df, model).collect()} == {("de", "de"), ("en", "en")}
+
+
 def test_languages_of_odd_tables(odd, empty):
     model = language_id.fit(odd, F.lit(True))
     assert len(language_id.identify(odd, model).collect()) == len(ODD)
@@ -102,6 +111,41 @@ def test_search(spark, shard):
     assert got == sorted(want)
 
 
+def test_search_with_clashing_names_and_one_id(spark):
+    df = spark.createDataFrame([(3, [float(i), 1.0], i, "s", 0, 7) for i in range(50)] + [(20, [1.0, -1.0], 0, "t", 1, 8)], "vec_id long, embedding array<float>, id int, x string, shard int, q int")
+    q = topk_search.quantized(df, "vec_id", "embedding")
+    got = sorted(map(tuple, topk_search.search(q.where("id = 20"), q, 5, 7).collect()))
+    assert got == [(20, k + 1, 3, 64 * 64 * (49 - k - 1)) for k in range(5)]
+
+
+def test_search_never_overflows(spark):
+    for x, fails in ((1e18, True), (3e7, True), (1e6, False)):
+        q = topk_search.quantized(vectors(spark, [(0, [x] * 64, ""), (1, [x] * 64, "")]), "vec_id", "embedding")
+        if fails:
+            with pytest.raises(ArithmeticError):
+                topk_search.search(q, q)
+        else:
+            v = int(np.floor(64 * float(np.float32(x))))
+            assert {r.score for r in topk_search.search(q, q).collect()} == {64 * v * v}
+
+
+def test_only_essential_lists_are_traversed():
+    rng = np.random.default_rng(2)
+    x = np.zeros((400, 12), np.int64)
+    x[:, 0] = rng.integers(0, 3, 400) * 500
+    x[np.arange(400), rng.integers(1, 12, 400)] = rng.integers(1, 5, 400)
+    lists, seen = topk_search.Lists(np.arange(400), x), []
+    whole = lists.traverse
+    lists.traverse = lambda terms, *a: seen.append(list(terms)) or whole(terms, *a)
+    q = np.arange(1, 13)[::-1].copy()
+    ids, scores = lists.top(-1, q, 10)
+    want = sorted(((-int(q @ v), i) for i, v in enumerate(x)))[:10]
+    assert [(-s, i) for i, s in zip(ids.tolist(), scores.tolist())] == want
+    assert 0 < len(seen[-1]) < 12
+    # with a score to beat that no vector can reach, nothing is left to do
+    assert len(lists.top(-1, q, 10, 10**9)[0]) == 0
+
+
 def test_search_of_few(spark):
     q = topk_search.quantized(vectors(spark, [(0, [1.0], ""), (1, [2.0], "")]), "vec_id", "embedding")
     assert [tuple(r) for r in topk_search.search(q.where("id = 0"), q).collect()] == [(0, 1, 1, 64 * 128)]
@@ -235,9 +279,9 @@ def linked(rows):
     return order((d, len(sets[i]), least[root(i)]) for i, (d, _) in enumerate(rows))
 
 
-@pytest.mark.parametrize("run", [4096, 8])
-def test_near_copies(spark, run):
-    random.seed(run)
+@pytest.mark.parametrize(("block", "most"), [(1024, 65536), (8, 65536), (8, 4)])
+def test_near_copies(spark, block, most):
+    random.seed(block)
     vocabulary = ["".join(random.choices("abcDEé", k=random.randint(1, 4))) for _ in range(200)]
     base = [random.choices(vocabulary, k=random.randint(3, 80)) for _ in range(12)] + [random.choices(vocabulary, k=900)]
     rows = []
@@ -246,7 +290,7 @@ def test_near_copies(spark, run):
         for _ in range(random.choice([0, 1, 1, 2, 3, 12])):
             t[random.randrange(len(t))] = random.choice(vocabulary)
         rows.append((i, " ".join(t)))
-    assert order(jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), run=run).collect()) == linked(rows)
+    assert order(jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), block=block, most=most).collect()) == linked(rows)
 
 
 def test_near_copies_of_odd_tables(odd, empty):
@@ -262,9 +306,10 @@ def test_sketches_never_overstate():
         assert jaccard_join.bits_apart(jaccard_join.wide_sketch_of(x), jaccard_join.wide_sketch_of(y)) <= len(np.setxor1d(x, y))
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [1 << 18, 0])
+def test_components(spark, few):
     edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 150)] + [(7, 7)]
-    got = {r.node: r.comp for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.node: r.comp for r in components(spark.createDataFrame(edges, "a long, b long"), few).collect()}
     assert {got[i] for i in range(41)} == {0} and {got[i] for i in range(100, 150)} == {100} and len(got) == 91
 
 
@@ -313,27 +358,41 @@ def library_ids(texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path(TOKENIZER))
-    t.encode_special_tokens = True
     return [t.encode(x or "", add_special_tokens=False).ids for x in texts]
 
 
-def test_word_encoder():
+def ids_of(texts):
+    at, ids = WordEncoder(public_tokenizers.path(TOKENIZER)).ids_of(pa.array(texts, pa.string()))
+    return [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])]
+
+
+@pytest.mark.parametrize("mixed", [False, True])
+def test_word_encoder(mixed):
     random.seed(3)
-    bits = [" ", " ", "  ", "\n", "\n", "\t", "a", "bc", "The", "é", "漢", "1", "23", "'s", "'", ",", ".", "!!", "|", "\u3000", "\u200b", "<|endoftext|>", "ſ", "\x00", "\r\n", "ﬁ", "²"]
-    texts = ["".join(random.choices(bits, k=random.randint(0, 12))) for _ in range(5000)]
-    got = WordEncoder(public_tokenizers.path(TOKENIZER)).encode(texts)
-    assert [np.frombuffer(b, "<u4").tolist() for b in got] == library_ids(texts)
+    bits = [" ", " ", "  ", "\n", "\n", "\t", "a", "bc", "The", "é", "漢", "1", "23", "'s", "'", ",", ".", "!!", "|", "\u3000", "\u200b", "<|endoftext|>", "ſ", "\x00", "\x01", "\x1c", "\x85", "\r\n", "ﬁ", "²"]
+    if not mixed:  # the texts that are worked on as a column
+        bits = [" ", "\n", "a", "bc", "The", "é", "漢", "23", "'s", "'", ",", ".", "!!", "\u200b", "\x00", "²"]
+    texts = ["".join(random.choices(bits, k=random.randint(0, 12))) for _ in range(8000)]
+    assert ids_of(texts) == library_ids(texts)
+    assert ids_of([]) == []
 
 
-def test_added_tokens_as_by_default(spark):
-    from tokenizers import Tokenizer
+def test_word_encoder_with_a_full_cache(monkeypatch):
+    monkeypatch.setattr(_byte_bpe, "CACHED_WORDS", 50)
+    random.seed(5)
+    texts = [" ".join("".join(random.choices("abcde", k=4)) for _ in range(30)) for _ in range(50)]
+    enc = WordEncoder(public_tokenizers.path(TOKENIZER))
+    for i in range(0, 50, 5):
+        at, ids = enc.ids_of(pa.array(texts[i : i + 5]))
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == library_ids(texts[i : i + 5])
 
-    t = Tokenizer.from_file(public_tokenizers.path(TOKENIZER))
+
+def test_added_tokens_as_by_default(spark):
     random.seed(4)
     bits = [" ", "  ", "\n", "a", "The", "é", "1", ".", "<|", "|>", "<|endoftext|>", "<|endoftext|>", "endoftext"]
     texts = ["a<|endoftext|>b", "<|endoftext|>", *("".join(random.choices(bits, k=random.randint(0, 9))) for _ in range(3000))]
-    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
-    assert want[0] == [64, 50256, 65] and [np.frombuffer(b, "<u4").tolist() for b in encoder(public_tokenizers.path(TOKENIZER)).encode(texts)] == want
+    want = library_ids(texts)
+    assert want[0] == [64, 50256, 65] and ids_of(texts) == want
     rows = list(enumerate(texts[:200]))
     got = sorted(map(tuple, token_files.token_digest(spark.createDataFrame(rows, "doc_id long, text string"), public_tokenizers.path(TOKENIZER)).collect()))
     assert [(d, n) for d, _, n, _ in got] == [(d, len(ids) + 1) for (d, _), ids in zip(rows, want)]
@@ -408,6 +467,65 @@ def test_pages_of_one_id_are_learned_from(spark, shared):
     assert sorted(r.verdict for r in url_filter.judge(df, rules).where("host = 'mid.org'").collect()) == ["allow", "block"]
 
 
+def test_verdicts_by_brute_force(spark, sf):
+    rng, k = random.Random(8), url_filter.ORDER
+    hosts, words = ["a.com", "shop.net", "b.org", "mid.io", "x.dev"], ["en", "de", "item", "page", "zz9", "q"]
+    urls = [f"http://{rng.choice(hosts)}/{rng.choice(words)}/{rng.randrange(50)}?{rng.choice(words)}={rng.randrange(9)}" for _ in range(400)] + [None, "", "é://a.com/ü"]
+    rules = [("allow", "a.com/"), ("block", "shop.net/"), ("block", "b.org/en")]
+    got = {r.page_id: r for r in url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).collect()}
+
+    def ruled(u):
+        host, _, path = (u or "").partition("://")[2].partition("/")
+        fits = [(v, r) for v, r in rules if host == r.partition("/")[0] and ("/" + path).startswith("/" + r.partition("/")[2])]
+        return max(fits, key=lambda x: len(x[1]))[0] if fits else None
+
+    def padded(u):
+        return b"\2" * k + (u or "").encode() + b"\3"
+
+    sides, apart = {"allow": [], "block": []}, []
+    for i, u in enumerate(urls):
+        if ruled(u):
+            (apart if zlib.crc32(f"{i} {u or ''}".encode()) % 5 == 0 else sides[ruled(u)]).append((ruled(u), u))
+    assert apart and all(sides.values())
+
+    def model(texts):
+        total, count, kinds = Counter(), Counter(), defaultdict(set)
+        for u in map(padded, texts):
+            for i in range(k, len(u)):
+                for o in range(k + 1):
+                    total[u[i - o : i]] += 1
+                    count[u[i - o : i + 1]] += 1
+                    kinds[u[i - o : i]].add(u[i])
+        return total, count, kinds
+
+    models = {v: model(u for _, u in rows) for v, rows in sides.items()}
+
+    def score(u):
+        if not u:
+            return 0.0
+        x, out = padded(u), 0.0
+        for sign, (total, count, kinds) in ((1, models["allow"]), (-1, models["block"])):
+            for i in range(k, len(x)):
+                p = 1 / 256
+                for o in range(k + 1):
+                    c = x[i - o : i]
+                    if total[c]:
+                        p = (count[x[i - o : i + 1]] + len(kinds[c]) * p) / (total[c] + len(kinds[c]))
+                out += sign * np.log(p)
+        return out / (len(x) - k)
+
+    for i, u in enumerate(urls):
+        assert got[i].score == pytest.approx(score(u), abs=1e-9)
+    # the threshold that judges the set apart best, each side weighed alike; of equal ones the middle one
+    bins = [(v, int((min(max(score(u), -10), 10) + 10) / 20 * 2000)) for v, u in apart]
+    n = Counter(v for v, _ in bins)
+    gain = [sum(v == "block" and b < t for v, b in bins) / n["block"] + sum(v == "allow" and b >= t for v, b in bins) / n["allow"] for t in range(2002)]
+    best = [t for t, g in enumerate(gain) if g >= max(gain) - 1e-12]
+    limit = best[len(best) // 2] / 2000 * 20 - 10
+    assert [got[i].verdict for i in range(len(urls))] == [ruled(u) or ("allow" if score(u) >= limit else "block") for u in urls]
+    assert len({got[i].verdict for i, u in enumerate(urls) if not ruled(u)}) == 2
+
+
 def test_markov_against_counts():
     urls = ["a.com/x", "a.com/y1", "b.net/de/1", "b.net/de/22"]
     data, at = url_filter.text_buffer(__import__("pyarrow").array(urls))

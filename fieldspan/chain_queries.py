@@ -96,8 +96,8 @@ def project_equal_area(spark, sf):
 # the transverse Mercator by its power series in the distance from the meridian, as printed in manuals; good to centimetres in a zone
 _UTM = f"""WITH {_LONLAT}, z AS (SELECT *, CAST(least(floor((lon + 180) / 6) + 1, 60) AS INT) AS zone, radians(lat) AS f FROM ll), c AS (SELECT *, {_E2} AS e2, {_E2} / (1 - {_E2}) AS ep, radians(lon - (zone * 6 - 183)) * cos(f) AS a, pow(tan(f), 2) AS t FROM z),
 d AS (SELECT *, ep * pow(cos(f), 2) AS c, 6378137 / sqrt(1 - e2 * pow(sin(f), 2)) AS n, 6378137 * ((1 - e2 / 4 - 3 * e2 ** 2 / 64 - 5 * e2 ** 3 / 256) * f - (3 * e2 / 8 + 3 * e2 ** 2 / 32 + 45 * e2 ** 3 / 1024) * sin(2 * f) + (15 * e2 ** 2 / 256 + 45 * e2 ** 3 / 1024) * sin(4 * f) - 35 * e2 ** 3 / 3072 * sin(6 * f)) AS m FROM c)
-SELECT k, zone, round(500000 + 0.9996 * n * (a + (1 - t + c) * a ** 3 / 6 + (5 - 18 * t + t ** 2 + 72 * c - 58 * ep) * a ** 5 / 120), 0) AS easting,
-round(CASE WHEN lat < 0 THEN 10000000 ELSE 0 END + 0.9996 * (m + n * tan(f) * (a ** 2 / 2 + (5 - t + 9 * c + 4 * c ** 2) * a ** 4 / 24 + (61 - 58 * t + t ** 2 + 600 * c - 330 * ep) * a ** 6 / 720)), 0) AS northing, round(lon, 6) AS lon, round(lat, 6) AS lat FROM d"""
+SELECT k, zone, round(500000 + 0.9996 * n * (a + (1 - t + c) * a ** 3 / 6 + (5 - 18 * t + t ** 2 + 72 * c - 58 * ep) * a ** 5 / 120), -2) AS easting,
+round(CASE WHEN lat < 0 THEN 10000000 ELSE 0 END + 0.9996 * (m + n * tan(f) * (a ** 2 / 2 + (5 - t + 9 * c + 4 * c ** 2) * a ** 4 / 24 + (61 - 58 * t + t ** 2 + 600 * c - 330 * ep) * a ** 6 / 720)), -2) AS northing, round(lon, 6) AS lon, round(lat, 6) AS lat FROM d"""
 
 
 @query("project_utm", _UTM)
@@ -106,7 +106,7 @@ def project_utm(spark, sf):
     e, n = projection.utm(F.col("lon"), F.col("lat"), F.col("zone"))
     p = p.withColumns({"e": e, "n": n})
     lon, lat = projection.from_utm(F.col("e"), F.col("n"), F.col("zone"), F.col("lat") < 0)
-    return p.select("k", "zone", F.round("e", 0).alias("easting"), F.round("n", 0).alias("northing"), F.round(lon, 6).alias("lon"), F.round(lat, 6).alias("lat"))
+    return p.select("k", "zone", F.round("e", -2).alias("easting"), F.round("n", -2).alias("northing"), F.round(lon, 6).alias("lon"), F.round(lat, 6).alias("lat"))
 
 
 @query("terrain_chain")
@@ -128,12 +128,12 @@ def plot_terrain(spark, sf):
 
 # --- downscaling
 
-_CUBE = "cube AS (SELECT CAST(year(time) AS INT) AS time, pixel, CAST(floor(pixel / 4) AS INT) AS cell, max(red) AS red, max(nir1) AS nir1, min(swir2) AS swir2, max(swir3) AS swir3 FROM clean GROUP BY 1, 2)"
+_CUBE = "cube AS (SELECT CAST(year(time) AS INT) AS time, pixel, CAST(floor(pixel / 4) AS INT) AS cell, max(red) AS red, max(nir1) AS nir1, max(swir2) AS swir2, max(swir3) AS swir3 FROM clean GROUP BY 1, 2)"
 _FEAT = f"""{CLEAN}, {_CUBE}, ft AS (SELECT time, pixel, cell, {NDVI} AS ndvi, {R['swir2']} AS swir2, {R['swir3']} AS swir3, CAST(least(greatest(pixel - 10, 0), 20) AS DOUBLE) AS twi, 1.0 / (pixel + 1) AS hli FROM cube), fv AS (SELECT *, ndvi IS NOT NULL AND swir2 IS NOT NULL AND swir3 IS NOT NULL AND twi IS NOT NULL AND hli IS NOT NULL AS valid FROM ft)"""
 
 
 def _features(spark, sf):
-    x = pixels.cloud_mask(pixel_view(spark, sf)).withColumn("time", F.year("time")).groupBy("time", "pixel").agg(F.max("red").alias("red"), F.max("nir1").alias("nir1"), F.min("swir2").alias("swir2"), F.max("swir3").alias("swir3"))
+    x = pixels.cloud_mask(pixel_view(spark, sf)).withColumn("time", F.year("time")).groupBy("time", "pixel").agg(F.max("red").alias("red"), F.max("nir1").alias("nir1"), F.max("swir2").alias("swir2"), F.max("swir3").alias("swir3"))
     cube = x.withColumns({"y": F.lit(0), "x": F.col("pixel")})
     terrain = cube.select("y", "x").distinct().withColumns({"twi": F.col("x") - 10.0, "hli": 1.0 / (F.col("x") + 1)})
     return models.features(cube, terrain).withColumn("cell", F.floor(F.col("x") / 4).cast("int"))
@@ -148,7 +148,7 @@ _COARSE = "coarse AS (SELECT time, cell, CASE WHEN (cell + time) % 5 > 0 THEN 2.
 
 
 @query("linear_prior", f"""WITH {_FEAT}, {_COARSE}, m AS (SELECT time, cell, CASE WHEN avg(CAST(valid AS INT)) > 0.1 THEN avg(twi) FILTER (valid) END AS twi FROM fv GROUP BY 1, 2),
-l AS (SELECT time, regr_intercept(coarse, twi) AS a, regr_slope(coarse, twi) AS b FROM coarse JOIN m USING (time, cell) GROUP BY time)
+l AS (SELECT time, CASE WHEN regr_count(coarse, twi) >= 3 AND regr_sxx(coarse, twi) > 0 THEN regr_intercept(coarse, twi) ELSE avg(coarse) END AS a, CASE WHEN regr_count(coarse, twi) >= 3 AND regr_sxx(coarse, twi) > 0 THEN regr_slope(coarse, twi) ELSE 0 END AS b FROM coarse LEFT JOIN m USING (time, cell) GROUP BY time)
 SELECT fv.time, pixel AS x, round(CASE WHEN valid THEN a + b * twi END, 4) AS prior FROM fv JOIN l USING (time)""")
 def linear_prior(spark, sf):
     f = _features(spark, sf)

@@ -16,10 +16,14 @@ def nearest_day(left: DataFrame, right: DataFrame, day: str, right_day: str, mos
 
 
 def nearest_cell(points: DataFrame, axis: DataFrame, point: str, cell: str) -> DataFrame:
-    """Each point with the nearest value of an axis (a regular grid's, sorted array), of equally near ones the first."""
-    values = axis.agg(F.array_sort(F.collect_set(cell)).alias("_axis"))
-    near = F.expr(f"aggregate(_axis, cast(null AS struct<d:double,c:double>), (b, c) -> CASE WHEN b IS NULL OR abs(c - {point}) < b.d THEN named_struct('d', abs(c - {point}), 'c', cast(c AS double)) ELSE b END).c")
-    return points.join(F.broadcast(values)).withColumn(cell, near).drop("_axis")
+    """Each point with the nearest value of an axis (a raster's rows or columns), of equally near ones the first.
+
+    The axis, as long as a raster's side, is one sorted array; each point halves it until two neighbours are left."""
+    values = axis.agg(F.array_sort(F.collect_set(F.col(cell).cast("double"))).alias("_axis"))
+    below = F.expr(f"""aggregate(sequence(0, cast(ceil(log2(greatest(size(_axis), 2))) AS int)), named_struct('a', 0, 'b', size(_axis) - 1),
+        (s, k) -> CASE WHEN s.a >= s.b THEN s WHEN _axis[cast((s.a + s.b + 1) div 2 AS int)] <= {point} THEN named_struct('a', cast((s.a + s.b + 1) div 2 AS int), 'b', s.b) ELSE named_struct('a', s.a, 'b', cast((s.a + s.b + 1) div 2 AS int) - 1) END).a""")
+    near = F.expr(f"CASE WHEN _below + 1 < size(_axis) AND abs(get(_axis, _below + 1) - {point}) < abs(get(_axis, _below) - {point}) THEN get(_axis, _below + 1) ELSE get(_axis, _below) END")
+    return points.join(F.broadcast(values)).withColumn("_below", below).withColumn(cell, near).drop("_axis", "_below")
 
 
 def mean_by_cell(fine: DataFrame, size: float, value: str, least_valid: float = 0.1) -> DataFrame:

@@ -110,11 +110,11 @@ def find_peaks(v: list[float], height: float, distance: int) -> list[int]:
 
 def num_peaks(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """keys, num_peaks: seasons of each series: peaks of the upper quartile, at least a quarter of the series apart."""
-    lists = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("doy", F.col(value).cast("double").alias("v")))).alias("s"), F.percentile(value, 0.75).alias("q"))
+    lists = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("doy", F.col(value).cast("double").alias("v")))), lambda x: x["v"]).alias("s"), F.percentile(value, 0.75).alias("q"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            b["num_peaks"] = [len(find_peaks([x["v"] for x in s], q, -(-len(s) // 4))) for s, q in zip(b["s"], b["q"], strict=True)]
+            b["num_peaks"] = [len(find_peaks(s.tolist(), q, -(-len(s) // 4))) for s, q in zip(b["s"], b["q"], strict=True)]
             yield b[[*keys, "num_peaks"]]
 
     kinds = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)

@@ -1,6 +1,7 @@
 """Each operator against brute force, and on odd tables."""
 
 import hashlib
+import itertools
 import random
 import re
 import struct
@@ -75,6 +76,55 @@ def test_viterbi_is_exact():
             assert got[a : a + n].tolist() == list(best)
 
 
+def test_languages_by_brute_force(spark):
+    learn = [("en", "the cat and the other hat were over there"), ("de", "der hund und die andere katze waren dort"), ("ru", "кот и собака были там"), ("fr", "le chat et l'autre chien étaient là")]
+    asked = ["the dog and the cat", "der Hund über the hat", "кот the и там", "THE ΑΒΓ 12", "là-bas le chien и собака der Hund und die Katze", "12 !", "", None, "漢字"]
+    model = language_id.fit(spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(learn * 3)], "doc_id long, text string, lang string"), F.lit(True))
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.identify(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string"), model).collect()}
+    langs = sorted({lang for lang, _ in learn})
+
+    def script(c):
+        return next((n for n, a, b in reversed(language_id.SCRIPTS) if a <= ord(c) <= b), "other")
+
+    def words(t):
+        return re.findall(r"[^\W\d_]+", t or "")
+
+    def trigrams(w):
+        x = ["", *w.lower(), ""]
+        return list(zip(x, x[1:], x[2:]))
+
+    count, seen = {k: Counter() for k in langs}, {k: Counter() for k in langs}
+    for lang, t in learn * 3:
+        for w in words(t):
+            count[lang].update(trigrams(w))
+            seen[lang][script(w[0])] += len(w)
+    def label(t):
+        known, scores = [], []
+        for w in words(t):
+            may = [k for k in langs if seen[k][script(w[0])] / sum(seen[k].values()) >= language_id.SCRIPT_SHARE]
+            if may:
+                known.append(w)
+                scores.append([sum(np.log((count[k][g] + 0.5) / (sum(count[k].values()) + 0.5 * language_id.SLOTS)) for g in trigrams(w)) if k in may else -1e9 for k in langs])
+            else:
+                scores.append([0.0] * len(langs))
+                known.append(None)
+        best = max(itertools.product(range(len(langs)), repeat=len(scores)), key=lambda p: sum(s[i] for s, i in zip(scores, p)) - language_id.PENALTY * sum(a != b for a, b in zip(p, p[1:])), default=())
+        share = Counter()
+        for w, i in zip(known, best):
+            if w:
+                share[langs[i]] += len(w)
+        letters = sum(map(len, words(t)))
+        if not letters:
+            return "und", 0.0
+        return (max(langs, key=lambda k: share[k]), max(share.values()) / letters) if share else (None, 0.0)
+
+    for i, t in enumerate(asked):
+        if len(words(t)) <= 6:
+            lang, score = label(t)
+            assert got[i][1] == pytest.approx(score) and (lang is None or got[i][0] == lang), t
+    assert got[0][0] == "en" and got[2][0] == "ru" and got[5][0] == got[6][0] == got[7][0] == "und"
+
+
 def test_languages_are_learned_under_one_id(spark):
     rows = [(None, f"the {w} and the other {i}", "en") for i, w in enumerate("abcdefgh" * 5)] + [(None, f"der {w} und das andere {i}", "de") for i, w in enumerate("abcdefgh" * 5)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
@@ -293,6 +343,41 @@ def test_near_copies(spark, block, most):
     assert order(jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), block=block, most=most).collect()) == linked(rows)
 
 
+def test_near_copies_beyond_the_filter(spark, monkeypatch):
+    # with more ids than the filter is for, a join finds the texts
+    monkeypatch.setattr(jaccard_join, "BLOOM_IDS", 0)
+    random.seed(6)
+    base = [[f"w{random.randrange(90)}" for _ in range(40)] for _ in range(4)]
+    rows = []
+    for i in range(60):
+        t = list(random.choice(base))
+        for _ in range(random.choice([0, 1, 2, 4])):
+            t[random.randrange(40)] = f"x{random.randrange(9)}"
+        rows.append((i if i % 7 else None, " ".join(t)))
+    assert order(jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == linked(rows)
+
+
+def test_index_lists_keep_every_link():
+    rng = np.random.default_rng(7)
+    base = rng.choice(2**40, 300, replace=False).astype(np.uint64)
+    sets = [np.unique(np.where(rng.random(300) < 0.06, rng.integers(0, 2**40, 300).astype(np.uint64), base)[: rng.integers(250, 300)]) for _ in range(60)]
+    order_ = jaccard_join.Order({})
+    parts = [order_.prefix(s, jaccard_join.prefix_size(len(s))) for s in sets]
+    n = np.array([len(p) for p in parts])
+    t, c, z = np.concatenate(parts), np.repeat(np.arange(60), n), np.repeat([len(s) for s in sets], n)
+    place = np.arange(len(t)) - np.repeat(np.cumsum(n) - n, n)
+    for dealt in (False, True):
+        short, long, _ = jaccard_join.index_lists(t, c, z, place, 75, np.full(len(t), dealt))
+        lists = defaultdict(set)
+        for x in short:
+            lists[x] |= set(np.frombuffer(x, "<i8").tolist())
+        for name, x in long:
+            lists[name] |= set(np.frombuffer(x, "<i8").tolist())
+        linked_ = {(a, b) for a in range(60) for b in range(a) if 100 * len(np.intersect1d(sets[a], sets[b])) >= 75 * len(np.union1d(sets[a], sets[b]))}
+        assert linked_ and all(any({a, b} <= m for m in lists.values()) for a, b in linked_)
+    assert sum(map(len, short)) == 0 and len(long)
+
+
 def test_near_copies_of_odd_tables(odd, empty):
     assert order(jaccard_join.jaccard_components(odd).collect()) == linked(ODD)
     assert jaccard_join.jaccard_components(empty).count() == 0

@@ -15,11 +15,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._byte_bpe import TOKENIZER, encoder
-from ._common import materialize, small_batches, table
+from ._common import lean, materialize, small_batches, table
 
 BLOCK = 1024
 
@@ -35,7 +35,7 @@ def lengths(docs: DataFrame, tokenizer: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(c, pa.int64())], ["length", "docs"])
 
     small_batches(docs.sparkSession)
-    return docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(count, "length long, docs long").groupBy("length").agg(F.sum("docs").alias("docs"))
+    return docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(lean(count), "length long, docs long").groupBy("length").agg(F.sum("docs").alias("docs"))
 
 
 def suffix_sums(histogram: DataFrame) -> DataFrame:
@@ -62,21 +62,28 @@ def suffix_sums(histogram: DataFrame) -> DataFrame:
     )
 
 
+def _rows(found: DataFrame, rows: list[Column]) -> DataFrame:
+    return found.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
+
+
 def quantiles(sums: DataFrame, at: list[float]) -> DataFrame:
-    """q, length: for each q the least length that a share q of the documents doesn't exceed."""
-    asked = sums.sparkSession.createDataFrame([(float(q),) for q in at], "q double")
-    return asked.join(F.broadcast(sums.select("context_limit", "share_whole")), F.col("share_whole") >= F.col("q")).groupBy("q").agg(F.min("context_limit").alias("length"))
+    """q, length: for each q the least length that a share q of the documents doesn't exceed. One aggregate for all of them."""
+    found = sums.agg(*[F.min(F.when(F.col("share_whole") >= float(q), F.col("context_limit"))).alias(f"l{i}") for i, q in enumerate(at)])
+    return _rows(found, [F.struct(F.lit(float(q)).alias("q"), F.col(f"l{i}").alias("length")) for i, q in enumerate(at)]).where("length IS NOT NULL")
 
 
 def at_limits(sums: DataFrame, limits: list[int]) -> DataFrame:
-    """tokens_kept and docs_cut for any limits, whether some document has that length or not."""
-    asked = sums.sparkSession.createDataFrame([(int(x),) for x in limits], "context_limit long")
-    s = sums.select(F.col("context_limit").alias("l"), "docs_reaching", "tokens_kept")
-    end = sums.agg(F.lit(2**62).alias("l"), F.lit(0).cast("long").alias("docs_reaching"), F.max("tokens_kept").alias("tokens_kept"))
-    x = asked.join(F.broadcast(s.unionByName(end)), F.col("l") > F.col("context_limit")).groupBy("context_limit").agg(F.min(F.struct("l", "docs_reaching", "tokens_kept")).alias("x"))
-    # below the next length l, each document that reaches it loses l - limit more
-    kept = F.col("x.tokens_kept") - F.col("x.docs_reaching") * (F.col("x.l") - F.col("context_limit"))
-    return x.select("context_limit", kept.alias("tokens_kept"), F.col("x.docs_reaching").alias("docs_cut"))
+    """tokens_kept and docs_cut for any limits, whether some document has that length or not. One aggregate for all of them."""
+    above = [F.min(F.when(F.col("context_limit") > int(x), F.struct("context_limit", "docs_reaching", "tokens_kept"))).alias(f"a{i}") for i, x in enumerate(limits)]
+    found = sums.agg(F.max("tokens_kept").alias("all"), *above)
+
+    def row(i: int, x: int) -> Column:
+        # below the next length, each document that reaches it loses that much more; beyond the longest nothing is lost
+        a = F.col(f"a{i}")
+        kept = F.coalesce(a["tokens_kept"] - a["docs_reaching"] * (a["context_limit"] - int(x)), F.col("all"))
+        return F.struct(F.lit(int(x)).cast("long").alias("context_limit"), kept.alias("tokens_kept"), F.coalesce(a["docs_reaching"], F.lit(0).cast("long")).alias("docs_cut"))
+
+    return _rows(found, [row(i, x) for i, x in enumerate(limits)])
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,29 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def lean(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """f, which hands the memory it has freed back to the system at its end: Spark keeps workers for further tasks, and what
+    idle ones hold on to counts against their executor."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from f(batches)
+        give_back()
+
+    return run
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+try:
+    _trim = ctypes.CDLL("libc.so.6").malloc_trim
+except (OSError, AttributeError):  # another C library
+    _trim = None
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder under spark.checkpoint.dir; only where that is unset and Spark runs in one process (tests) a local one is set."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -254,19 +278,20 @@ def _forest(batches: Iterator[pa.RecordBatch], most: int = 1_000_000) -> Iterato
 FEW_EDGES = 1 << 18
 
 
-def components(edges: DataFrame, few: int = FEW_EDGES) -> DataFrame:
+def components(edges: DataFrame, few: int = FEW_EDGES, sparse: bool = False) -> DataFrame:
     """node, comp: the smallest node of the connected component of each node of edges (a long, b long).
 
     Where forests of the partitions have few edges together, one task connects them. Else alternates large-star and
     small-star steps until nothing changes; each step is written to the shared
     folder, so neither the driver nor a task holds more than a spanning forest of one partition. Hot
-    nodes are pre-aggregated: a step needs only the minimum over a node's neighbours."""
-    e = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").mapInArrow(_forest, "a long, b long")
-    e = materialize(e)
+    nodes are pre-aggregated: a step needs only the minimum over a node's neighbours. sparse: the edges are no more than a
+    few times the nodes, so that a forest of each partition would save little."""
+    e = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b")
+    e = materialize(e if sparse else e.mapInArrow(lean(_forest), "a long, b long"))
     named = lambda e: e.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())
     if e.limit(few + 1).count() <= few:
         # two nodes an edge at most, so the task doesn't pass anything on before its end
-        return named(e.coalesce(1).mapInArrow(lambda batches: _forest(batches, 2 * few + 1), "a long, b long"))
+        return named(e.coalesce(1).mapInArrow(lean(lambda batches: _forest(batches, 2 * few + 1)), "a long, b long"))
     before = None
     for _ in range(64):
         for large in (True, False):

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import table
+from ._common import lean, table
 
 START, SEP, END = "<|start|>", "<|sep|>", "<|end|>\n"
 # Strings that some model's tokenizer takes as control tokens, and this template's own.
@@ -111,7 +111,7 @@ def format_turns(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch["conv_id"], batch["turn"], batch["role"], *out.columns], ["conv_id", "turn", "role", *_MADE.names])
 
     rows = rows.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), "parts")
-    return rows.mapInArrow(segments, f"conv_id long, turn long, role string, text string, segment string, loss {SPANS}, attachments {ATTACHED}")
+    return rows.mapInArrow(lean(segments), f"conv_id long, turn long, role string, text string, segment string, loss {SPANS}, attachments {ATTACHED}")
 
 
 _SPAN = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
@@ -155,7 +155,7 @@ def digest(turns: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*done, strict=True), _DIGEST, strict=True)], names)
 
     ordered = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", F.coalesce("role", F.lit("")), "text")
-    return ordered.select("conv_id", "segment", "loss").mapInArrow(read, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return ordered.select("conv_id", "segment", "loss").mapInArrow(lean(read), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 _DIGEST = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import LOWER, Rolling, kept_schema, materialize, mix, row_chunks, row_key, small_batches, table, text_buffer, words_of
+from ._common import LOWER, Rolling, kept_schema, lean, materialize, mix, row_chunks, row_key, small_batches, table, text_buffer, words_of
 
 WINDOW, GRAM = 10, 5
 BLOCK_WORDS = 1_000_000
@@ -201,7 +201,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOC
                         ["doc_id", "k1", "k2", *kept, "n_words", "n_hit", "spans", "item_ids"],
                     )
 
-        return row_key(docs, keep).mapInArrow(search, schema)
+        return row_key(docs, keep).mapInArrow(lean(search), schema)
 
     parts = blocks(benchmark, block_words)
     held, last = next(parts, []), next(parts, None)

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import LOWER, NO_ID, Rolling, components, materialize, mix, row_chunks, small_batches, table, text_buffer, whole_groups, words_of
+from ._common import LOWER, NO_ID, Rolling, components, lean, materialize, mix, row_chunks, small_batches, table, text_buffer, whole_groups, words_of
 
 WORDS, PERCENT = 5, 75
 LIST = 1 << 16
@@ -433,9 +433,9 @@ def full_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, words: int
     ids = wanted.join(classes.select("cls", "first"), "cls").select(F.xxhash64("first").alias("h")).distinct()
     texts = docs.select(F.xxhash64("doc_id").alias("h"), "text")
     if ids.limit(BLOOM_IDS + 1).count() <= BLOOM_IDS:
-        found = texts.mapInArrow(_sets(spark.sparkContext.broadcast(bloom_bits(ids)), words), "cls long, set binary")
+        found = texts.mapInArrow(lean(_sets(spark.sparkContext.broadcast(bloom_bits(ids)), words)), "cls long, set binary")
     else:
-        found = texts.join(ids, "h", "left_semi").mapInArrow(_sets(None, words), "cls long, set binary")
+        found = texts.join(ids, "h", "left_semi").mapInArrow(lean(_sets(None, words)), "cls long, set binary")
     return found.groupBy("cls").agg(F.first("set").alias("set"))
 
 
@@ -468,14 +468,14 @@ def _compared(percent: int):
 def compare(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
     """Those of the pairs (a, b) of classes that link, by their full sets."""
     of = lambda x: classes.select(F.col("cls").alias(x), F.col("n").alias(f"n_{x}"), F.col("wide").alias(f"wide_{x}"))
-    pairs = materialize(pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(_near(percent), "a long, b long"))
+    pairs = materialize(pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(lean(_near(percent)), "a long, b long"))
     wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
     sets = materialize(full_sets(docs, classes, wanted, words))
     leaders = pairs.groupBy("a").agg(F.ceil(F.count("*") / 512).cast("int").alias("salts"))
     dealt = pairs.join(leaders, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), "b")
     rows = dealt.join(sets, dealt.b == sets.cls).select("a", "salt", F.lit(1).alias("kind"), "b", "set")
     heads = leaders.join(sets, leaders.a == sets.cls).select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), F.col("a").alias("b"), "set")
-    return materialize(rows.unionByName(heads).repartition("a", "salt").sortWithinPartitions("a", "salt", "kind").mapInArrow(_compared(percent), "a long, b long"))
+    return materialize(rows.unionByName(heads).repartition("a", "salt").sortWithinPartitions("a", "salt", "kind").mapInArrow(lean(_compared(percent)), "a long, b long"))
 
 
 def open_pairs(entries: DataFrame, comps: DataFrame, classes: DataFrame, percent: int, block: int, likeliest: bool) -> DataFrame:
@@ -490,7 +490,7 @@ def open_pairs(entries: DataFrame, comps: DataFrame, classes: DataFrame, percent
       ELSE transform(sequence(0, {few} + {much} - 1), j -> struct(least(j, own) AS i, greatest(j, own) AS j)) END"""
     dealt = left.withColumn("own", F.expr(f"cast({own} AS int)")).withColumn("at", F.explode(F.expr(pair)))
     grouped = dealt.groupBy("rid", "at").agg(F.collect_list(F.struct("cls", "n", "comp", "sketch", "wide")).alias("m")).select("m")
-    return grouped.mapInArrow(_across(percent, likeliest), "a long, b long").distinct()
+    return grouped.mapInArrow(lean(_across(percent, likeliest)), "a long, b long").distinct()
 
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int = BLOCK, most: int = LIST) -> DataFrame:
@@ -498,21 +498,21 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    slots = docs.select("text").mapInArrow(_frequent, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    slots = docs.select("text").mapInArrow(lean(_frequent), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
     order = spark.sparkContext.broadcast(Order({r["slot"]: r["n"] for r in slots.toLocalIterator()}))
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    indexed = materialize(docs.mapInArrow(_indexer(order, buckets, percent, most), _INDEX_SQL).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_lister(order, percent, most), _LISTED_SQL))
+    indexed = materialize(docs.mapInArrow(lean(_indexer(order, buckets, percent, most)), _INDEX_SQL).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(_lister(order, percent, most)), _LISTED_SQL))
     rows = indexed.where(F.col("kind") == _DOC).select("doc_id", "n", "cls", "sketch", "wide")
     classes = materialize(rows.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("wide", ignorenulls=True).alias("wide")))
     # sets that begin alike
-    first = indexed.where(F.col("kind") == _FIRST).select("rid", "seg", "list").mapInArrow(_entries, "rid long, seg int, cls long")
+    first = indexed.where(F.col("kind") == _FIRST).select("rid", "seg", "list").mapInArrow(lean(_entries), "rid long, seg int, cls long")
     sets = full_sets(docs, classes, first.select("cls").distinct(), words)
-    links = first.join(sets, "cls").repartition("rid", "seg").sortWithinPartitions("rid", "seg").mapInArrow(_clustered(percent), "a long, b long")
-    comps = materialize(components(links))
+    links = first.join(sets, "cls").repartition("rid", "seg").sortWithinPartitions("rid", "seg").mapInArrow(lean(_clustered(percent)), "a long, b long")
+    comps = materialize(components(links, sparse=True))
     # what is open in the lists
     short = indexed.where(F.col("kind") == _SHORT).select("list").distinct().select(F.xxhash64("list").alias("rid"), "list")
     lists = short.unionByName(indexed.where(F.col("kind") == _LONG).select("rid", "list")).withColumn("seg", F.lit(0))
-    entries = materialize(lists.mapInArrow(_entries, "rid long, seg int, cls long").drop("seg"))
+    entries = materialize(lists.mapInArrow(lean(_entries), "rid long, seg int, cls long").drop("seg"))
     for likeliest in (True, False):
         some = entries.where(F.pmod("rid", F.lit(EARLY)) == 0) if likeliest else entries
         more = compare(docs, classes, open_pairs(some, comps, classes, percent, block, likeliest), words, percent)

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import mix, row_chunks, small_batches, table, text_buffer
+from ._common import lean, mix, row_chunks, small_batches, table, text_buffer
 
 ROWS = 4000
 LANGS = 250  # labels are bytes
@@ -89,7 +89,7 @@ class Words:
         self.start = self.start - (ends - lengths)[self.row]
 
 
-def _texts(column, most: int = 1 << 20) -> Iterator[tuple[int, int, Words]]:
+def _texts(column, most: int = 1 << 19) -> Iterator[tuple[int, int, Words]]:
     column = pc.fill_null(column, "")
     data, at = text_buffer(column)
     lengths = pc.utf8_length(column).to_numpy().astype(np.int64)
@@ -173,7 +173,7 @@ def fit(docs: DataFrame, labelled: Column, rows: int = ROWS) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(slot, pa.int32()), pa.array(total[k, slot])], ["lang", "slot", "n"])
 
     total = np.zeros((len(langs), SLOTS + len(SCRIPT_NAMES)))
-    for b in sample.mapInArrow(count, "lang int, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toArrow().to_batches():
+    for b in sample.mapInArrow(lean(count), "lang int, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toArrow().to_batches():
         total[b["lang"].to_numpy(), b["slot"].to_numpy()] = b["n"].to_numpy()
     return Model(langs, [have[k] for k in langs], total[:, :SLOTS], total[:, SLOTS:])
 
@@ -221,7 +221,7 @@ def identify(docs: DataFrame, model: Model, penalty: float = PENALTY) -> DataFra
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(pred.tolist(), pa.string()), pa.array(score), _spans(words, best, known, n, m.langs)], [*names, "lang_pred", "score", "lang_spans"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(label, f"{kinds}, lang_pred string, score double, lang_spans {SPANS}")
+    return docs.mapInArrow(lean(label), f"{kinds}, lang_pred string, score double, lang_spans {SPANS}")
 
 
 _SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())])

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import row_chunks, table, text_buffer
+from ._common import lean, row_chunks, table, text_buffer
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
@@ -117,7 +117,7 @@ def lattice(words: DataFrame, pieces: DataFrame, longest: int, byte_zero: int, u
     x = x.join(F.broadcast(pieces), "piece", "left").where("id IS NOT NULL OR piece IS NULL OR last = first + 1")
     spelled = f"transform(array(hex(encode(piece, 'utf-8'))), h -> transform(sequence(1, cast(length(h) / 2 AS int)), k -> cast(conv(substr(h, 2 * k - 1, 2), 16, 10) AS int) + {byte_zero}))[0]"
     edge = F.expr(f"CASE WHEN piece IS NOT NULL THEN struct(coalesce(-score, {unknown_cost}D) AS cost, first, last, id, CASE WHEN id IS NULL THEN {spelled} END AS bytes) END")
-    grouped = x.select("chunk", "w", "word", "packed", edge.alias("edge")).mapInArrow(_grouped, f"chunk long, w int, word string, packed binary, edges array<{_EDGE}>")
+    grouped = x.select("chunk", "w", "word", "packed", edge.alias("edge")).mapInArrow(lean(_grouped), f"chunk long, w int, word string, packed binary, edges array<{_EDGE}>")
     bits = "struct(e.first, e.last, e.cost, e.id, e.bytes, shiftleft(1L, e.first) | shiftleft(1L, e.last) AS ends, (shiftleft(1L, e.last) - 1) ^ (shiftleft(2L, e.first) - 1) AS inner)"
     return grouped.withColumn("edges", F.expr(f"transform(array_sort(edges), e -> {bits})"))
 
@@ -194,7 +194,7 @@ def encode(docs: DataFrame, model: str, kind: str = "bpe", chunk: int = CHUNK) -
                     words, size, texts, number = {}, 0, [], number + 1
         yield from close()
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(chunks, "chunk long, w int, words array<string>, packed binary")
+    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(lean(chunks), "chunk long, w int, words array<string>, packed binary")
     rows = rows.select("chunk", "w", "packed", F.posexplode_outer("words").alias("i", "word")).select("chunk", (F.col("w") + F.coalesce("i", F.lit(0))).alias("w"), "word", "packed")
     coded = folded(lattice(rows, pieces, longest, byte_zero), kind)
 
@@ -223,7 +223,7 @@ def encode(docs: DataFrame, model: str, kind: str = "bpe", chunk: int = CHUNK) -
                     offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in out])])
                     yield pa.RecordBatch.from_arrays([texts["doc_id"], texts["text"], pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(out), np.int32)))], ["doc_id", "text", "ids"])
 
-    return coded.select("chunk", "w", "word", "packed", "ids").mapInArrow(assemble, "doc_id long, text string, ids array<int>")
+    return coded.select("chunk", "w", "word", "packed", "ids").mapInArrow(lean(assemble), "doc_id long, text string, ids array<int>")
 
 
 def encode_by_words(docs: DataFrame, model: str) -> DataFrame:
@@ -252,7 +252,7 @@ def encode_by_words(docs: DataFrame, model: str) -> DataFrame:
                 offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in out])])
                 yield pa.RecordBatch.from_arrays([part["doc_id"], part["text"], pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(out), np.int32)))], ["doc_id", "text", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, text string, ids array<int>")
+    return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(lean(run), "doc_id long, text string, ids array<int>")
 
 
 def decoded(ids: np.ndarray, spelled: list[bytes]) -> str:
@@ -277,7 +277,7 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
             texts = [decoded(flat[a:b], spellings(model)) for a, b in zip(at[:-1], at[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), pa.array(texts, pa.string())], [*names, "decoded"])
 
-    return encoded.select(*names).mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.select(*names).schema.fields) + ", decoded string")
+    return encoded.select(*names).mapInArrow(lean(run), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.select(*names).schema.fields) + ", decoded string")
 
 
 def digest(encoded: DataFrame, model: str) -> DataFrame:
@@ -291,7 +291,7 @@ def digest(encoded: DataFrame, model: str) -> DataFrame:
             same = [decoded(flat[a:b], spellings(model)) == t.replace(SPACE, " ") for (a, b), t in zip(spans, batch["text"].to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(np.diff(at).astype(np.int64)), pa.array(crc, pa.int64()), pa.array(same)], ["doc_id", "n_tokens", "ids_crc32", "round_trip"])
 
-    return encoded.mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, round_trip boolean")
+    return encoded.mapInArrow(lean(run), "doc_id long, n_tokens long, ids_crc32 long, round_trip boolean")
 
 
 def op6_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import Rolling, i64, kept_schema, materialize, mix, row_chunks, row_key, small_batches, table, text_buffer, u64, whole_groups
+from ._common import Rolling, i64, kept_schema, lean, materialize, mix, row_chunks, row_key, small_batches, table, text_buffer, u64, whole_groups
 
 LENGTH = 200
 TILE = 1 << 19
@@ -168,7 +168,7 @@ def hot_buckets(docs: DataFrame, length: int, hot: int) -> np.ndarray:
         if found:
             yield report()
 
-    counts = docs.select("text").mapInArrow(frequent, "bucket long, n long, all boolean").groupBy("all", "bucket").agg(F.sum("n").alias("n"))
+    counts = docs.select("text").mapInArrow(lean(frequent), "bucket long, n long, all boolean").groupBy("all", "bucket").agg(F.sum("n").alias("n"))
     # no more than 8 * parts buckets can hold half of the limit, and the total stands before them
     top = counts.where(F.col("all") | (F.col("n") >= hot // 2)).orderBy(F.desc("all"), F.desc("n")).limit(8 * parts + 1).toArrow()
     if not top.num_rows:
@@ -346,15 +346,15 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, hot: int = HOT) -> Da
     small_batches(spark)
     found_hot = hot_buckets(docs, length, hot)
     shared = spark.sparkContext.broadcast(found_hot)
-    suffixes = docs.mapInArrow(_suffixes(length, shared), "deal long, bucket long, around long, k1 long, k2 long, lo int, dm int, dh int, times int")
-    found = suffixes.repartition("deal").sortWithinPartitions("bucket", "around").mapInArrow(_decided(length, shared), _FOUND)
+    suffixes = docs.mapInArrow(lean(_suffixes(length, shared)), "deal long, bucket long, around long, k1 long, k2 long, lo int, dm int, dh int, times int")
+    found = suffixes.repartition("deal").sortWithinPartitions("bucket", "around").mapInArrow(lean(_decided(length, shared)), _FOUND)
     # both uses of what was found begin with this exchange, so within a job it is made once; the filter is that of the join below
     found = (materialize(found) if len(found_hot) else found).where("k1 IS NOT NULL AND k2 IS NOT NULL").groupBy("k1", "k2").agg(F.collect_list(F.struct("kind", "lo", "dm", "dh", "bucket", "times")).alias("xs"))
     whole = found.select("k1", "k2", F.expr(f"transform(filter(xs, x -> x.kind = {_SPAN}), x -> struct(x.lo AS s, x.lo + x.dh + {length} AS e))").alias("spans"))
-    pieces = docs.join(found.where(F.exists("xs", lambda x: x["kind"] != _SPAN)), ["k1", "k2"]).mapInArrow(_cut(length), "bucket long, window long, k1 long, k2 long, times int, lo int, dm int, dh int, bytes binary")
+    pieces = docs.join(found.where(F.exists("xs", lambda x: x["kind"] != _SPAN)), ["k1", "k2"]).mapInArrow(lean(_cut(length)), "bucket long, window long, k1 long, k2 long, times int, lo int, dm int, dh int, bytes binary")
     if len(found_hot):
         pieces = materialize(pieces)
-    parts = pieces.where("window IS NULL").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_refined(length), "k1 long, k2 long, s int, e int")
+    parts = pieces.where("window IS NULL").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(_refined(length)), "k1 long, k2 long, s int, e int")
     if len(found_hot):
         rows = pieces.where("window IS NOT NULL")
         again = rows.groupBy("bucket", "dm", "window").agg(F.sum("times").alias("all")).where("all > 1")
@@ -401,7 +401,7 @@ def _kept(keep: tuple[str, ...]):
 def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_bytes, spans (removed, maximal), kept (the bytes that stay) of every document, and columns to keep, named _column."""
     keyed = row_key(docs, keep)
-    return keyed.join(repeated_spans(keyed, length, hot), ["k1", "k2"], "left").mapInArrow(_kept(keep), f"doc_id long{kept_schema(docs, keep)}, n_bytes long, spans array<struct<start:int,end:int>>, kept binary")
+    return keyed.join(repeated_spans(keyed, length, hot), ["k1", "k2"], "left").mapInArrow(lean(_kept(keep)), f"doc_id long{kept_schema(docs, keep)}, n_bytes long, spans array<struct<start:int,end:int>>, kept binary")
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

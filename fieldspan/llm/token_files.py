@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._byte_bpe import TOKENIZER, encoder
-from ._common import NO_ID, estimated_bytes, materialize, shared_dir, small_batches, table
+from ._common import NO_ID, estimated_bytes, lean, materialize, shared_dir, small_batches, table
 
 END_ID = 2
 SEEK_MAGIC, FOOT_MAGIC = 0x184D2A5E, 0x0A544B46
@@ -132,7 +132,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     small_batches(docs.sparkSession)
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-estimated_bytes(docs) // (8 * file_bytes)))
-    files_ = rows.repartitionByRange(parts, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.col("text")).mapInArrow(files, "content binary")
+    files_ = rows.repartitionByRange(parts, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.col("text")).mapInArrow(lean(files), "content binary")
     # a task that makes several files writes them one to a part: maxRecordsPerFile
     files_.select(F.col("content").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).option("lineSep", "\n").text(path)
 
@@ -161,7 +161,7 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> D
                     at, before = at + e[0], before + int(ends[-1])
 
     schema = "doc_id long, file string, file_first long, file_ids long, at long, n_tokens long, ids_crc32 long, ids array<long>"
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(docs, schema)
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(lean(docs), schema)
 
 
 def token_digest(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:

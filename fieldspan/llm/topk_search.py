@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import table
+from ._common import lean, table
 
 K = 20
 SCALE = 64
@@ -176,7 +176,7 @@ def search(queries: DataFrame, candidates: DataFrame, k: int = K, shard_rows: in
                     n = [len(o[2]) for o in out]
                     yield pa.RecordBatch.from_arrays([pa.array(np.repeat([o[0] for o in out], n), pa.int64()), pa.array(np.repeat(np.array([o[1] for o in out], np.int64), n)), pa.array(np.concatenate([o[2] for o in out])), pa.array(np.concatenate([o[3] for o in out]))], ["query_id", "q", "vec_id", "score"])
 
-    found = held.unionByName(asked).repartition("shard").sortWithinPartitions("shard", "kind").mapInArrow(find, "query_id long, q long, vec_id long, score long")
+    found = held.unionByName(asked).repartition("shard").sortWithinPartitions("shard", "kind").mapInArrow(lean(find), "query_id long, q long, vec_id long, score long")
     order = Window.partitionBy("query_id", "q").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

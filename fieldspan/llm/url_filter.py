@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import row_chunks, table, text_buffer
+from ._common import lean, row_chunks, table, text_buffer
 
 ORDER = 4
 _BITS = 8 * (ORDER + 1)
@@ -126,7 +126,7 @@ def fit(judged: DataFrame) -> tuple[Markov, Markov] | None:
                     yield pa.RecordBatch.from_arrays([pa.array((v & 1).astype(bool)), pa.array(v >> 1), pa.array(n.astype(np.int64))], ["allowed", "gram", "n"])
 
     models = {True: Markov(), False: Markov()}
-    counts = judged.mapInArrow(count, "allowed boolean, gram long, n long").groupBy("allowed", "gram").agg(F.sum("n").alias("n"))
+    counts = judged.mapInArrow(lean(count), "allowed boolean, gram long, n long").groupBy("allowed", "gram").agg(F.sum("n").alias("n"))
     for b in counts.toArrow().to_batches():
         of = b["allowed"].to_numpy(zero_copy_only=False)
         for side, m in models.items():
@@ -153,7 +153,7 @@ def scored(df: DataFrame, models: tuple[Markov, Markov] | None) -> DataFrame:
                 x = np.where(n > 0, (good.log(grams, j - i) - bad.log(grams, j - i)) / (n + 1), 0.0)
                 yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, pa.array(x)], [*names, "score"])
 
-    return df.mapInArrow(score, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + ", score double")
+    return df.mapInArrow(lean(score), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + ", score double")
 
 
 def calibrated(judged: DataFrame) -> float:

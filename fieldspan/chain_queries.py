@@ -75,6 +75,17 @@ def border_and_clip(spark, sf):
     return grids.clip(g, 100.0, 20.0, 300.0, 150.0, 20.0).select("y", "x", "z")
 
 
+@query("coarse_cells", f"WITH {GRID}, c AS (SELECT 980 + 140 - (j + 0.5) * 70 AS cy, 250 - 140 + (i + 0.5) * 70 AS cx FROM (SELECT unnest(range(0, 17)) AS i), (SELECT unnest(range(0, 10)) AS j)) SELECT CAST(cy AS DOUBLE) AS cy, CAST(cx AS DOUBLE) AS cx, z FROM c LEFT JOIN grid ON grid.y = floor((1000 - cy) / 30 + 0.5) AND grid.x = floor((cx - 200) / 30 + 0.5)")
+def coarse_cells(spark, sf):
+    out = grids.to_coarse(grid_view(spark, sf), (250.0, 600.0, 1160.0, 980.0), (200.0, 1000.0), 30.0, 70.0)
+    return out.select(F.round("cy", 4).alias("cy"), F.round("cx", 4).alias("cx"), "z")
+
+
+@query("direction_numbers", "SELECT p_partkey, CASE p_partkey % 260 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 4 THEN 3 WHEN 8 THEN 4 WHEN 16 THEN 5 WHEN 32 THEN 6 WHEN 64 THEN 7 WHEN 128 THEN 8 ELSE 0 END AS direction FROM part")
+def direction_numbers(spark, sf):
+    return spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", grids.direction_number(F.col("p_partkey") % 260).alias("direction"))
+
+
 _LONLAT = "ll AS (SELECT c_custkey AS k, (c_custkey * 7919 % 36000) / 100.0 - 180 AS lon, (c_custkey * 104729 % 16000) / 100.0 - 80 AS lat FROM customer)"
 _E2 = "0.0066943799901413165"
 

@@ -7,7 +7,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -102,6 +102,28 @@ def match_raster(source: DataFrame, target: DataFrame, origin: tuple[float, floa
     return p.withColumns({"_y": F.floor(F.col("py") + 0.5), "_x": F.floor(F.col("px") + 0.5)}).join(cells, ["_y", "_x"], "left").drop("py", "px", "_y", "_x")
 
 
+def cells_over(spark: SparkSession, west: float, south: float, east: float, north: float, size: float) -> DataFrame:
+    """cy, cx: the centres of the square cells of a raster that covers a box from its north-western corner."""
+    nx, ny = math.ceil((east - west) / size), math.ceil((north - south) / size)
+    rows = spark.range(ny).select((F.lit(north) - (F.col("id") + 0.5) * size).alias("cy"))
+    return rows.select("cy", F.explode(F.transform(F.sequence(F.lit(0), F.lit(nx - 1)), lambda i: F.lit(west) + (i + 0.5) * size)).alias("cx"))
+
+
+def to_coarse(source: DataFrame, box: tuple[float, float, float, float], origin: tuple[float, float], step: float, size: float = 1000.0, buffer: int = 2, z: str = "z") -> DataFrame:
+    """cy, cx, z: the source (whose cell (0, 0) has its centre at origin, `step` apart) on cells of `size` over the box (west,
+    south, east, north) and `buffer` cells around it, by the nearest source cell."""
+    west, south, east, north = box
+    wide = buffer * size
+    target = cells_over(source.sparkSession, west - wide, south - wide, east + wide, north + wide, size)
+    return match_raster(source, target, origin, step, z, "nearest")
+
+
+def direction_number(code: Column) -> Column:
+    """1 to 8 for the direction codes 1, 2, 4, ... 128; 0 for anything else."""
+    power = (code > 0) & (code <= 128) & (F.bit_count(code.cast("int")) == 1)
+    return F.when(power, F.round(F.log2(code.cast("double"))).cast("int") + 1).otherwise(0)
+
+
 def clip(grid: DataFrame, west: float, south: float, east: float, north: float, buffer: float = 0.0, y: str = "cy", x: str = "cx") -> DataFrame:
     """Cells in a box that is widened by buffer on every side."""
     return grid.where(F.col(x).between(west - buffer, east + buffer) & F.col(y).between(south - buffer, north + buffer))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,8 +58,9 @@ def read_climate_csv(spark: SparkSession, path: str, day: str, schema: str) -> D
     return df.drop(*gone).withColumn(day, F.to_date(day))
 
 
-def read_geojson(spark: SparkSession, path: str, label: str | None = None) -> DataFrame:
-    """zone, ring of each polygon of a GeoJSON file (multipolygons exploded); without a label zones are numbered."""
+def read_geojson(spark: SparkSession, path: str, label: str | None = None, degrees: Callable[[Column, Column], tuple[Column, Column]] | None = None) -> DataFrame:
+    """zone, ring of each polygon of a GeoJSON file (multipolygons exploded); without a label zones are numbered. The format's
+    coordinates are degrees; of a file in metres, degrees(x, y) gives longitude and latitude."""
     if not path.endswith((".json", ".geojson")):
         raise ValueError("only .json and .geojson can be read without further libraries")
     props = f", properties: struct<`{label}`: string>" if label else ""
@@ -67,7 +70,8 @@ def read_geojson(spark: SparkSession, path: str, label: str | None = None) -> Da
     polygons = F.when(F.col("f.geometry.type") == "Polygon", F.array(one)).when(F.col("f.geometry.type") == "MultiPolygon", many)
     name = F.col(f"f.properties.`{label}`") if label else (F.col("n") + 1).cast("string")
     parts = rows.select(name.alias("zone"), F.explode(polygons).alias("p"))
-    return parts.select("zone", F.transform(F.col("p")[0], lambda c: F.struct(c[0].alias("x"), c[1].alias("y"))).alias("ring"))
+    at = degrees or (lambda x, y: (x, y))
+    return parts.select("zone", F.transform(F.col("p")[0], lambda c: F.struct(*[v.alias(n) for n, v in zip("xy", at(c[0], c[1]), strict=True)])).alias("ring"))
 
 
 def read_years(spark: SparkSession, path: str, variables: list[str], years: range, point: tuple[float, float]) -> DataFrame:

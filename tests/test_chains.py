@@ -238,3 +238,22 @@ def test_dominant_year(spark):
     d = spark.createDataFrame([(dt.date(2020, 5, 1),), (dt.date(2021, 5, 1),), (dt.date(2021, 6, 1),)], "time date")
     assert {r.time.year for r in series.dominant_year(d).collect()} == {2021}
     assert {r.time.year for r in series.dominant_year(d, strict=True).collect()} == {2020}
+
+
+def test_geojson_in_metres(spark, tmp_path):
+    import json
+
+    f = tmp_path / "m.geojson"
+    f.write_text(json.dumps({"features": [{"geometry": {"type": "Polygon", "coordinates": [[[17367530.445, 0.0], [0.0, 0.0], [0.0, 7342230.136], [17367530.445, 0.0]]]}, "properties": {}}]}))
+    ring = sources.read_geojson(spark, str(f), degrees=projection.from_equal_area).first().ring
+    assert (ring[0].x, ring[0].y) == (pytest.approx(180, abs=1e-6), 0) and ring[2].y == pytest.approx(90, abs=0.02)
+
+
+def test_gains_of_the_network(spark):
+    df = spark.createDataFrame([(1000, 2000, 3000, 1500, 500)], "green int, red int, nir1 int, swir2 int, swir3 int")
+    bands = df.columns
+    (w, b), (v, c) = models.DEMO_WEIGHTS
+    x = np.array([0.1, 0.2, 0.3, 0.15, 0.05]) * 2
+    want = np.maximum(x @ w + b, 0) @ v + c
+    r = models.unmix(df, bands, gains=[2.0] * 5).first()
+    assert [r.bg, r.pv, r.npv] == pytest.approx(want.tolist())

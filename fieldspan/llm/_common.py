@@ -204,23 +204,24 @@ LOWER[65:91] += 32
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], most: int = 1 << 23) -> Iterator[pa.Table]:
-    """Tables of whole groups from batches sorted by the keys: a table ends where a group ends, once it has `most` bytes."""
+    """Tables of whole groups from batches sorted by the keys: a table ends where a group ends, once it has `most` bytes. Larger
+    batches are cut, so a table has little more than that, or one group."""
     held: list[pa.RecordBatch] = []
     size = 0
-    for b in batches:
-        if not b.num_rows:
-            continue
-        if size >= most:
-            t = pa.Table.from_batches([*held, b])
-            cut = _last_group(t, keys)
-            if cut:
-                yield t.slice(0, cut)
-                rest = t.slice(cut).combine_chunks()
-                held = rest.to_batches()
-                size = sum(x.nbytes for x in held)
-                continue
-        held.append(b)
-        size += b.nbytes
+    for batch in batches:
+        rows = max(1, int(batch.num_rows * most / 2 / max(batch.nbytes, 1)))
+        for b in (batch.slice(i, rows) for i in range(0, batch.num_rows, rows)):
+            if size >= most:
+                t = pa.Table.from_batches([*held, b])
+                cut = _last_group(t, keys)
+                if cut:
+                    yield t.slice(0, cut)
+                    rest = t.slice(cut).combine_chunks()
+                    held = rest.to_batches()
+                    size = sum(x.nbytes for x in held)
+                    continue
+            held.append(b)
+            size += b.nbytes
     if held:
         yield pa.Table.from_batches(held)
 

@@ -35,12 +35,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import lean, row_chunks, table, text_buffer
+from ._common import lean, row_chunks, small_batches, table, text_buffer
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 CHUNK = 1 << 24
-CACHED = 500_000
+CACHED = 200_000
 LONG = 60  # boundaries are bits of a long
 _WORD = re.compile(f"{SPACE}+[^{SPACE}]*")
 _TEXTS = 1 << 30  # numbers of texts in a chunk start here, those of words at 0
@@ -235,7 +235,7 @@ def encode_by_words(docs: DataFrame, model: str) -> DataFrame:
         sp, codes = processor(model), {}  # a task's own, so that nothing stays in a worker that Spark uses again
         for batch in batches:
             _, at = text_buffer(batch["text"])
-            for i, j in row_chunks(at, 1 << 22):
+            for i, j in row_chunks(at, 1 << 21):
                 part = batch.slice(i, j - i)
                 found = [words_of_text(t) for t in part["text"].to_pylist()]
                 words = set().union(*found)
@@ -252,6 +252,7 @@ def encode_by_words(docs: DataFrame, model: str) -> DataFrame:
                 offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in out])])
                 yield pa.RecordBatch.from_arrays([part["doc_id"], part["text"], pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(out), np.int32)))], ["doc_id", "text", "ids"])
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(lean(run), "doc_id long, text string, ids array<int>")
 
 

@@ -69,21 +69,17 @@ class Lists:
             self.float[kind] = self.columns.astype(kind)
         return self.float[kind]
 
-    def traverse(self, terms: np.ndarray, q: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray | None, np.ndarray]:
-        """Places (None: all) and scores of the vectors that are in a list of the terms."""
+    def traverse(self, terms: np.ndarray, q: np.ndarray, columns: np.ndarray, scores: np.ndarray, touched: np.ndarray) -> None:
+        """Adds the terms to the scores of the vectors in their lists, and marks these."""
         dense = [t for t in terms if t not in self.places]
-        scores = q[dense] @ columns[dense] if dense else np.zeros(len(self.ids), columns.dtype)
-        touched = None if dense else np.zeros(len(self.ids), bool)
+        if dense:
+            scores += q[dense] @ columns[dense]
+            touched[:] = True
         for t in terms:
             if t in self.places:
                 at = self.places[t]
                 scores[at] += q[t] * columns[t, at]
-                if touched is not None:
-                    touched[at] = True
-        if touched is None:
-            return None, scores
-        live = np.flatnonzero(touched)
-        return live, scores[live]
+                touched[at] = True
 
     def top(self, own: int, q: np.ndarray, k: int, beat: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """ids and scores of the best k of those that reach `beat`, best first."""
@@ -95,24 +91,30 @@ class Lists:
         most = np.where(self.full, most, np.maximum(most, 0))  # who isn't in a list adds 0
         terms = np.argsort(-most, kind="stable")
         rest = np.append(np.cumsum(most[terms][::-1])[::-1], 0)  # the most that terms from here on can add
-        if len(self.ids) > 4 * k:
-            # vectors that lead on the strongest terms, in full
-            _, scores = self.traverse(terms[:GROUP], qs, columns) if self.full[terms[:GROUP]].any() else (None, qs[terms[:GROUP]] @ columns[terms[:GROUP]])
-            lead = np.argpartition(-scores, 4 * k)[: 4 * k]
-            lead = lead[self.ids[lead] != own]
-            if len(lead) >= k:
-                reached = int(np.partition(qs @ columns[:, lead], len(lead) - k)[len(lead) - k])
-                beat = reached if beat is None else max(beat, reached)
-        if beat is None:
-            split = n_terms
-        else:
-            split = int(np.flatnonzero(rest < beat)[0]) if (rest < beat).any() else n_terms
-        if split == n_terms:
-            live, scores = None, qs @ columns
-        elif split == 0:
+        scores, touched = np.zeros(len(self.ids), columns.dtype), np.zeros(len(self.ids), bool)
+        if beat is not None and rest[0] < beat:
             return self.ids[:0], np.zeros(0, np.int64)
-        else:
-            live, scores = self.traverse(terms[:split], qs, columns)
+        # the strongest terms are essential in any case
+        split = min(GROUP, n_terms)
+        self.traverse(terms[:split], qs, columns, scores, touched)
+        lead = np.flatnonzero(touched)
+        if len(lead) > 4 * k:
+            # vectors that lead on them, in full
+            lead = lead[np.argpartition(-scores[lead], 4 * k)[: 4 * k]]
+        lead = lead[self.ids[lead] != own]
+        if len(lead) >= k:
+            reached = int(np.partition(qs @ columns[:, lead], len(lead) - k)[len(lead) - k])
+            beat = reached if beat is None else max(beat, reached)
+        essential = n_terms if beat is None or not (rest < beat).any() else int(np.flatnonzero(rest < beat)[0])
+        if not self.places and 4 * essential > 3 * n_terms:
+            # nearly all lists, each with nearly all vectors: all of them at once
+            scores, split = qs @ columns, n_terms
+        elif essential > split:
+            self.traverse(terms[split:essential], qs, columns, scores, touched)
+            split = essential
+        live = None if beat is None or touched.all() else np.flatnonzero(touched)
+        if live is not None:
+            scores = scores[live]
         for a in range(split, n_terms, GROUP):
             can = scores + rest[a] >= beat
             if not can.all():

@@ -14,9 +14,10 @@ Documents with equal sets form a class; everything below is between classes.
 2. Set relations: the sets with one first shingle are compared, in full and in segments, with representatives of those
    seen so far. A set that links takes over the other's answers: it joins its component, and two sets of one component
    are never compared again.
-3. What is left is few. In one of EARLY lists each set outside the list's largest component is held against the
-   likeliest partner in another component; then all pairs of a list that are still in different components are
-   compared, so the result is exact. Lists of more than BLOCK classes are dealt out as pairs of blocks, and blocks
+3. What is left is few. In one of EARLY lists, then in all, each set outside the list's largest component is held against
+   the likeliest partner in another component, in rounds until one finds no more than FEW_LINKS links: a pair a set and
+   list at most, so groups of near copies connect without their pairs being made. Then all pairs of a list that are
+   still in different components and that sketches allow are compared, so the result is exact. Lists of more than BLOCK classes are dealt out as pairs of blocks, and blocks
    of the largest component are not paired with each other.
 
 Lists of shingles that are frequent beyond LIST are dealt to several tasks; no task holds such a list.
@@ -47,6 +48,7 @@ SEGMENT = 256
 RIVALS = 6
 EARLY = 8
 SLOTS = 1 << 18
+FEW_LINKS = 1 << 12
 SKETCH = 512
 WIDEST = 1 << 13
 BLOOM = 1 << 24
@@ -493,7 +495,7 @@ def open_pairs(entries: DataFrame, comps: DataFrame, classes: DataFrame, percent
     return grouped.mapInArrow(lean(_across(percent, likeliest)), "a long, b long").distinct()
 
 
-def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int = BLOCK, most: int = LIST) -> DataFrame:
+def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int = BLOCK, most: int = LIST, few: int = FEW_LINKS) -> DataFrame:
     """doc_id, n_shingles, component_id of every document (doc_id, text)."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -513,10 +515,18 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     short = indexed.where(F.col("kind") == _SHORT).select("list").distinct().select(F.xxhash64("list").alias("rid"), "list")
     lists = short.unionByName(indexed.where(F.col("kind") == _LONG).select("rid", "list")).withColumn("seg", F.lit(0))
     entries = materialize(lists.mapInArrow(lean(_entries), "rid long, seg int, cls long").drop("seg"))
-    for likeliest in (True, False):
-        some = entries.where(F.pmod("rid", F.lit(EARLY)) == 0) if likeliest else entries
+
+    def joined(some: DataFrame, likeliest: bool) -> tuple[DataFrame, DataFrame]:
         more = compare(docs, classes, open_pairs(some, comps, classes, percent, block, likeliest), words, percent)
-        comps = materialize(components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(more)))
+        return more, materialize(components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(more)))
+
+    _, comps = joined(entries.where(F.pmod("rid", F.lit(EARLY)) == 0), True)
+    while True:
+        # each link connects two components, so this ends
+        more, comps = joined(entries, True)
+        if more.limit(few + 1).count() <= few:
+            break
+    _, comps = joined(entries, False)
     named = classes.join(comps, classes.cls == comps.node, "left").select("cls", "first", F.coalesce("comp", "cls").alias("comp"))
     least = named.groupBy("comp").agg(F.min("first").alias("least"))
     named = named.join(least, "comp").select("cls", "least")

@@ -378,6 +378,29 @@ def test_index_lists_keep_every_link():
     assert sum(map(len, short)) == 0 and len(long)
 
 
+def test_rounds_leave_few_pairs_of_a_group(spark, monkeypatch):
+    # one group of near copies: what the last step holds against each other doesn't grow with its square
+    made, of = [], jaccard_join.open_pairs
+
+    def counted(*k):
+        pairs = of(*k)
+        made.append((k[-1], pairs.count()))
+        return pairs
+
+    monkeypatch.setattr(jaccard_join, "open_pairs", counted)
+    monkeypatch.setattr(jaccard_join, "EARLY", 1 << 30)
+    random.seed(3)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(150):
+        t = list(base)
+        for k in random.sample(range(120), random.choice([1, 2, 3, 4])):
+            t[k] = f"x{i}.{k}"
+        rows.append((i, " ".join(t)))
+    assert order(jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), few=0).collect()) == linked(rows)
+    assert [n for likeliest, n in made if not likeliest][0] < 2 * len(rows)
+
+
 def test_near_copies_of_odd_tables(odd, empty):
     assert order(jaccard_join.jaccard_components(odd).collect()) == linked(ODD)
     assert jaccard_join.jaccard_components(empty).count() == 0

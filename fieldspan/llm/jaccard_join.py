@@ -6,7 +6,9 @@ nothing. Two documents link when 100 * |intersection| >= 75 * |union|.
 
 Documents with equal sets form a class; everything below is between classes.
 
-1. An order of all shingles: those that are frequent (counted over all documents) last, then by hash. A set
+1. An order of all shingles: those that are frequent (counted task by task over all documents, copies once, in slots so many
+   that a frequent shingle stands out from its slot at any size) last, then by hash, so that lists don't grow with
+   passages that many texts share. A set
    of n can only link with sets that share one of its first n - ceil(3n/4) + 1 shingles: these are indexed, with
    their positions. Index lists are ordered by set size and cut where sizes jump by more than the threshold
    allows. A link's first shared shingle leaves both sets the needed overlap from there on, so entries whose
@@ -47,7 +49,9 @@ BLOCK = 1024
 SEGMENT = 256
 RIVALS = 6
 EARLY = 8
-SLOTS = 1 << 18
+SLOT_BITS = 22
+SLOTS = 1 << SLOT_BITS
+KEPT_SLOTS = 1 << 18
 FEW_LINKS = 1 << 12
 SKETCH = 512
 WIDEST = 1 << 13
@@ -107,36 +111,70 @@ def prefix_size(n: int, percent: int = PERCENT) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def slot_of(t: np.ndarray) -> np.ndarray:
+    return (t >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
 class Order:
     """The order of shingles: by the counted frequency of their slot (0 unless it stands out), then by hash."""
 
     def __init__(self, slots: dict[int, int]):
-        self.count = np.zeros(SLOTS, np.int64)
-        for k, v in slots.items():
-            self.count[k] = v
+        self.slots, self.counts = np.array(list(slots), np.int32), np.array(list(slots.values()), np.int64)
+        self._spread()
 
-    def prefix(self, s: np.ndarray, n: int) -> np.ndarray:
-        c = self.count[(s >> np.uint64(46)).astype(np.int64)]
-        if not c.any():
-            return s[:n]
-        return s[np.lexsort((s, c))[:n]]
+    def _spread(self) -> None:
+        self.count = np.zeros(SLOTS, np.int32)
+        self.count[self.slots] = np.minimum(self.counts, 2**31 - 1)
+
+    def __getstate__(self) -> tuple[np.ndarray, np.ndarray]:
+        return self.slots, self.counts
 
+    def __setstate__(self, state: tuple[np.ndarray, np.ndarray]) -> None:
+        self.slots, self.counts = state
+        self._spread()
+
+    def prefix(self, s: np.ndarray, n: int) -> np.ndarray:
+        c = self.count[slot_of(s)]
+        rare = s[c == 0]
+        if len(rare) >= n:
+            return rare[:n]
+        often = c > 0
+        return np.concatenate([rare, s[often][np.argsort(c[often], kind="stable")[: n - len(rare)]]])
 
     def salts(self, t: np.ndarray, most: int) -> np.ndarray:
         """Into how many tasks a shingle's list is dealt."""
-        return self.count[(t >> np.uint64(46)).astype(np.int64)] // most + 1
+        return self.count[slot_of(t)] // most + 1
 
 
 def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of all shingles of a task, counts of the slots that hold four times the mean and eight at least."""
-    total = np.zeros(SLOTS, np.int64)
+    """Of the shingles of a task's classes, counts of the slots that hold four times the mean and eight at least."""
+    total = np.zeros(SLOTS, np.int32)
+    seen: set[int] = set()
+    held, size = [], 0
+
+    def count() -> None:
+        nonlocal size
+        np.add(total, np.bincount(slot_of(np.concatenate(held)), minlength=SLOTS), out=total, casting="unsafe")
+        held.clear()
+        size = 0
+
     for batch in batches:
         data, at = text_buffer(batch["text"])
         for i, j in row_chunks(at):
-            sets = shingle_sets(data[at[i] : at[j]], at[i : j + 1] - at[i])
-            total += np.bincount((np.concatenate(sets) >> np.uint64(46)).astype(np.int64), minlength=SLOTS)
+            for s in shingle_sets(data[at[i] : at[j]], at[i : j + 1] - at[i]):
+                # copies make one entry of a list
+                if len(s) and (c := class_of(s)) not in seen:
+                    if len(seen) >= KEPT_CLASSES:
+                        seen.clear()
+                    seen.add(c)
+                    held.append(s)
+                    size += len(s)
+            if size >= 1 << 20:
+                count()
+    if held:
+        count()
     slots = np.flatnonzero(total >= max(8, 4 * total.mean()))
-    yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int64()), pa.array(total[slots])], ["slot", "n"])
+    yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int64()), pa.array(total[slots], pa.int64())], ["slot", "n"])
 
 
 _INDEX = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("sketch", pa.binary()), ("wide", pa.binary()), ("tokens", pa.binary()), ("classes", pa.binary()), ("sizes", pa.binary()), ("places", pa.binary())])
@@ -500,7 +538,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    slots = docs.select("text").mapInArrow(lean(_frequent), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    slots = docs.select("text").mapInArrow(lean(_frequent), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "slot").limit(KEPT_SLOTS)
     order = spark.sparkContext.broadcast(Order({r["slot"]: r["n"] for r in slots.toLocalIterator()}))
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     indexed = materialize(docs.mapInArrow(lean(_indexer(order, buckets, percent, most)), _INDEX_SQL).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(_lister(order, percent, most)), _LISTED_SQL))

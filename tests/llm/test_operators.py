@@ -401,6 +401,19 @@ def test_rounds_leave_few_pairs_of_a_group(spark, monkeypatch):
     assert [n for likeliest, n in made if not likeliest][0] < 2 * len(rows)
 
 
+def test_passages_stand_out_among_many_shingles():
+    # 12 texts of a task share a passage; 2 million other shingles don't hide it
+    rng = np.random.default_rng(2)
+    word = lambda n: " ".join(map(str, rng.integers(0, 2**31, n)))
+    shared = "a passage that many texts share"
+    texts = [f"{word(20)} {shared}" for _ in range(12)] + [word(50_000) for _ in range(40)]
+    found = pa.Table.from_batches(jaccard_join._frequent(iter([pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])])))
+    order_ = jaccard_join.Order(dict(zip(found["slot"].to_pylist(), found["n"].to_pylist(), strict=True)))
+    data, at = jaccard_join.text_buffer(pa.array([texts[0], shared]))
+    own, passage = jaccard_join.shingle_sets(data, at)
+    assert not np.isin(order_.prefix(own, len(own) - len(passage)), passage).any()
+
+
 def test_near_copies_of_odd_tables(odd, empty):
     assert order(jaccard_join.jaccard_components(odd).collect()) == linked(ODD)
     assert jaccard_join.jaccard_components(empty).count() == 0
